@@ -64,9 +64,9 @@ def dated_path(ts: Column) -> Column:
 
 
 def finite_number(c: Column) -> Column:
-    """A number from loose text, null when it is not a finite one."""
-    value = strip(c).try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    """A number from loose text, null when it is not a finite one. The text is evaluated once, so nesting stays cheap."""
+    number = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-2]?[0-9]{1,2})?)\s*$"
+    return F.regexp_extract(c, number, 1).try_cast("double")
 
 
 def half_up(c: Column) -> Column:

@@ -150,7 +150,7 @@ def monotonic_progress(log: DataFrame, value: Column) -> DataFrame:
 def page_changes(log: DataFrame, page: Column) -> DataFrame:
     """Page events with the page before and whether it changed; the first one counts as a change."""
     paged = log.filter(F.col("action") == "page_progress").withColumn("page", page)
-    rows, order, block = _timed(paged.filter(F.col("page").isNotNull() & (F.col("page") != 0)))
+    rows, order, block = _timed(paged.filter(F.col("page") != 0))
     out = ordered.previous_value(rows, ["submission_id"], order, block, F.col("page"), "previous_page")
     return out.withColumn("changed", ~F.col("page").eqNullSafe(F.col("previous_page"))).drop(*order)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions import pixels
 from markspan.operators.normalize import fallback_format
-from markspan.operators.ordered import nest_in_parts
+from markspan.operators.ordered import id_block, nest_in_parts, number_rows
 
 # Grid and drawing-box rules.
 GRID_CELLS = 10
@@ -116,3 +116,16 @@ def attach_formats(pages: DataFrame, formats: DataFrame) -> DataFrame:
     known = F.coalesce("__known", F.lit(False))
     filled = {c: F.when(known, F.col(c)).otherwise(v) for c, v in spare.items() if c in formats.columns}
     return joined.withColumns(filled).withColumn("is_fallback", ~known).drop("__known")
+
+
+def sample_pages(pages: DataFrame, k: int, mode: str = "even", keep_all: int = 5) -> DataFrame:
+    """Example pages per document: the first or last `k`, or `k` evenly spaced; short documents are kept whole."""
+    numbered = number_rows(pages, ["doc_id"], [F.col("page")], id_block(F.col("page")), "n", "total")
+    n, total = F.col("n"), F.col("total")
+    step = F.greatest(F.lit(1), F.floor(total / k))
+    rules = {
+        "first": n <= k,
+        "last": n > total - k,
+        "even": ((n - 1) % step == 0) & (F.floor((n - 1) / step) < k),
+    }
+    return numbered.filter((total <= keep_all) | rules[mode]).select("doc_id", "page")

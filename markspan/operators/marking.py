@@ -6,11 +6,14 @@ No join is forced to broadcast: Spark broadcasts a side when its measured size a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.functions import codes
 from markspan.operators.ordered import nest_in_parts
+from markspan.session import written
 
 
 def type_name(c: Column, null_as_empty: bool = False) -> Column:
@@ -52,49 +55,36 @@ def _pieces(df: DataFrame, lengths: Column) -> DataFrame:
 def type_matches(types: DataFrame, by_type: DataFrame) -> DataFrame:
     """The key of each distinct paper type: equal type first, else the first key where one text contains the other.
 
-    Containment is an equality join on substrings, so neither side is paired with the whole other side."""
-    types = types.select("paper_type_norm")
-    key_lengths, type_lengths = _lengths(by_type), _lengths(types)
-    keys = by_type.select("paper_type_norm", "key_pos")
+    Containment is an equality join: a type is cut into its pieces of key length, a key type into all its pieces, and
+    equal texts meet. So neither side is paired with the whole other side, and the types are read once."""
+    keys = by_type.select("paper_type_norm", "key_pos", "key_id")
+    all_lengths = F.sequence(F.lit(1), F.length("paper_type_norm"))
+    parts_of_keys = _pieces(keys, all_lengths).select("piece", "key_pos", "key_id")
+    empty = keys.select(F.lit("").alias("piece"), "key_pos", "key_id")
+    own = keys.select(F.col("paper_type_norm").alias("piece"), "key_pos", "key_id")
 
-    inside_type = (
-        _pieces(types, key_lengths)
-        .join(keys.withColumnRenamed("paper_type_norm", "piece"), "piece")
-        .select("paper_type_norm", "key_pos")
-    )
-    pieces_of_keys = _pieces(keys, type_lengths).select(F.col("piece").alias("paper_type_norm"), "key_pos")
-    empty = keys.select(F.lit("").alias("paper_type_norm"), "key_pos")
-    inside_key = (
-        pieces_of_keys.unionByName(empty)
-        .groupBy("paper_type_norm")
-        .agg(F.min("key_pos").alias("key_pos"))
-        .join(types, "paper_type_norm", "left_semi")
-    )
-    first = (
-        inside_type.unionByName(inside_key)
-        .groupBy("paper_type_norm")
-        .agg(F.min("key_pos").alias("key_pos"))
-        .join(by_type.select("key_pos", F.col("key_id").alias("near_id")), "key_pos")
-        .select("paper_type_norm", "near_id")
-    )
-    exact = by_type.select("paper_type_norm", F.col("key_id").alias("exact_id"))
-    return (
-        types.join(exact, "paper_type_norm", "left")
-        .join(first, "paper_type_norm", "left")
-        .select(
-            "paper_type_norm",
-            F.coalesce("exact_id", "near_id").alias("key_id"),
-            F.when(F.col("exact_id").isNotNull(), F.lit("exact"))
-            .when(F.col("near_id").isNotNull(), F.lit("contains"))
-            .alias("match_kind"),
-        )
+    def lookup(df: DataFrame, whole: bool, rank: int) -> DataFrame:
+        return df.select("piece", F.lit(whole).alias("whole"), F.struct(F.lit(rank).alias("rank"), "key_pos", "key_id").alias("hit"))
+
+    known = lookup(own, True, 0).unionByName(lookup(parts_of_keys.unionByName(empty), True, 1)).unionByName(lookup(own, False, 1))
+    known = known.groupBy("piece", "whole").agg(F.min("hit").alias("hit"))
+
+    types = types.select("paper_type_norm")
+    asked = types.select("paper_type_norm", F.col("paper_type_norm").alias("piece"), F.lit(True).alias("whole")).unionByName(
+        _pieces(types, _lengths(by_type)).select("paper_type_norm", "piece", F.lit(False).alias("whole"))
     )
+    best = asked.join(known, ["piece", "whole"], "left").groupBy("paper_type_norm").agg(F.min("hit").alias("hit"))
+    kind = F.when(F.col("hit.rank") == 0, F.lit("exact")).when(F.col("hit").isNotNull(), F.lit("contains"))
+    return best.select("paper_type_norm", F.col("hit.key_id").alias("key_id"), kind.alias("match_kind"))
 
 
 def match_keys(candidates: DataFrame, keys: DataFrame, null_as_empty: bool = False) -> DataFrame:
-    """Candidates with key_id and match_kind, null where no key fits. Matching runs once per distinct type."""
+    """Candidates with key_id and match_kind, null where no key fits.
+
+    Matching runs once per distinct type. The type table is written out, so that Spark knows its true size: a small one
+    is broadcast and the candidates are not shuffled, a large one is joined by shuffling."""
     typed = candidates.withColumn("paper_type_norm", type_name(F.col("paper_type"), null_as_empty))
-    matched = type_matches(typed.select("paper_type_norm").distinct(), keys_by_type(keys))
+    matched = written(type_matches(typed.select("paper_type_norm").distinct(), keys_by_type(keys)), "type-keys")
     return typed.join(matched, "paper_type_norm", "left")
 
 
@@ -116,22 +106,6 @@ def mark_drawings(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumn("mark", codes.mark_drawing(F.col("response"), F.col("expected")))
 
 
-def _correct_counts(
-    sheets: DataFrame, key: DataFrame, given: DataFrame, value: str, wanted: str, marker
-) -> DataFrame:
-    """Correct answers per candidate of `sheets` (candidate_id, key_id), one shuffle on candidate_id.
-
-    Answers to questions no key asks are dropped before the shuffle, so a sheet keeps at most one row per key question."""
-    asked = given.select("candidate_id", "question", value).join(key.select("question").distinct(), "question", "left_semi")
-    hits = (
-        sheets.select("candidate_id", "key_id")
-        .join(asked, "candidate_id")
-        .join(key.select("key_id", "question", wanted), ["key_id", "question"])
-        .filter(marker(F.col(value), F.col(wanted)) == codes.CORRECT)
-    )
-    return hits.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def key_sizes(key_long: DataFrame, drawing_long: DataFrame | None = None) -> DataFrame:
     rows = key_long.select("key_id")
     if drawing_long is not None:
@@ -146,23 +120,34 @@ def scores(
     drawing_long: DataFrame | None = None,
     responses: DataFrame | None = None,
 ) -> DataFrame:
-    """(candidate_id, key_id, correct, total, percentage) for sheets that have a key."""
-    keyed = sheets.filter(F.col("key_id").isNotNull()).select("candidate_id", "key_id")
-    hits = _correct_counts(keyed, key_long, answers, "answer", "correct", codes.mark)
+    """Add correct, total and percentage to sheets (candidate_id, key_id, ...); null where there is no key.
+
+    Answers no key asks about are dropped first, so a sheet keeps at most one row per key question. Sheets and answers
+    are then shuffled once, on candidate_id, and the counting reuses that partitioning."""
+
+    def rows(df: DataFrame, ids: Sequence[str], value: str, name: str, drawn: bool) -> DataFrame:
+        return df.select(*ids, "question", F.col(value).alias(name), F.lit(drawn).alias("drawn"))
+
+    key = rows(key_long, ["key_id"], "correct", "wanted", False)
+    given = rows(answers, ["candidate_id"], "answer", "given", False)
     if drawing_long is not None and responses is not None:
-        drawn = _correct_counts(keyed, drawing_long, responses, "response", "expected", codes.mark_drawing)
-        hits = hits.unionByName(drawn).groupBy("candidate_id").agg(F.sum("n").alias("n"))
-    correct = F.coalesce("n", F.lit(0).cast("bigint"))
+        key = key.unionByName(rows(drawing_long, ["key_id"], "expected", "wanted", True))
+        given = given.unionByName(rows(responses, ["candidate_id"], "response", "given", True))
+    given = given.join(key.select("question", "drawn").distinct(), ["question", "drawn"], "left_semi")
+    met = sheets.join(given, "candidate_id", "left").join(key, ["key_id", "question", "drawn"], "left")
+    wanted, text = F.col("wanted"), F.col("given")
+    mark = F.when(F.col("drawn"), codes.mark_drawing(text, wanted)).otherwise(codes.mark(text, wanted))
+    hit = wanted.isNotNull() & (mark == codes.CORRECT)
+    kept = [c for c in sheets.columns if c != "candidate_id"]
+    counted = met.groupBy("candidate_id").agg(*[F.first(c).alias(c) for c in kept], F.count_if(hit).alias("correct"))
+    sized = counted.join(key_sizes(key_long, drawing_long), "key_id", "left")
+    has_key = F.col("key_id").isNotNull()
+    total = F.when(has_key, F.coalesce("total", F.lit(0).cast("bigint")))
     return (
-        keyed.join(hits, "candidate_id", "left")
-        .join(key_sizes(key_long, drawing_long), "key_id", "left")
-        .select(
-            "candidate_id",
-            "key_id",
-            correct.alias("correct"),
-            F.coalesce("total", F.lit(0).cast("bigint")).alias("total"),
-        )
-        .withColumn("percentage", codes.percentage(F.col("correct"), F.col("total")))
+        sized.withColumn("total", total)
+        .withColumn("correct", F.when(has_key, F.col("correct")))
+        .withColumn("percentage", F.when(has_key, codes.percentage(F.col("correct"), F.col("total"))))
+        .select("candidate_id", *kept, "correct", "total", "percentage")
     )
 
 
@@ -175,9 +160,9 @@ def scores_from_marks(marks: DataFrame) -> DataFrame:
     )
 
 
-def marking_report(candidates: DataFrame, scored: DataFrame, rows: int = 1000) -> DataFrame:
+def marking_report(scored: DataFrame, rows: int = 1000) -> DataFrame:
     """Per submission the number of marked candidates and their results, in parts of `rows` candidates."""
-    results = candidates.select("submission_id", "candidate_id").join(scored, "candidate_id")
+    results = scored.filter(F.col("total").isNotNull())
     counts = results.groupBy("submission_id").agg(F.count(F.lit(1)).alias("total_candidates_marked"))
     item = F.struct("candidate_id", "correct", "total", "percentage")
     parts = nest_in_parts(results, ["submission_id"], "candidate_id", item, "results", rows)
@@ -193,6 +178,4 @@ def marked_candidates(
     responses: DataFrame | None = None,
 ) -> DataFrame:
     """Auto-matched marking end to end: every candidate once, score null when no key fits its paper type."""
-    matched = match_keys(candidates, keys)
-    scored = scores(matched, key_long, answers, drawing_long, responses)
-    return matched.join(scored.drop("key_id"), "candidate_id", "left")
+    return scores(match_keys(candidates, keys), key_long, answers, drawing_long, responses)

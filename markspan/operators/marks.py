@@ -30,10 +30,10 @@ def marked_options(cells: DataFrame) -> DataFrame:
     return ranked.select("page", "question", F.when(clear, F.col("opt")).alias("opt"), "best", "second")
 
 
-def option_letters(chosen: DataFrame, options: tuple[str, ...] = codes.DEFAULT_OPTIONS) -> DataFrame:
+def option_letters(chosen: DataFrame, options: codes.Options = None) -> DataFrame:
     """Turn the 1-based option position into its letter; positions past the last option read as the last."""
-    letters = F.array(*[F.lit(o) for o in options])
-    at = F.least(F.col("opt"), F.lit(len(options))).cast("int")
+    letters = codes.option_array(options)
+    at = F.least(F.col("opt"), F.size(letters).cast("bigint")).cast("int")
     return chosen.filter(F.col("opt").isNotNull()).select("page", "question", F.element_at(letters, at).alias("answer"))
 
 
@@ -57,7 +57,7 @@ def needs_model(pages: DataFrame, ranges: DataFrame, answered: DataFrame) -> Dat
     return joined.select("page", "format_id", measured.alias("measured"), asked.alias("mcq_count"), rule.alias("needs_model"))
 
 
-def merge_sources(full: DataFrame, focused: DataFrame, measured: DataFrame, options=None) -> DataFrame:
+def merge_sources(full: DataFrame, focused: DataFrame, measured: DataFrame, options: codes.Options = None) -> DataFrame:
     """One answer per (page, question): a measured option, else the focused pass, else the full pass.
 
     A focused BL only replaces a full BL. All three sources meet in one aggregation."""
@@ -67,7 +67,7 @@ def merge_sources(full: DataFrame, focused: DataFrame, measured: DataFrame, opti
     rows = side(full, "full").unionByName(side(focused, "focused")).unionByName(side(measured, "measured"))
     by = {s: F.max(F.when(F.col("source") == s, F.col("answer"))).alias(s) for s in ("full", "focused", "measured")}
     wide = rows.groupBy("page", "question").agg(*by.values())
-    seen = F.array_contains(codes.option_array(options), codes.folded(F.col("measured")))
+    seen = F.array_contains(codes.option_array(options), codes.folded(F.col("measured"))).eqNullSafe(True)
     take_focused = F.col("focused").isNotNull() & ((F.col("focused") != codes.BLANK) | (F.col("full") == codes.BLANK))
     answer = F.when(seen, codes.folded(F.col("measured"))).when(take_focused, F.col("focused")).otherwise(F.col("full"))
     return wide.select("page", "question", answer.alias("answer")).filter(F.col("answer").isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.functions.text import CHOICE_PATTERNS, RESPONSE_PATTERN, word_count
@@ -14,19 +14,15 @@ from markspan.schema import LEGACY_DOCUMENT
 
 def choices(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Multiple-choice answers: per question the first hit of the strongest pattern."""
-    found = []
-    for rank, pattern in enumerate(CHOICE_PATTERNS):
-        numbers = F.regexp_extract_all(F.col(text), F.lit(f"(?i){pattern}"), F.lit(1))
-        letters = F.regexp_extract_all(F.col(text), F.lit(f"(?i){pattern}"), F.lit(2))
-        pairs = F.arrays_zip(numbers.alias("n"), letters.alias("a"))
-        found.append(
-            F.transform(
-                pairs,
-                lambda p, i, r=rank: F.struct(
-                    F.lit(r).alias("rank"), i.alias("pos"), p["n"].alias("digits"), F.upper(p["a"]).alias("answer")
-                ),
-            )
+    def ranked(rank: int, pattern: Column) -> Column:
+        numbers = F.regexp_extract_all(F.col(text), pattern, F.lit(1))
+        letters = F.regexp_extract_all(F.col(text), pattern, F.lit(2))
+        return F.transform(
+            F.arrays_zip(numbers.alias("n"), letters.alias("a")),
+            lambda p, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), p["n"].alias("digits"), F.upper(p["a"]).alias("answer")),
         )
+
+    found = [ranked(rank, F.lit(f"(?i){pattern}")) for rank, pattern in enumerate(CHOICE_PATTERNS)]
     hits = df.select(id_col, F.inline(F.concat(*found)))
     return keep_first(hits, [id_col, "digits"], ["rank", "pos"], "answer").select(
         id_col, F.col("digits").try_cast("bigint").alias("question"), "answer"

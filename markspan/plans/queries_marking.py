@@ -37,7 +37,7 @@ def matched(i):
 
 
 def scored(i):
-    return marking.scores(matched(i), i.key, i.ans, i.dkey, i.draw)
+    return marking.marked_candidates(i.sheet, keys(i), i.key, i.ans, i.dkey, i.draw)
 
 
 @query(
@@ -121,7 +121,8 @@ def _(i):
 
 @query("a6_scores", f"WITH {SCORES} SELECT candidate_id, key_id, correct, total, {PCT} AS percentage FROM scored")
 def _(i):
-    return scored(i)
+    found = scored(i).filter(F.col("key_id").isNotNull())
+    return found.select("candidate_id", "key_id", "correct", "total", "percentage")
 
 
 @query(
@@ -134,7 +135,7 @@ def _(i):
   FROM n GROUP BY 1, 2""",
 )
 def _(i):
-    out = marking.marking_report(i.sheet, scored(i), rows=5)
+    out = marking.marking_report(scored(i), rows=5)
     text = F.transform(
         "results",
         lambda r: F.concat(r["candidate_id"].cast("string"), F.lit(":"), r["correct"].cast("string"), F.lit("/"), r["total"].cast("string")),
@@ -148,8 +149,7 @@ def _(i):
   FROM matched m LEFT JOIN scored s ON s.candidate_id = m.candidate_id""",
 )
 def _(i):
-    out = marking.marked_candidates(i.sheet, keys(i), i.key, i.ans, i.dkey, i.draw)
-    return out.select("candidate_id", "submission_id", "key_id", "match_kind", "correct", "total", "percentage")
+    return scored(i).select("candidate_id", "submission_id", "key_id", "match_kind", "correct", "total", "percentage")
 
 
 @query(

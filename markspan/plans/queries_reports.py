@@ -344,7 +344,7 @@ def _(i):
     asked = matched(i).select("candidate_id", "key_id").join(i.key.select("key_id", "question", "correct"), "key_id")
     marks = marking.mark_answers(asked, i.ans)
     head = i.cand.select("candidate_id", "candidate_name", "candidate_number", "country")
-    return reports.report_text(head, i.ans, i.draw, marks, scored(i).drop("key_id"), ["candidate_name", "candidate_number", "country"])
+    return reports.report_text(head, i.ans, i.draw, marks, scored(i).select("candidate_id", "correct", "total", "percentage"), ["candidate_name", "candidate_number", "country"])
 
 
 STAMP = "2024-01-01T00:00:00"

@@ -20,6 +20,7 @@ def build_session(app: str = "markspan", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -36,9 +37,8 @@ def work_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="markspan-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() if folder is None else folder
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
