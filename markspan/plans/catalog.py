@@ -8,6 +8,7 @@ from markspan.plans import (  # noqa: F401
     queries_pages,
     queries_reports,
     queries_storage,
+    queries_stream,
     queries_text,
 )
 from markspan.plans.registry import REGISTRY, spark_queries, sql_queries

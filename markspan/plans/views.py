@@ -212,6 +212,17 @@ class Inputs:
                 self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(f"{clause}\nSELECT * FROM {name}")
 
+    def stream(self, name: str) -> DataFrame:
+        """A view over one table that is read as a stream of files."""
+        clause = _with([name], "spark")
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", clause):
+                # a pattern, because a stream takes a table that is one plain file only that way
+                path = f"{self.folder.rstrip('/')}/{t}[.]parquet"
+                rows = self.spark.readStream.schema(self.table(t).schema).parquet(path)
+                rows.createOrReplaceTempView(t)
+        return self.spark.sql(f"{clause}\nSELECT * FROM {name}")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
