@@ -20,6 +20,11 @@ def by_ids(df: DataFrame, **ids: int) -> DataFrame:
     return df
 
 
+def by_id_pairs(df: DataFrame, wanted: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The rows whose ids, taken together, occur among the wanted ones."""
+    return df.join(wanted.select(*ids).distinct(), list(ids), "left_semi")
+
+
 def with_status(submissions: DataFrame, status: str | None) -> DataFrame:
     return submissions.filter(F.col("status") == status) if status else submissions
 

@@ -139,7 +139,7 @@ def scores(
     mark = F.when(F.col("drawn"), codes.mark_drawing(text, wanted)).otherwise(codes.mark(text, wanted))
     hit = wanted.isNotNull() & (mark == codes.CORRECT)
     kept = [c for c in sheets.columns if c != "candidate_id"]
-    counted = met.groupBy("candidate_id").agg(*[F.first(c).alias(c) for c in kept], F.count_if(hit).alias("correct"))
+    counted = met.groupBy("candidate_id", *kept).agg(F.count_if(hit).alias("correct"))
     sized = counted.join(key_sizes(key_long, drawing_long), "key_id", "left")
     has_key = F.col("key_id").isNotNull()
     total = F.when(has_key, F.coalesce("total", F.lit(0).cast("bigint")))

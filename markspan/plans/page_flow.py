@@ -29,8 +29,9 @@ def extract(
 ) -> tuple[DataFrame, DataFrame]:
     """Answers (page, question, answer, method) and page errors.
 
-    `pages` is (page, layout_hash, quality, is_blank, ...); `cells` holds measured ink. One format call per layout; the
-    full and focused calls only for pages whose measured marks are not enough. Every model result is written before it
+    `pages` is (page, layout_hash, quality, is_blank, ...) and should carry image paths, not image bytes, because pages
+    are joined to their routes; `cells` holds measured ink. One format call per layout; the full and focused calls only
+    for pages whose measured marks are not enough. Every model result is written before it
     is used, so no later branch and no lost executor calls a model again."""
     valid = pages.filter(~F.coalesce("is_blank", F.lit(False)))
     formats = written(infer.detect_formats(valid.select("page", "layout_hash", "quality"), format_fn), "formats")
@@ -44,13 +45,14 @@ def extract(
     choices = placed.filter(has_mcq).select("page", lo.alias("lo"), hi.alias("hi"), F.col("answer_options").alias("options"))
     inside = marks.marked_options(cells).join(choices, "page").filter(F.col("question").between(F.col("lo"), F.col("hi")))
     seen = marks.option_letters(inside, F.col("options"))
-    routed = written(marks.needs_model(sheets.select("page", "format_id"), ranges, seen), "routes")
+    needs = marks.needs_model(sheets.select("page", "format_id"), ranges, seen)
+    routed = written(needs.select("page", "needs_model", (F.col("mcq_count") > 0).alias("has_mcq")), "routes")
 
     measured = seen.join(routed.filter(~F.col("needs_model")).select("page"), "page", "left_semi")
-    asked = pages.join(routed.filter("needs_model").select("page"), "page", "left_semi")
+    asked = pages.join(routed.filter("needs_model").select("page", "has_mcq"), "page")
     full = written(infer.call_pages(asked, full_fn, waits=waits, concurrency=concurrency), "full-pass")
-    with_mcq = asked.join(placed.filter(has_mcq).select("page"), "page", "left_semi")
-    focused = written(infer.call_pages(with_mcq, focused_fn, attempts=1, waits=(), concurrency=concurrency), "focused-pass")
+    focused = infer.call_pages(asked.filter("has_mcq"), focused_fn, attempts=1, waits=(), concurrency=concurrency)
+    focused = written(focused, "focused-pass")
 
     def keyed(df: DataFrame) -> DataFrame:
         rows = normalize.keyed_answers(response_answers(df), ["page"], "raw_key", "raw_value", "pos")

@@ -50,7 +50,7 @@ ANSWERED = """SELECT o_orderkey AS page, o_orderkey % 7 = 0 AS failed FROM order
 )
 def _(i):
     pages = i.table("orders").select(F.col("o_orderkey").alias("page"))
-    out = infer.call_pages(pages, answer_page, waits=())
+    out = infer.call_pages(pages, answer_page, waits=(), concurrency=i.spark.sparkContext.defaultParallelism)
     obj = modeljson.text_map(modeljson.object_text(F.col("response")))
     count = F.coalesce(F.size(F.map_keys(modeljson.text_map(obj["answers"]))), F.lit(0))
     return out.select("page", "attempts", "error", obj["candidate_no"].alias("candidate_no"), F.when(F.col("response").isNull(), 0).otherwise(count).alias("n_answers"))

@@ -11,14 +11,14 @@ from markspan.plans.queries_marking import PCT, SCORES, matched, scored
 from markspan.plans.registry import half_even_sql, query, shown_map
 
 COUNTS = """a AS (SELECT candidate_id, count(*) AS answers, count(*) FILTER (WHERE answer = 'DR') AS dr FROM v_ans GROUP BY 1),
-  d AS (SELECT candidate_id, count(*) AS drawings FROM v_draw WHERE candidate_id % 3 = 0 GROUP BY 1),
+  d AS (SELECT candidate_id, count(*) AS drawings FROM v_draw WHERE trim(response) <> '' GROUP BY 1),
   counts AS (SELECT s.candidate_id, s.submission_id, coalesce(a.answers, 0) AS answers, coalesce(a.dr, 0) AS dr, coalesce(d.drawings, 0) AS drawings
     FROM v_sheet s LEFT JOIN a ON a.candidate_id = s.candidate_id LEFT JOIN d ON d.candidate_id = s.candidate_id)"""
 
 
 def counts(i):
-    """Counts per candidate; a third of the sheets keep their drawings in a map of their own, the rest only as DR."""
-    return reports.candidate_counts(i.sheet, i.ans, i.draw.filter("candidate_id % 3 = 0"))
+    """Counts per candidate; only drawings with some response are in the drawing map, others show only as DR."""
+    return reports.candidate_counts(i.sheet, i.ans, i.draw.filter(codes.strip(F.col("response")) != ""))
 
 
 def paged(i, view=None):
@@ -38,9 +38,14 @@ def _(i):
     return listing.by_ids(i.exam, exam_id=3)
 
 
-@query("p1_document_by_two_ids", "SELECT document_id, exam_id, country, file_path FROM v_doc WHERE exam_id = 3 AND document_id % 8 = 1")
+@query(
+    "p1_document_by_two_ids",
+    """WITH w AS (SELECT exam_id, max(document_id) AS document_id FROM v_doc GROUP BY 1)
+  SELECT d.document_id, d.exam_id, d.country, d.file_path FROM v_doc d JOIN w ON w.exam_id = d.exam_id AND w.document_id = d.document_id""",
+)
 def _(i):
-    return listing.by_ids(i.doc, exam_id=3).filter(F.col("document_id") % 8 == 1)
+    wanted = i.doc.groupBy("exam_id").agg(F.max("document_id").alias("document_id"))
+    return listing.by_id_pairs(i.doc, wanted, ["document_id", "exam_id"])
 
 
 @query("p2_status_filter", "SELECT submission_id, filename, pages_count FROM v_sub WHERE status = 'completed'")

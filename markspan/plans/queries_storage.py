@@ -36,8 +36,8 @@ def _(i):
 @query("s4_candidate_append", "SELECT candidate_id, submission_id, paper_type FROM v_sheet")
 def _(i):
     path = new_path(i.spark, "candidates")
-    results.append_by_submission(i.sheet.filter("submission_id % 2 = 0"), path)
-    results.append_by_submission(i.sheet.filter("submission_id % 2 = 1"), path)
+    results.append_by_submission(i.sheet.filter("paper_type IS NULL"), path)
+    results.append_by_submission(i.sheet.filter("paper_type IS NOT NULL"), path)
     return i.spark.read.parquet(path).select("candidate_id", "submission_id", "paper_type")
 
 

@@ -20,7 +20,7 @@ def parse_documents(df: DataFrame, text: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per stored document file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     return parse_documents(files.select(F.col("_metadata.file_path").alias("path"), "value"), "value")
 
 
