@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions import codes
 from markspan.functions.text import first_text
+from markspan.operators.normalize import answer_maps
 from markspan.operators.ordered import nest_in_parts
 
 COMPLETED = "completed"
@@ -62,11 +63,15 @@ def deleted_children(children: DataFrame, deleted: DataFrame, on: str) -> DataFr
 
 
 def exam_details(exams: DataFrame, documents: DataFrame, jsons: DataFrame, rows: int = 1000) -> DataFrame:
-    """Exams with nested documents and JSON outputs, each in parts of at most `rows` items."""
+    """Exams with nested documents and JSON outputs, each in parts of at most `rows` items.
+
+    The parts are the many side of an inner join, which Spark can split for a huge exam; exams without any are added."""
     docs = nest_in_parts(documents, ["exam_id"], "document_id", F.struct("document_id", "country", "file_path"), "documents", rows)
     outs = nest_in_parts(jsons, ["exam_id"], "json_id", F.struct("json_id", "filename"), "jsons", rows)
-    parts = docs.join(outs, ["exam_id", "part"], "full_outer")
-    return exams.join(parts, "exam_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    full = docs.join(outs, ["exam_id", "part"], "full_outer").join(exams, "exam_id")
+    used = documents.select("exam_id").unionByName(jsons.select("exam_id")).distinct()
+    bare = exams.join(used, "exam_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    return full.unionByName(bare, allowMissingColumns=True)
 
 
 def search(candidates: DataFrame, term: str, columns: Sequence[str], extra: str | None = "extra_fields") -> DataFrame:
@@ -95,14 +100,14 @@ def candidate_json(candidates: DataFrame, columns: Sequence[str]) -> DataFrame:
     return candidates.withColumn("json", F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}))
 
 
-def minimal_output(candidates: DataFrame, answer_parts: DataFrame, aliases: Sequence[str] = ("candidate_number",)) -> DataFrame:
-    """Answers (drawings already overlaid), candidate number and paper type only."""
-    empty = F.create_map().cast("map<string,string>")
-    joined = candidates.select("candidate_id", "paper_type", *aliases).join(answer_parts, "candidate_id", "left")
+def minimal_output(candidates: DataFrame, answers: DataFrame, aliases: Sequence[str] = ("candidate_number",)) -> DataFrame:
+    """Answers (drawings already overlaid), candidate number and paper type only, in parts as of `answer_maps`."""
+    parts = answer_maps(answers, ["candidate_id"], everyone=candidates.select("candidate_id"))
+    joined = candidates.select("candidate_id", "paper_type", *aliases).join(parts, "candidate_id")
     return joined.select(
         "candidate_id",
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.coalesce("answers", empty).alias("answers"),
+        "part",
+        "answers",
         F.coalesce(first_text(*[F.col(a) for a in aliases]), F.lit("")).alias("candidate_number"),
         F.coalesce("paper_type", F.lit("")).alias("paper_type"),
     )

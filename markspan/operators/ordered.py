@@ -23,7 +23,7 @@ def id_block(c: Column, rows: int = ROWS_PER_BLOCK) -> Column:
     return F.floor(c / F.lit(rows))
 
 
-def time_block(ts: Column, unit: str = "MINUTE") -> Column:
+def time_block(ts: Column, unit: str = "SECOND") -> Column:
     return F.date_trunc(unit, ts)
 
 

@@ -193,7 +193,10 @@ def report_text(
     headers: DataFrame, answers: DataFrame, drawings: DataFrame, marks: DataFrame, scored: DataFrame,
     columns: Sequence[str], per_part: int = 1000,
 ) -> DataFrame:
-    """A readable report per candidate, in parts of `per_part` question numbers (a normal sheet has part 0 only)."""
+    """A readable report per candidate, in parts of `per_part` question numbers (a normal sheet has part 0 only).
+
+    `headers` holds candidate_id, page_number and `columns`. Each header also puts an empty row into part 0, so that the
+    join back is a plain inner one."""
     def rows(df: DataFrame, section: int, value: Column) -> DataFrame:
         number = F.coalesce(F.col("question").try_cast("bigint"), _zero())
         return df.select("candidate_id", F.lit(section).alias("section"), number.alias("n"), F.col("question").cast("string").alias("q"), value.alias("v"))
@@ -201,6 +204,8 @@ def report_text(
     long = rows(answers, 0, F.col("answer")).unionByName(rows(drawings, 1, preview(F.col("response")))).unionByName(
         rows(marks, 2, F.col("mark"))
     )
+    nothing = F.lit(None).cast("string")
+    long = long.unionByName(headers.select("candidate_id", F.lit(-1).alias("section"), _zero().alias("n"), nothing.alias("q"), nothing.alias("v")))
     grouped = long.groupBy("candidate_id", F.floor(F.col("n") / per_part).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("section", "n", "q", "v"))).alias("items")
     )
@@ -218,20 +223,31 @@ def report_text(
         F.concat(F.lit("  "), label_from_key(F.lit(c)), F.lit(": "), F.coalesce(F.col(c).cast("string"), F.lit("None")))
         for c in columns
     ]
-    joined = headers.join(grouped, "candidate_id", "left").join(scored, "candidate_id", "left")
-    part = F.coalesce("part", _zero())
+    number = F.concat(F.lit("--- Candidate "), F.col("page_number").cast("string"), F.lit(" ---"))
+    joined = grouped.join(headers.join(scored, "candidate_id", "left"), "candidate_id")
     score = F.when(
-        F.col("total").isNotNull() & (part == 0),
+        F.col("total").isNotNull() & (F.col("part") == 0),
         F.array(F.concat(F.lit("  Score: "), F.concat_ws("/", "correct", "total"), F.lit(" ("), F.col("percentage").cast("string"), F.lit("%)"))),
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
-        F.array(*head),
-        F.coalesce(block(0, counted("Answers", 0)), F.array().cast("array<string>")),
-        F.coalesce(block(1, counted("Drawing Questions", 1)), F.array().cast("array<string>")),
-        F.coalesce(block(2, F.lit("  Marked Answers:")), F.array().cast("array<string>")),
+        F.array(number, *head),
+        block(0, counted("Answers", 0)),
+        block(1, counted("Drawing Questions", 1)),
+        block(2, F.lit("  Marked Answers:")),
         score,
     )
-    return joined.select("candidate_id", part.alias("part"), F.array_join(lines, "\n").alias("report"))
+    return joined.select("candidate_id", "part", F.array_join(lines, "\n").alias("report"))
+
+
+def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> DataFrame:
+    """The opening lines of each file's report."""
+    totals = submission_summary(submissions, counts)
+    lines = [
+        F.concat(F.lit("=== Exam Answer Sheet: "), F.coalesce("filename", F.lit("Unknown")), F.lit(" ===")),
+        F.lit(f"Extracted at: {timestamp}"),
+        F.concat(F.lit("Total candidates: "), F.col("candidates_count").cast("string")),
+    ]
+    return totals.select("submission_id", F.concat_ws("\n", *lines).alias("head"))
 
 
 def envelopes(

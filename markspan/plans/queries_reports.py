@@ -303,8 +303,7 @@ def _(i):
 def _(i):
     drawn = i.draw.filter(codes.strip(F.col("response")) != "").select("candidate_id", (F.col("question") - 30).alias("question"))
     overlaid = normalize.overlay_drawings(i.ans, drawn).withColumn("question", F.col("question").cast("string"))
-    parts = normalize.answer_maps(overlaid, ["candidate_id"])
-    out = listing.minimal_output(i.cand, parts, ["candidate_number", "candidate_no"])
+    out = listing.minimal_output(i.cand, overlaid, ["candidate_number", "candidate_no"])
     return out.withColumn("answers", F.to_json("answers"))
 
 
@@ -341,26 +340,35 @@ def _(i):
     CASE WHEN length(response) > 80 THEN left(response, 80) || '...' ELSE response END, chr(10) ORDER BY question) AS t FROM v_draw GROUP BY 1),
   ml AS (SELECT candidate_id, '  Marked Answers:' || chr(10) || string_agg('    Q' || CAST(question AS VARCHAR) || ': ' || mark, chr(10) ORDER BY question) AS t FROM marks GROUP BY 1),
   sl AS (SELECT candidate_id, '  Score: ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' (' || CAST({PCT} AS VARCHAR) || '%)' AS t FROM scored)
-  SELECT c.candidate_id, CAST(0 AS BIGINT) AS part, concat_ws(chr(10), '  Candidate Name: ' || c.candidate_name, '  Candidate Number: ' || coalesce(c.candidate_number, 'None'),
+  SELECT c.candidate_id, CAST(0 AS BIGINT) AS part, concat_ws(chr(10), '--- Candidate ' || CAST({PAGED} AS VARCHAR) || ' ---', '  Candidate Name: ' || c.candidate_name, '  Candidate Number: ' || coalesce(c.candidate_number, 'None'),
     '  Country: ' || c.country, al.t, dl.t, ml.t, sl.t) AS report FROM v_cand c LEFT JOIN al ON al.candidate_id = c.candidate_id
-  LEFT JOIN dl ON dl.candidate_id = c.candidate_id LEFT JOIN ml ON ml.candidate_id = c.candidate_id LEFT JOIN sl ON sl.candidate_id = c.candidate_id""",
+  LEFT JOIN dl ON dl.candidate_id = c.candidate_id LEFT JOIN ml ON ml.candidate_id = c.candidate_id LEFT JOIN sl ON sl.candidate_id = c.candidate_id""".replace("(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"),
 )
 def _(i):
     asked = matched(i).select("candidate_id", "key_id").join(i.key.select("key_id", "question", "correct"), "key_id")
     marks = marking.mark_answers(asked, i.ans)
-    head = i.cand.select("candidate_id", "candidate_name", "candidate_number", "country")
+    head = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "country"))
     return reports.report_text(head, i.ans, i.draw, marks, scored(i).select("candidate_id", "correct", "total", "percentage"), ["candidate_name", "candidate_number", "country"])
 
 
 STAMP = "2024-01-01T00:00:00"
 
 
+@query(
+    "f18_report_heads",
+    f"""WITH {COUNTS} SELECT b.submission_id, '=== Exam Answer Sheet: ' || b.filename || ' ===' || chr(10) || 'Extracted at: {STAMP}' || chr(10) ||
+    'Total candidates: ' || CAST(count(c.candidate_id) AS VARCHAR) AS head FROM v_sub b LEFT JOIN counts c ON c.submission_id = b.submission_id GROUP BY b.submission_id, b.filename""",
+)
+def _(i):
+    return reports.report_heads(i.sub, counts(i), STAMP)
+
+
 @query(
     "f19_document_envelopes",
     f"""WITH {COUNTS}, t AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE answers > 0) AS pd FROM counts GROUP BY 1),
   m AS (SELECT candidate_id, '{{' || string_agg('"' || CAST(question AS VARCHAR) || '":"' || answer || '"', ',' ORDER BY question) || '}}' AS answers FROM v_ans GROUP BY 1),
   p AS (SELECT c.submission_id, ({PAGED} - 1) // 4 AS part, c.candidate_id, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(to_json(c.candidate_number), 'null') ||
-    ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, 'null') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id)
+    ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, '{{}}') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id)
   SELECT p.submission_id, p.part, '{{"document_information":{{"filename":"' || any_value(b.filename) || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(any_value(t.n) AS VARCHAR) ||
     ',"pages_processed":' || CAST(any_value(b.pages_count) AS VARCHAR) || ',"pages_with_data":' || CAST(any_value(t.pd) AS VARCHAR) || '}},"candidates":[' ||
     string_agg(p.j, ',' ORDER BY p.candidate_id) || ']}}' AS document FROM p JOIN t ON t.submission_id = p.submission_id JOIN v_sub b ON b.submission_id = p.submission_id GROUP BY 1, 2""".replace(
@@ -368,6 +376,7 @@ STAMP = "2024-01-01T00:00:00"
     ),
 )
 def _(i):
-    maps = normalize.answer_maps(i.ans.withColumn("question", F.col("question").cast("string")), ["candidate_id"]).drop("part")
-    cand = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "paper_type")).join(maps, "candidate_id", "left")
+    given = i.ans.withColumn("question", F.col("question").cast("string"))
+    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id")).drop("part")
+    cand = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "paper_type")).join(maps, "candidate_id")
     return reports.envelopes(i.sub, cand, counts(i), ["candidate_name", "candidate_number", "paper_type", "answers"], STAMP, per_part=4)
