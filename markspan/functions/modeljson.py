@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from markspan.functions.codes import strip
 from markspan.schema import FORMAT_RESPONSE, TEXT_MAP
 
+# Code fences around a response.
 FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
+FENCE_START, FENCE_END = r"```json?\s*", r"```\s*$"
 
 
 def _one_object(c: Column) -> Column:
@@ -56,7 +58,7 @@ def text_map(obj: Column) -> Column:
 def format_text(response: Column) -> Column:
     """A format response without its code fence."""
     raw = strip(response)
-    bare = F.regexp_replace(F.regexp_replace(raw, r"```json?\s*", ""), r"```\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(raw, FENCE_START, ""), FENCE_END, "")
     return strip(F.when(raw.startswith("```"), bare).otherwise(raw))
 
 

@@ -129,7 +129,8 @@ def progress_percent(submissions: DataFrame, log: DataFrame) -> DataFrame:
 
 def _timed(log: DataFrame) -> tuple[DataFrame, list[str], Column]:
     at, num = event_order()
-    return log.withColumn("__at", at).withColumn("__id", num), ["__at", "__id"], ordered.time_block(F.col("__at"))
+    zoned = log.schema["created_at"].dataType.typeName() == "timestamp"
+    return log.withColumn("__at", at).withColumn("__id", num), ["__at", "__id"], ordered.time_block(F.col("__at"), zoned)
 
 
 def running_progress(log: DataFrame) -> DataFrame:

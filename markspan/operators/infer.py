@@ -13,6 +13,7 @@ from markspan.operators.layout import representative_pages
 from markspan.operators.normalize import parse_format_responses
 
 PageFunction = Callable[[dict], str]
+# Fixed value: seconds to wait after the first and the second failure.
 WAITS = (2.0, 4.0)
 
 # Fixed value: wording of the questions a prompt asks, by type.

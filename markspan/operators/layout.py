@@ -81,7 +81,8 @@ def largest_regions(regions: DataFrame, region_type: str = "answer_grid") -> Dat
 def layout_hashes(regions: DataFrame) -> DataFrame:
     """Fingerprint of each page's regions on a 10 x 10 grid.
 
-    Equal cells are counted before the page's cells are brought together, so repeats never pile up in one task."""
+    Equal cells are counted before the page's cells are brought together, so repeats do not pile up in one task; only the
+    hashed text itself is as long as the page's own region list."""
     def cell(value: str, size: str) -> Column:
         return (F.col(value) / F.col(size) * GRID_CELLS).cast("bigint")
 

@@ -23,8 +23,9 @@ def id_block(c: Column, rows: int = ROWS_PER_BLOCK) -> Column:
     return F.floor(c / F.lit(rows))
 
 
-def time_block(ts: Column, unit: str = "SECOND") -> Column:
-    return F.date_trunc(unit, ts)
+def time_block(ts: Column, zoned: bool = False) -> Column:
+    """Blocks of one second. A time without zone is cut as text, since a cast could reorder it in the session's zone."""
+    return F.date_trunc("SECOND", ts) if zoned else F.left(ts.cast("string"), F.lit(19))
 
 
 def in_blocks(

@@ -255,10 +255,12 @@ def envelopes(
 ) -> DataFrame:
     """One JSON document per source file: document information and candidates in page order.
 
-    A file with more than `per_part` pages becomes several documents, numbered by `part`."""
+    A file with more than `per_part` pages becomes several documents, numbered by `part`. Where `candidates` says which
+    part of a sheet's answers a row holds (`answers_part`), later parts go to documents of their own."""
+    split = ["answers_part"] if "answers_part" in candidates.columns else []
     totals = submission_counts(counts).select("submission_id", "candidates_count", "pages_with_data")
     page = F.col("page_number")
-    parts = candidates.groupBy("submission_id", F.floor((page - 1) / per_part).alias("part")).agg(
+    parts = candidates.groupBy("submission_id", F.floor((page - 1) / per_part).alias("part"), *split).agg(
         F.array_sort(
             F.collect_list(F.struct(page.alias("p"), F.struct(*columns).alias("c"))), lambda a, b: F.sign(a["p"] - b["p"]).cast("int")
         ).alias("list")
@@ -269,7 +271,7 @@ def envelopes(
         F.col("pages_count").alias("pages_processed"), "pages_with_data",
     )
     doc = F.struct(info.alias("document_information"), F.transform("list", lambda x: x["c"]).alias("candidates"))
-    return joined.select("submission_id", "part", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+    return joined.select("submission_id", "part", *split, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def key_rows(df: DataFrame, answers: str = "answers_json", drawing: str = "drawing_json") -> DataFrame:

@@ -369,7 +369,7 @@ def _(i):
   m AS (SELECT candidate_id, '{{' || string_agg('"' || CAST(question AS VARCHAR) || '":"' || answer || '"', ',' ORDER BY question) || '}}' AS answers FROM v_ans GROUP BY 1),
   p AS (SELECT c.submission_id, ({PAGED} - 1) // 4 AS part, c.candidate_id, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(to_json(c.candidate_number), 'null') ||
     ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, '{{}}') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id)
-  SELECT p.submission_id, p.part, '{{"document_information":{{"filename":"' || any_value(b.filename) || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(any_value(t.n) AS VARCHAR) ||
+  SELECT p.submission_id, p.part, CAST(0 AS BIGINT) AS answers_part, '{{"document_information":{{"filename":"' || any_value(b.filename) || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(any_value(t.n) AS VARCHAR) ||
     ',"pages_processed":' || CAST(any_value(b.pages_count) AS VARCHAR) || ',"pages_with_data":' || CAST(any_value(t.pd) AS VARCHAR) || '}},"candidates":[' ||
     string_agg(p.j, ',' ORDER BY p.candidate_id) || ']}}' AS document FROM p JOIN t ON t.submission_id = p.submission_id JOIN v_sub b ON b.submission_id = p.submission_id GROUP BY 1, 2""".replace(
         "(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"
@@ -377,6 +377,6 @@ def _(i):
 )
 def _(i):
     given = i.ans.withColumn("question", F.col("question").cast("string"))
-    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id")).drop("part")
+    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id")).withColumnRenamed("part", "answers_part")
     cand = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "paper_type")).join(maps, "candidate_id")
     return reports.envelopes(i.sub, cand, counts(i), ["candidate_name", "candidate_number", "paper_type", "answers"], STAMP, per_part=4)

@@ -33,13 +33,16 @@ def _(i):
 
 @query(
     "r2_live_status",
-    """SELECT submission_id, id, action, message, created_at FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log) WHERE rn = 1""",
+    """WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log) WHERE rn = 1),
+  p AS (SELECT submission_id, coalesce(nullif(nullif(json_extract_string(extra_data, '$.page'), ''), '0'), nullif(nullif(json_extract_string(extra_data, '$.current'), ''), '0')) AS current_page,
+    coalesce(nullif(json_extract_string(extra_data, '$.label'), ''), nullif(json_extract_string(extra_data, '$.candidate_name'), '')) AS current_candidate
+    FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log WHERE action = 'page_progress') WHERE rn = 1)
+  SELECT n.submission_id, n.id, n.action, n.message, n.created_at, p.current_page, p.current_candidate FROM n LEFT JOIN p ON p.submission_id = n.submission_id""",
 )
 def _(i):
     out = new_path(i.spark, "status")
     jobs.run_batches(jobs.live_status(i.stream("v_log")), out, "update")
-    schema = "submission_id BIGINT, id BIGINT, action STRING, message STRING, created_at TIMESTAMP_NTZ"
-    return jobs.newest_rows(i.spark, out, ["submission_id"], schema)
+    return jobs.newest_rows(i.spark, out, ["submission_id"], jobs.STATUS)
 
 
 @query(

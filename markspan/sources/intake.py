@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions.text import base_name, dated_path, safe_token, stem
 
+# The size limit and the reasons shown.
 MAX_BYTES = 50 * 1024 * 1024
 NOT_PDF, TOO_LARGE = "Only PDF files are allowed", "File size must be less than 50MB"
 

@@ -15,9 +15,12 @@ from pyspark.sql.utils import AnalysisException
 
 from markspan.functions import codes, modeljson
 from markspan.operators import infer, marking
-from markspan.operators.events import event_order
+from markspan.operators.events import event_order, payload_fields
 
 BATCH = "batch_id"
+STATUS = (
+    "submission_id BIGINT, id BIGINT, action STRING, message STRING, created_at TIMESTAMP_NTZ, current_page STRING, current_candidate STRING"
+)
 
 # The status an action leads to; a higher rank is never undone by a lower one.
 LIFECYCLE = {
@@ -95,9 +98,16 @@ def process_new_responses(stream: DataFrame, id_col: str, out: str) -> None:
 
 
 def live_status(log: DataFrame) -> DataFrame:
-    """The newest event of each submission; partial maxima are formed before the shuffle."""
-    newest = F.max_by(F.struct("id", "action", "message", "created_at"), F.struct(*event_order()))
-    return log.groupBy("submission_id").agg(newest.alias("e")).select("submission_id", "e.*")
+    """The newest event of each submission, and the page and candidate of its newest page event.
+
+    Partial maxima are formed before the shuffle; state is one row per submission."""
+    order = F.struct(*event_order())
+    paged = F.when(F.col("action") == "page_progress", order)
+    newest = payload_fields(log).groupBy("submission_id").agg(
+        F.max_by(F.struct("id", "action", "message", "created_at"), order).alias("e"),
+        F.max_by(F.struct(F.col("page").alias("current_page"), F.col("label").alias("current_candidate")), paged).alias("p"),
+    )
+    return newest.select("submission_id", "e.*", "p.*")
 
 
 def lifecycle(log: DataFrame) -> DataFrame:

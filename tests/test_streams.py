@@ -11,7 +11,7 @@ from markspan.plans.views import Inputs
 from markspan.session import new_path
 from markspan.streaming import jobs
 
-LOG = "id BIGINT, submission_id BIGINT, action STRING, message STRING, created_at TIMESTAMP_NTZ"
+LOG = "id BIGINT, submission_id BIGINT, action STRING, message STRING, extra_data STRING, created_at TIMESTAMP_NTZ"
 
 
 def files(df, spark, name, n=3):
@@ -25,10 +25,10 @@ def rows(df):
 
 
 def test_status_and_lifecycle_over_batches(spark, folder):
-    log = Inputs(spark, folder).log.select("id", "submission_id", "action", "message", "created_at")
+    log = Inputs(spark, folder).log.select("id", "submission_id", "action", "message", "extra_data", "created_at")
     path = files(log, spark, "log")
     for build, schema in (
-        (jobs.live_status, "submission_id BIGINT, id BIGINT, action STRING, message STRING, created_at TIMESTAMP_NTZ"),
+        (jobs.live_status, jobs.STATUS),
         (jobs.lifecycle, "submission_id BIGINT, status STRING"),
     ):
         out = new_path(spark, "out")
