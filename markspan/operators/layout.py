@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from markspan.functions import pixels
 from markspan.operators.normalize import fallback_format
 from markspan.operators.ordered import id_block, nest_in_parts, number_rows
+from markspan.session import written
 
 # Grid and drawing-box rules.
 GRID_CELLS = 10
@@ -99,8 +100,8 @@ def layout_clusters(hashes: DataFrame) -> DataFrame:
 
 
 def cluster_pages(hashes: DataFrame, rows: int = 1000) -> DataFrame:
-    """The pages of each layout as arrays of at most `rows` pages."""
-    return nest_in_parts(hashes, ["layout_hash"], "page", F.col("page"), "pages", rows)
+    """The pages of each layout as arrays of at most `rows` pages. The hashes are stored first, as they are read twice."""
+    return nest_in_parts(written(hashes, "layouts"), ["layout_hash"], "page", F.col("page"), "pages", rows)
 
 
 def representative_pages(pages: DataFrame) -> DataFrame:

@@ -161,8 +161,11 @@ def scores_from_marks(marks: DataFrame) -> DataFrame:
 
 
 def marking_report(scored: DataFrame, rows: int = 1000) -> DataFrame:
-    """Per submission the number of marked candidates and their results, in parts of `rows` candidates."""
-    results = scored.filter(F.col("total").isNotNull())
+    """Per submission the number of marked candidates and their results, in parts of `rows` candidates.
+
+    The scores are stored first, as they are read three times here."""
+    columns = ["submission_id", "candidate_id", "correct", "total", "percentage"]
+    results = written(scored.filter(F.col("total").isNotNull()).select(*columns), "scores")
     counts = results.groupBy("submission_id").agg(F.count(F.lit(1)).alias("total_candidates_marked"))
     item = F.struct("candidate_id", "correct", "total", "percentage")
     parts = nest_in_parts(results, ["submission_id"], "candidate_id", item, "results", rows)

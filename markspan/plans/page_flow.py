@@ -44,7 +44,7 @@ def extract(
     )
     choices = placed.filter(has_mcq).select("page", lo.alias("lo"), hi.alias("hi"), F.col("answer_options").alias("options"))
     inside = marks.marked_options(cells).join(choices, "page").filter(F.col("question").between(F.col("lo"), F.col("hi")))
-    seen = marks.option_letters(inside, F.col("options"))
+    seen = written(marks.option_letters(inside, F.col("options")), "measured")
     needs = marks.needs_model(sheets.select("page", "format_id"), ranges, seen)
     routed = written(needs.select("page", "needs_model", (F.col("mcq_count") > 0).alias("has_mcq")), "routes")
 

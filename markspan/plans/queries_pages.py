@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from markspan.functions import codes, pixels
-from markspan.operators import layout, marks, normalize, ordered
-from markspan.plans.queries_answers import RANGES
+from markspan.operators import layout, marks, normalize
 from markspan.plans.registry import query
 
 # --- blank pages and pixel measures ----------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,23 @@ def test_percentage_equals_python_rounding(spark):
     wrong = [r for r in df.collect() if r.p != round(r.k / r.n * 100, 1)]
     assert wrong == []
     assert spark.createDataFrame([(0, 0)], "k bigint, n bigint").select(codes.percentage(F.col("k"), F.col("n"))).first()[0] == 0.0
+
+
+def brute_mcq(value, options):
+    """The rule in words: tokens standing alone decide first, then single letters anywhere."""
+    text = "" if value is None else value.strip().upper()
+    if text in codes.BLANK_TOKENS:
+        return "BL"
+    if text in codes.INVALID_TOKENS:
+        return "IN"
+    alone = {o for o in options if re.search(f"(?<![A-Z0-9]){o}(?![A-Z0-9])", text)}
+    found = alone or {c for c in text if c in options}
+    return found.pop() if len(found) == 1 else "IN"
+
+
+@pytest.mark.parametrize("options", [["A", "B", "C"], ["A", "B1", "12", "YES"]])
+def test_mcq_equals_brute_force(spark, options):
+    rng = random.Random(len(options))
+    values = ["".join(rng.choice("AaBbC1259-/ ,.YESyes") for _ in range(rng.randrange(0, 9))) for _ in range(3000)]
+    got = apply(spark, lambda c: codes.mcq_answer(c, options), values)
+    assert [(v, g) for v, g in zip(values, got, strict=True) if g != brute_mcq(v, options)] == []
