@@ -62,9 +62,13 @@ def call_pages(
 
 def detect_formats(pages: DataFrame, fn: PageFunction, attempts: int = 1) -> DataFrame:
     """One format per layout, from one call on the layout's best page; failures give the fallback format."""
-    chosen = representative_pages(pages).withColumnRenamed("layout_hash", "format_id")
-    answered = call_pages(chosen, fn, id_col="format_id", attempts=attempts, waits=())
-    return parse_format_responses(answered)
+    return formats_of(representative_pages(pages), fn, attempts)
+
+
+def formats_of(chosen: DataFrame, fn: PageFunction, attempts: int = 1) -> DataFrame:
+    """The formats of already chosen pages, one row (layout_hash, page) per layout."""
+    asked = chosen.withColumnRenamed("layout_hash", "format_id")
+    return parse_format_responses(call_pages(asked, fn, id_col="format_id", attempts=attempts, waits=()))
 
 
 def page_prompt(formats: DataFrame) -> DataFrame:

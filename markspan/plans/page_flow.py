@@ -2,22 +2,66 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspan.functions import modeljson
+from markspan.functions import codes, modeljson
 from markspan.operators import infer, layout, marks, normalize
 from markspan.session import written
 
 
-def response_answers(responses: DataFrame, id_col: str = "page") -> DataFrame:
-    """Raw answers (id, raw_key, raw_value, pos) from the responses that hold a JSON object."""
-    obj = modeljson.text_map(modeljson.object_text(F.col("response")))
-    inner = modeljson.text_map(obj["answers"])
-    rows = responses.select(id_col, F.posexplode(F.map_entries(inner)).alias("pos", "e"))
+NO_OBJECT = "No valid JSON object found in model response"
+# Confidence of a page by how it was read.
+CONFIDENCE = {"cv_only": 0.95, "llm_full": 0.9, "failed": 0.0}
+
+
+class Extraction(NamedTuple):
+    """`answers` (page, question, answer, method); `records` one row per page with headers, method, confidence, error."""
+
+    answers: DataFrame
+    records: DataFrame
+
+
+def response_answers(responses: DataFrame, id_col: str = "page", drawings: bool = False) -> DataFrame:
+    """Raw answers (id, raw_key, raw_value, pos) from the responses that hold a JSON object.
+
+    With `drawings` the questions of the drawing map follow as DR, so that they win over an answer of the same question."""
+    objects = responses.select(id_col, modeljson.text_map(modeljson.object_text(F.col("response"))).alias("o"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.coalesce(F.map_entries(modeljson.text_map(F.col("o")["answers"])), none)
+    if drawings:
+        drawn = F.transform(
+            F.map_keys(modeljson.text_map(F.col("o")["drawing_questions"])),
+            lambda k: F.struct(k.alias("key"), F.lit(codes.DRAWING).alias("value")),
+        )
+        entries = F.concat(entries, F.coalesce(drawn, none))
+    rows = objects.select(id_col, F.posexplode(entries).alias("pos", "e"))
     return rows.select(id_col, F.col("e.key").alias("raw_key"), F.col("e.value").alias("raw_value"), "pos")
 
 
+def page_records(measured_pages: DataFrame, full: DataFrame) -> DataFrame:
+    """Header fields, method, confidence and error of every page; measured pages have no header fields."""
+    objects = full.select("page", "error", modeljson.text_map(modeljson.object_text(F.col("response"))).alias("fields"))
+    read = normalize.resolve_headers(objects, "fields")
+    failed = F.col("fields").isNull()
+    unread = F.coalesce("error", F.lit(NO_OBJECT))
+    empty = F.create_map().cast("map<string,string>")
+    method = F.when(failed, F.lit("failed")).otherwise(F.lit("llm_full"))
+    called = read.select(
+        "page", *normalize.READ_ALIASES, F.coalesce(normalize.extra_after_read(F.col("fields")), empty).alias("extra_fields"),
+        method.alias("method"), F.when(failed, unread).alias("error"),
+    )
+    nothing = F.lit(None).cast("string")
+    quiet = measured_pages.select(
+        "page", *[nothing.alias(c) for c in normalize.READ_ALIASES], empty.alias("extra_fields"), F.lit("cv_only").alias("method"),
+        nothing.alias("error"),
+    )
+    levels = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
+    return quiet.unionByName(called).withColumn("confidence", levels[F.col("method")])
+
+
 def extract(
     pages: DataFrame,
     cells: DataFrame,
@@ -26,8 +70,8 @@ def extract(
     focused_fn: infer.PageFunction,
     concurrency: int | None = None,
     waits=infer.WAITS,
-) -> tuple[DataFrame, DataFrame]:
-    """Answers (page, question, answer, method) and page errors.
+) -> Extraction:
+    """Answers and one record per page that is not blank.
 
     `pages` is (page, layout_hash, quality, is_blank, ...) and should carry image paths, not image bytes, because pages
     are joined to their routes; `cells` holds measured ink. One format call per layout; the full and focused calls only
@@ -67,6 +111,4 @@ def extract(
     answers = measured.select("page", F.col("question").cast("string").alias("question"), "answer", F.lit("cv_only").alias("method")).unionByName(
         normal.select("page", "question", "answer", F.lit("llm_full").alias("method"))
     )
-    no_object = F.when(modeljson.object_text(F.col("response")).isNull(), F.lit("No valid JSON object found in model response"))
-    errors = full.select("page", F.coalesce("error", no_object).alias("error")).filter(F.col("error").isNotNull())
-    return answers, errors
+    return Extraction(answers, page_records(routed.filter(~F.col("needs_model")), full))

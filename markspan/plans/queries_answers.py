@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions import codes, modeljson
 from markspan.operators import listing, normalize, ordered, reports
+from markspan.plans.page_flow import NO_OBJECT
 from markspan.plans.registry import query, shown_map
 
 OPTS = "('A', 'B', 'C', 'D', 'E')"
@@ -174,9 +175,6 @@ def _(i):
     ).drop("header_fields")
 
 
-NO_OBJECT = "No valid JSON object found in model response"
-
-
 @query(
     "f10_json_recovery",
     f"""SELECT candidate_id, candidate_id % 5 <> 3 AS recovered,

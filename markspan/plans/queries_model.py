@@ -10,7 +10,7 @@ from markspan.functions import modeljson
 from markspan.operators import infer, layout, normalize
 from markspan.plans import page_flow
 from markspan.plans.queries_pages import CHOSEN, HASHES
-from markspan.plans.registry import query
+from markspan.plans.registry import query, shown_map
 from markspan.session import written
 
 
@@ -58,13 +58,13 @@ def _(i):
 
 @query(
     "x1_page_answers",
-    f"""WITH p AS ({ANSWERED}) SELECT page, q.k AS raw_key, CASE q.k WHEN '1' THEN substring('ABCDE', CAST(page % 5 + 1 AS INTEGER), 1) WHEN 'Q2' THEN '' ELSE CAST(page AS VARCHAR) END AS raw_value
-  FROM p CROSS JOIN (SELECT unnest(['1', 'Q2', '3']) AS k) q WHERE NOT failed""",
+    f"""WITH p AS ({ANSWERED}) SELECT page, q.k AS raw_key, CASE q.k WHEN '1' THEN substring('ABCDE', CAST(page % 5 + 1 AS INTEGER), 1) WHEN 'Q2' THEN '' WHEN '4' THEN 'DR' ELSE CAST(page AS VARCHAR) END AS raw_value
+  FROM p CROSS JOIN (SELECT unnest(['1', 'Q2', '3', '4']) AS k) q WHERE NOT failed""",
 )
 def _(i):
     pages = i.table("orders").select(F.col("o_orderkey").alias("page"))
     responses = written(infer.call_pages(pages, answer_page, waits=()), "responses")
-    return page_flow.response_answers(responses).drop("pos")
+    return page_flow.response_answers(responses, drawings=True).drop("pos")
 
 
 LAYOUTS = f"""{HASHES}, q AS (SELECT hs.layout_hash, hs.page, greatest(v.quality, 0) AS quality FROM hs JOIN v_quality v ON v.page = hs.page),
@@ -128,12 +128,18 @@ def flow(i):
   FROM want w FULL JOIN mg ON mg.page = w.page AND mg.q = w.q""",
 )
 def _(i):
-    return flow(i)[0]
+    return flow(i).answers
 
 
 @query(
-    "x3_page_flow_errors",
-    FLOW + " SELECT page, 'page ' || CAST(page AS VARCHAR) || ' is unreadable' AS error FROM rt WHERE needs AND page % 7 = 0",
+    "x3_page_flow_records",
+    FLOW
+    + """ SELECT page, CASE WHEN NOT needs THEN 'cv_only' WHEN page % 7 = 0 THEN 'failed' ELSE 'llm_full' END AS method,
+    CAST(CASE WHEN NOT needs THEN 0.95 WHEN page % 7 = 0 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence,
+    CASE WHEN needs AND page % 7 <> 0 THEN CAST(page AS VARCHAR) END AS candidate_number,
+    CASE WHEN needs AND page % 7 <> 0 THEN 'drawing_questions={"4":"curve"}' ELSE '' END AS extra,
+    CASE WHEN needs AND page % 7 = 0 THEN 'page ' || CAST(page AS VARCHAR) || ' is unreadable' END AS error FROM rt""",
 )
 def _(i):
-    return flow(i)[1]
+    r = flow(i).records
+    return r.select("page", "method", "confidence", "candidate_number", shown_map(F.col("extra_fields")).alias("extra"), "error")

@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from markspan.functions import codes, modeljson
 from markspan.operators import infer, marking
 from markspan.operators.events import event_order, payload_fields
+from markspan.operators.layout import representative_pages
 
 BATCH = "batch_id"
 STATUS = (
@@ -123,16 +124,19 @@ def lifecycle(log: DataFrame) -> DataFrame:
 
 
 def detect_new_layouts(stream: DataFrame, fn: infer.PageFunction, out: str) -> None:
-    """One format call per layout over all batches: layouts of earlier batches are left out before the call."""
+    """One format call per layout over all batches.
+
+    A batch is first reduced to one page per layout; layouts of earlier batches are then left out before the call."""
     spark = stream.sparkSession
 
     def build(batch: DataFrame, batch_id: int) -> DataFrame:
+        chosen = representative_pages(batch)
         try:
-            known = spark.read.option("basePath", out).parquet(out).filter(F.col(BATCH) < batch_id)
-            batch = batch.join(known.select(F.col("format_id").alias("layout_hash")), "layout_hash", "left_anti")
-        except AnalysisException:
-            pass  # no batch has been written yet
-        return infer.detect_formats(batch, fn)
+            stored = spark.read.parquet(out)
+        except AnalysisException:  # no batch has been written yet
+            return infer.formats_of(chosen, fn)
+        known = stored.filter(F.col(BATCH) < batch_id).select(F.col("format_id").alias("layout_hash"))
+        return infer.formats_of(chosen.join(known, "layout_hash", "left_anti"), fn)
 
     run_batches(stream, out, "append", build)
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from markspan.functions import pixels
-from markspan.operators import infer, layout, marks
+from markspan.operators import infer, layout, marks, normalize
 from markspan.plans import page_flow
 
 
@@ -111,9 +111,18 @@ def test_only_needed_pages_reach_the_model(spark, tmp_path):
         seen("focused", row)
         return '{"answers": {"2": "D"}}'
 
-    answers, errors = page_flow.extract(pages, cells, fmt, full, focused, waits=())
+    answers, records = page_flow.extract(pages, cells, fmt, full, focused, waits=())
     got = {(r.page, r.question): (r.answer, r.method) for r in answers.collect()}
     assert got == {(1, "1"): ("B", "cv_only"), (1, "2"): ("A", "cv_only"), (2, "1"): ("C", "llm_full"), (2, "2"): ("D", "llm_full")}
-    assert {r.page for r in errors.collect()} == {3}
+    kinds = {r.page: (r.method, r.confidence, r.error) for r in records.collect()}
+    assert kinds == {1: ("cv_only", 0.95, None), 2: ("llm_full", 0.9, None), 3: ("failed", 0.0, page_flow.NO_OBJECT)}
     made = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
     assert made == ["focused-2", "format-1", "format-3", "full-2", "full-3"]
+
+
+def test_drawings_win_over_answers(spark):
+    text = '{"answers": {"1": "A", "2": "B"}, "drawing_questions": {"2": "arc", "7": "line"}}'
+    df = spark.createDataFrame([(1, text), (2, '{"answers": null}'), (3, "x")], "page bigint, response string")
+    rows = page_flow.response_answers(df, drawings=True)
+    kept = normalize.keyed_answers(rows, ["page"], "raw_key", "raw_value", "pos")
+    assert {(r.page, r.question): r.value for r in kept.collect()} == {(1, "1"): "A", (1, "2"): "DR", (1, "7"): "DR"}
