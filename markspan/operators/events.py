@@ -70,61 +70,72 @@ def payload_fields(log: DataFrame) -> DataFrame:
     )
 
 
+def _whole_number(c: Column) -> Column:
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
 def event_message(action: Column, message: Column, payload: Column) -> Column:
     page, current, total = (finite_number(json_text(payload, f)) for f in ("page", "current", "total"))
     who = F.coalesce(strip(first_text(json_text(payload, "label"), json_text(payload, "candidate_name"))), F.lit(""))
     who = F.when(who == "", F.lit("")).otherwise(F.concat(F.lit(" - "), who))
-    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     labels = F.create_map(*[F.lit(x) for pair in ACTION_LABELS.items() for x in pair])
     return (
-        F.when((action == "page_progress") & (page != 0), F.concat(F.lit("Processed page "), number(page), who))
+        F.when((action == "page_progress") & (page != 0), F.concat(F.lit("Processed page "), _whole_number(page), who))
         .when(
             (action == "page_progress") & (current != 0) & (total != 0),
-            F.concat(F.lit("Step "), number(current), F.lit(" of "), number(total)),
+            F.concat(F.lit("Step "), _whole_number(current), F.lit(" of "), _whole_number(total)),
         )
         .otherwise(first_text(message, labels[action], action, F.lit("Log event")))
     )
 
 
-def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), half_up(c))).cast("bigint")
-
-
-def progress_percent(submissions: DataFrame, log: DataFrame) -> DataFrame:
-    """Percent done per submission from its status and its newest page event.
+def progress_state(submissions: DataFrame, log: DataFrame) -> DataFrame:
+    """Percent, current page, total and label per submission, from its status and its newest page event.
 
-    `submissions` is (submission_id, status, pages_count, current_page)."""
-    latest = latest_event(log.select("submission_id", "id", "action", "extra_data", "created_at"), "page_progress")
-    started = (
-        log.filter(F.col("action").isin("extract_start", "page_progress")).groupBy("submission_id").agg(F.lit(True).alias("started"))
-    )
-    joined = submissions.join(latest.select("submission_id", "extra_data"), "submission_id", "left").join(
-        started, "submission_id", "left"
+    `submissions` is (submission_id, status, pages_count, current_page, error_message)."""
+    columns = ["submission_id", "id", "action", "message", "extra_data", "created_at"]
+    latest = latest_event(log.select(*columns), "page_progress").select("submission_id", "message", "extra_data")
+    begun = log.filter(F.col("action").isin("extract_start", "page_progress"))
+    started = begun.groupBy("submission_id").agg(F.lit(True).alias("started"))
+    joined = submissions.join(latest, "submission_id", "left").join(started, "submission_id", "left")
+    read = joined.withColumns(
+        {
+            "log_progress": finite_number(json_text(F.col("extra_data"), "progress")),
+            "log_current": F.coalesce(*[finite_number(json_text(F.col("extra_data"), f)) for f in ("current", "page")]),
+            "log_total": finite_number(json_text(F.col("extra_data"), "total")),
+            "pages": F.coalesce(F.col("pages_count").cast("double"), F.lit(0.0)),
+            "at_page": F.coalesce(F.col("current_page").cast("double"), F.lit(0.0)),
+            "log_label": event_message(F.lit("page_progress"), F.col("message"), F.col("extra_data")),
+        }
     )
-    p = F.col("extra_data")
-    log_progress = finite_number(json_text(p, "progress"))
-    log_current = F.coalesce(finite_number(json_text(p, "current")), finite_number(json_text(p, "page")))
-    log_total = finite_number(json_text(p, "total"))
-    pages = F.coalesce(F.col("pages_count").cast("double"), F.lit(0.0))
-    page = F.coalesce(F.col("current_page").cast("double"), F.lit(0.0))
+    log_progress, log_current, pages, page = (F.col(c) for c in ("log_progress", "log_current", "pages", "at_page"))
     share = F.when(log_progress <= 1, log_progress * 100).otherwise(log_progress)
-    total = F.coalesce(log_total, pages)
-    failed_at = F.coalesce(log_current, page)
-    by_log = (log_current != 0) & (total != 0)
-    percent = (
-        F.when(F.col("status") == "completed", F.lit(100).cast("bigint"))
+    total, current = F.coalesce("log_total", "pages"), F.coalesce("log_current", "at_page")
+    failed_share = F.when(log_progress.isNotNull(), share).when((current != 0) & (total != 0), current / total * 100).otherwise(0.0)
+    none = F.lit(None).cast("double")
+    working = first_text(F.col("log_label"), F.lit("Processing..."))
+    is_started = F.coalesce("started", F.lit(False))
+
+    def state(percent: Column, now: Column, of: Column, label: Column) -> Column:
+        shown = F.greatest(F.lit(0), F.least(F.lit(100), half_up(percent))).cast("bigint")
+        return F.struct(shown.alias("percent"), now.alias("current"), of.alias("total"), label.alias("label"))
+
+    # The percentages and labels shown in each state.
+    by_page = F.concat(F.lit("Processing page "), _whole_number(page), F.lit(" of "), _whole_number(pages))
+    shown = (
+        F.when(F.col("status") == "completed", state(F.lit(100.0), pages, pages, F.lit("Processing complete")))
         .when(
             F.col("status") == "failed",
-            _clamp(F.when(log_progress.isNotNull(), share).when((failed_at != 0) & (total != 0), failed_at / total * 100).otherwise(0.0)),
+            state(failed_share, current, total, first_text(F.col("error_message"), F.lit("Processing failed"))),
         )
-        .when(F.col("status") == "pending", F.lit(5).cast("bigint"))
-        .when((pages != 0) & (page != 0), _clamp(page / pages * 100))
-        .when(log_progress.isNotNull(), _clamp(share))
-        .when(by_log, _clamp(log_current / total * 100))
-        .when(F.coalesce("started", F.lit(False)), F.lit(12).cast("bigint"))
-        .otherwise(F.lit(8).cast("bigint"))
+        .when(F.col("status") == "pending", state(F.lit(5.0), none, pages, F.lit("Queued for processing")))
+        .when((pages != 0) & (page != 0), state(page / pages * 100, page, pages, by_page))
+        .when(log_progress.isNotNull(), state(share, current, total, working))
+        .when((log_current != 0) & (total != 0), state(log_current / total * 100, log_current, total, working))
+        .when(is_started, state(F.lit(12.0), none, total, F.lit("Extraction started")))
+        .otherwise(state(F.lit(8.0), none, total, F.lit("Preparing extraction...")))
     )
-    return joined.select("submission_id", "status", percent.alias("percent"))
+    return read.select("submission_id", "status", shown.alias("s")).select("submission_id", "status", "s.*")
 
 
 def _timed(log: DataFrame) -> tuple[DataFrame, list[str], Column]:
@@ -141,6 +152,25 @@ def running_progress(log: DataFrame) -> DataFrame:
     return out.withColumn("progress", share).drop(*order)
 
 
+def page_progress_events(pages: DataFrame) -> DataFrame:
+    """The progress event of each page of a run.
+
+    `pages` is (submission_id, page_number, label, answers_count, drawing_count), a page number once per submission."""
+    block = ordered.id_block(F.col("page_number"))
+    rows = ordered.number_rows(pages, ["submission_id"], [F.col("page_number")], block, "current", "total")
+    share = F.bround(F.col("current") / F.greatest(F.col("total"), F.lit(1)), 4)
+    message = F.format_string(
+        "Page %d: %d answers, %d drawing (%d/%d)", "page_number", "answers_count", "drawing_count", "current", "total"
+    )
+    payload = F.struct(
+        F.col("page_number").alias("page"), "current", "total", share.alias("progress"), "label", "answers_count", "drawing_count"
+    )
+    return rows.select(
+        "submission_id", F.lit("page_progress").alias("action"), F.lit("info").alias("status"), message.alias("message"),
+        F.to_json(payload).alias("extra_data"),
+    )
+
+
 def monotonic_progress(log: DataFrame, value: Column) -> DataFrame:
     """The highest value so far, so that a shown progress never goes back."""
     rows, order, block = _timed(log)

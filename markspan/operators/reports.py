@@ -75,8 +75,8 @@ def status_counters(submissions: DataFrame, log: DataFrame, counts: DataFrame) -
     )
 
 
-def completion_events(submissions: DataFrame, counts: DataFrame, seconds: Column) -> DataFrame:
-    """The summary event of each submission, as a log row payload."""
+def completion_events(submissions: DataFrame, counts: DataFrame, seconds: dict[str, Column]) -> DataFrame:
+    """The summary event of each submission, as a log row payload; `seconds` names the durations, total_seconds among them."""
     joined = submission_summary(submissions, counts)
     payload = F.struct(
         F.col("candidates_count").alias("candidate_count"),
@@ -84,10 +84,10 @@ def completion_events(submissions: DataFrame, counts: DataFrame, seconds: Column
         F.col("dr_answers").alias("drawing_count"),
         F.col("pages_count").alias("pages_processed"),
         "pages_with_data",
-        F.bround(seconds, 2).alias("total_seconds"),
+        *[F.bround(c, 2).alias(name) for name, c in seconds.items()],
     )
     message = F.concat(
-        F.lit("Extracted "), F.col("candidates_count").cast("string"), F.lit(" candidates in "), F.format_string("%.1fs", seconds)
+        F.lit("Extracted "), F.col("candidates_count").cast("string"), F.lit(" candidates in "), F.format_string("%.1fs", seconds["total_seconds"])
     )
     return joined.select(
         "submission_id", F.lit("extract_complete").alias("action"), F.lit("success").alias("status"),

@@ -84,26 +84,39 @@ def _(i):
     return events.payload_fields(i.log).select("id", "page", "label", "candidate_count", "answers_count", "drawing_count")
 
 
+SHOWN = "CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+
+
+MESSAGE = f"""CASE WHEN {NUM.format(f='page')} <> 0 THEN 'Processed page ' || {SHOWN.format(x=NUM.format(f='page'))} ||
+      coalesce(' - ' || nullif(trim(coalesce(nullif(json_extract_string(extra_data, '$.label'), ''), json_extract_string(extra_data, '$.candidate_name'))), ''), '')
+    WHEN {NUM.format(f='current')} <> 0 AND {NUM.format(f='total')} <> 0 THEN 'Step ' || {SHOWN.format(x=NUM.format(f='current'))} || ' of ' || {SHOWN.format(x=NUM.format(f='total'))}
+    WHEN message <> '' THEN message ELSE 'Progress update' END"""
+
+
 @query(
     "f21_progress_percent",
-    f"""WITH lp AS (SELECT submission_id, {NUM.format(f='progress')} AS g, coalesce({NUM.format(f='current')}, {NUM.format(f='page')}) AS c, {NUM.format(f='total')} AS t
+    f"""WITH lp AS (SELECT submission_id, {NUM.format(f='progress')} AS g, coalesce({NUM.format(f='current')}, {NUM.format(f='page')}) AS c, {NUM.format(f='total')} AS t, {MESSAGE} AS m
     FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log WHERE action = 'page_progress') WHERE rn = 1),
   st AS (SELECT DISTINCT submission_id, TRUE AS started FROM v_log WHERE action IN ('extract_start', 'page_progress')),
-  j AS (SELECT s.submission_id, s.status, CAST(s.pages_count AS DOUBLE) AS pages, CAST(s.submission_id % 7 AS DOUBLE) AS page, lp.g, lp.c, coalesce(lp.t, CAST(s.pages_count AS DOUBLE)) AS total,
-    CASE WHEN lp.g <= 1 THEN lp.g * 100 ELSE lp.g END AS share, coalesce(st.started, FALSE) AS started
+  j AS (SELECT s.submission_id, s.status, CAST(s.pages_count AS DOUBLE) AS pages, CAST(s.submission_id % 3 AS DOUBLE) AS page, lp.g, lp.c, lp.m, coalesce(lp.t, CAST(s.pages_count AS DOUBLE)) AS tt,
+    CASE WHEN lp.g <= 1 THEN lp.g * 100 ELSE lp.g END AS share, coalesce(st.started, FALSE) AS started, CASE WHEN s.submission_id % 8 = 3 THEN 'broken ' || s.filename END AS err
     FROM v_sub s LEFT JOIN lp ON lp.submission_id = s.submission_id LEFT JOIN st ON st.submission_id = s.submission_id),
-  r AS (SELECT submission_id, status, CASE WHEN status = 'completed' THEN 100
-    WHEN status = 'failed' THEN CASE WHEN g IS NOT NULL THEN share WHEN coalesce(c, page) <> 0 AND total <> 0 THEN coalesce(c, page) / total * 100 ELSE 0 END
-    WHEN status = 'pending' THEN 5 WHEN pages <> 0 AND page <> 0 THEN page / pages * 100 WHEN g IS NOT NULL THEN share
-    WHEN c <> 0 AND total <> 0 THEN c / total * 100 WHEN started THEN 12 ELSE 8 END AS x FROM j)
-  SELECT submission_id, status, CAST(greatest(0, least(100, floor(x + 0.5))) AS BIGINT) AS percent FROM r""",
+  k AS (SELECT *, CASE WHEN status IN ('completed', 'failed', 'pending') THEN status WHEN pages <> 0 AND page <> 0 THEN 'page' WHEN g IS NOT NULL THEN 'share'
+    WHEN c <> 0 AND tt <> 0 THEN 'log' WHEN started THEN 'started' ELSE 'new' END AS w FROM j),
+  r AS (SELECT submission_id, status, CASE w WHEN 'completed' THEN 100 WHEN 'failed' THEN CASE WHEN g IS NOT NULL THEN share WHEN coalesce(c, page) <> 0 AND tt <> 0 THEN coalesce(c, page) / tt * 100 ELSE 0 END
+      WHEN 'pending' THEN 5 WHEN 'page' THEN page / pages * 100 WHEN 'share' THEN share WHEN 'log' THEN c / tt * 100 WHEN 'started' THEN 12 ELSE 8 END AS x,
+    CASE w WHEN 'completed' THEN pages WHEN 'page' THEN page WHEN 'failed' THEN coalesce(c, page) WHEN 'share' THEN coalesce(c, page) WHEN 'log' THEN c END AS "current",
+    CASE w WHEN 'completed' THEN pages WHEN 'pending' THEN pages WHEN 'page' THEN pages ELSE tt END AS total,
+    CASE w WHEN 'completed' THEN 'Processing complete' WHEN 'failed' THEN coalesce(err, 'Processing failed') WHEN 'pending' THEN 'Queued for processing'
+      WHEN 'page' THEN 'Processing page ' || {SHOWN.format(x='page')} || ' of ' || {SHOWN.format(x='pages')} WHEN 'share' THEN m WHEN 'log' THEN m WHEN 'started' THEN 'Extraction started' ELSE 'Preparing extraction...' END AS label FROM k)
+  SELECT submission_id, status, CAST(greatest(0, least(100, floor(x + 0.5))) AS BIGINT) AS percent, "current", total, label FROM r""",
 )
 def _(i):
-    subs = i.sub.select("submission_id", "status", "pages_count", (F.col("submission_id") % 7).alias("current_page"))
-    return events.progress_percent(subs, i.log)
-
-
-SHOWN = "CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+    error = F.when(F.col("submission_id") % 8 == 3, F.concat(F.lit("broken "), F.col("filename")))
+    subs = i.sub.select(
+        "submission_id", "status", "pages_count", (F.col("submission_id") % 3).alias("current_page"), error.alias("error_message")
+    )
+    return events.progress_state(subs, i.log)
 
 
 @query(

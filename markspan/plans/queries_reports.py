@@ -209,11 +209,30 @@ def _(i):
   SELECT submission_id, 'extract_complete' AS action, 'success' AS status,
     'Extracted ' || CAST(n AS VARCHAR) || ' candidates in ' || CAST(pages_count AS VARCHAR) || '.5s' AS message,
     '{{"candidate_count":' || CAST(n AS VARCHAR) || ',"answers_count":' || CAST(a AS VARCHAR) || ',"drawing_count":' || CAST(dr AS VARCHAR) ||
-    ',"pages_processed":' || CAST(pages_count AS VARCHAR) || ',"pages_with_data":' || CAST(pd AS VARCHAR) || ',"total_seconds":' || CAST(pages_count AS VARCHAR) || '.5}}' AS extra_data
+    ',"pages_processed":' || CAST(pages_count AS VARCHAR) || ',"pages_with_data":' || CAST(pd AS VARCHAR) || ',"conversion_seconds":' || CAST(pages_count * CAST(0.25 AS DOUBLE) AS VARCHAR) ||
+    ',"extraction_seconds":' || CAST(pages_count * CAST(0.5 AS DOUBLE) AS VARCHAR) || ',"total_seconds":' || CAST(pages_count AS VARCHAR) || '.5}}' AS extra_data
   FROM s""",
 )
 def _(i):
-    return reports.completion_events(i.sub, counts(i), F.col("pages_count") + F.lit(0.5))
+    pages = F.col("pages_count")
+    seconds = {"conversion_seconds": pages * F.lit(0.25), "extraction_seconds": pages * F.lit(0.5), "total_seconds": pages + F.lit(0.5)}
+    return reports.completion_events(i.sub, counts(i), seconds)
+
+
+@query(
+    "s8_page_progress_events",
+    f"""WITH {COUNTS}, n AS (SELECT c.*, {PAGED} AS page, count(*) OVER (PARTITION BY submission_id) AS total FROM counts c)
+  SELECT submission_id, 'page_progress' AS action, 'info' AS status, 'Page ' || CAST(page AS VARCHAR) || ': ' || CAST(answers AS VARCHAR) || ' answers, ' || CAST(dr AS VARCHAR) ||
+    ' drawing (' || CAST(page AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ')' AS message,
+    '{{"page":' || CAST(page AS VARCHAR) || ',"current":' || CAST(page AS VARCHAR) || ',"total":' || CAST(total AS VARCHAR) || ',"progress":' || CAST({half_even_sql('page', 'total', 4)} AS VARCHAR) ||
+    ',"label":"' || CAST(candidate_id AS VARCHAR) || '","answers_count":' || CAST(answers AS VARCHAR) || ',"drawing_count":' || CAST(dr AS VARCHAR) || '}}' AS extra_data FROM n""",
+)
+def _(i):
+    pages = paged(i, counts(i)).select(
+        "submission_id", "page_number", F.col("candidate_id").cast("string").alias("label"), F.col("answers").alias("answers_count"),
+        F.col("dr_answers").alias("drawing_count"),
+    )
+    return events.page_progress_events(pages)
 
 
 # --- validation ------------------------------------------------------------------------------------------------
