@@ -75,6 +75,15 @@ def status_counters(submissions: DataFrame, log: DataFrame, counts: DataFrame) -
     )
 
 
+def submission_status(submissions: DataFrame, log: DataFrame, counts: DataFrame) -> DataFrame:
+    """The status view: file, counters, and the page and candidate of the newest page event."""
+    at = payload_fields(latest_event(log, "page_progress")).select(
+        "submission_id", F.col("page").alias("current_page"), F.col("label").alias("current_candidate")
+    )
+    counters = status_counters(submissions.select("submission_id", "status"), log, counts)
+    return submissions.drop("status").join(counters, "submission_id").join(at, "submission_id", "left")
+
+
 def completion_events(submissions: DataFrame, counts: DataFrame, seconds: dict[str, Column]) -> DataFrame:
     """The summary event of each submission, as a log row payload; `seconds` names the durations, total_seconds among them."""
     joined = submission_summary(submissions, counts)

@@ -167,20 +167,33 @@ LATEST_DONE = """done AS (SELECT submission_id, TRY_CAST(json_extract_string(ext
     FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log WHERE action = 'extract_complete') WHERE rn = 1)"""
 
 
-@query(
-    "a2_status_counters",
-    f"""WITH {COUNTS}, {LATEST_DONE},
+STATUS_CTES = f"""{COUNTS}, {LATEST_DONE},
   own AS (SELECT submission_id, count(*) AS cc, sum(answers) AS ac, sum(CASE WHEN drawings > 0 THEN drawings ELSE dr END) AS dc FROM counts GROUP BY 1),
   j AS (SELECT b.submission_id, b.status, coalesce(d.cc, 0) AS cc, coalesce(d.ac, 0) AS ac, coalesce(d.dc, 0) AS dc, coalesce(o.cc, 0) AS occ,
     coalesce(o.ac, 0) AS oac, coalesce(o.dc, 0) AS odc, b.status = 'completed' AND coalesce(d.cc, 0) = 0 AS recount
-    FROM v_sub b LEFT JOIN done d ON d.submission_id = b.submission_id LEFT JOIN own o ON o.submission_id = b.submission_id)
-  SELECT submission_id, status, CASE WHEN recount THEN occ ELSE cc END AS candidates_count,
-    CAST(CASE WHEN recount THEN oac ELSE ac END AS BIGINT) AS answers_count, CAST(CASE WHEN recount THEN odc ELSE dc END AS BIGINT) AS drawing_count FROM j""",
-)
+    FROM v_sub b LEFT JOIN done d ON d.submission_id = b.submission_id LEFT JOIN own o ON o.submission_id = b.submission_id)"""
+STATUS_SQL = """SELECT submission_id, status, CASE WHEN recount THEN occ ELSE cc END AS candidates_count,
+    CAST(CASE WHEN recount THEN oac ELSE ac END AS BIGINT) AS answers_count, CAST(CASE WHEN recount THEN odc ELSE dc END AS BIGINT) AS drawing_count FROM j"""
+
+
+@query("a2_status_counters", f"WITH {STATUS_CTES} {STATUS_SQL}")
 def _(i):
     return reports.status_counters(i.sub.select("submission_id", "status"), i.log, counts(i))
 
 
+@query(
+    "a2_submission_status",
+    f"""WITH {STATUS_CTES}, sc AS ({STATUS_SQL}),
+  pp AS (SELECT submission_id, coalesce(nullif(nullif(json_extract_string(extra_data, '$.page'), ''), '0'), nullif(nullif(json_extract_string(extra_data, '$.current'), ''), '0')) AS current_page,
+    coalesce(nullif(json_extract_string(extra_data, '$.label'), ''), nullif(json_extract_string(extra_data, '$.candidate_name'), '')) AS current_candidate
+    FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log WHERE action = 'page_progress') WHERE rn = 1)
+  SELECT b.submission_id, b.filename, b.created_at, b.pages_count, sc.status, sc.candidates_count, sc.answers_count, sc.drawing_count, pp.current_page, pp.current_candidate
+  FROM v_sub b JOIN sc ON sc.submission_id = b.submission_id LEFT JOIN pp ON pp.submission_id = b.submission_id""",
+)
+def _(i):
+    return reports.submission_status(i.sub, i.log, counts(i))
+
+
 @query(
     "a4_pages_with_data",
     f"""WITH {COUNTS} SELECT submission_id, count(*) AS pages_processed, CAST(count(*) FILTER (WHERE answers > 0) AS BIGINT) AS pages_with_data FROM counts GROUP BY 1""",

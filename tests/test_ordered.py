@@ -70,3 +70,18 @@ def test_latest_events_cut_rows_before_the_shuffle(spark):
     log = spark.range(1000).selectExpr("id", "id % 3 AS submission_id", "timestamp_ntz'2024-01-01 00:00:00' AS created_at")
     plan = events.latest_events(log, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_hot_group_is_spread_over_tasks(spark):
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) AS g", "id AS o")
+        out = ordered.number_rows(rows, ["g"], [F.col("o")], ordered.id_block(F.col("o"), 500), "n")
+        tasks = out.filter("g = 0").groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) == 4 and max(r["count"] for r in tasks) < 3000 * 0.6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
