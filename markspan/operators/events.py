@@ -20,6 +20,7 @@ ACTION_LABELS = {
     "extract_error": "Extraction failed",
 }
 EPOCH = "1970-01-01 00:00:00"
+GROUP_LIMIT = 1000  # the largest rank filter that Spark applies before the shuffle by default
 
 
 def event_order() -> list[Column]:
@@ -49,10 +50,17 @@ def latest_event(log: DataFrame, action: str | None = None) -> DataFrame:
 
 
 def latest_events(log: DataFrame, limit: int = 10) -> DataFrame:
-    """The newest `limit` events of each submission; Spark keeps only those per task before the shuffle."""
-    newest_first = [c.desc() for c in event_order()]
-    w = Window.partitionBy("submission_id").orderBy(*newest_first)
-    return log.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
+    """The newest `limit` events of each submission, with their recency from 1.
+
+    Up to GROUP_LIMIT Spark keeps only those rows per task before the shuffle; beyond it the rows are numbered in blocks."""
+    if limit <= GROUP_LIMIT:
+        newest_first = [c.desc() for c in event_order()]
+        w = Window.partitionBy("submission_id").orderBy(*newest_first)
+        return log.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
+    rows, order, block = _timed(log)
+    out = ordered.number_rows(rows, ["submission_id"], [F.col(c) for c in order], block, "n", "total")
+    numbered = out.withColumn("recency", (F.col("total") - F.col("n") + 1).cast("int"))
+    return numbered.filter(F.col("recency") <= limit).drop("n", "total", *order)
 
 
 def payload_fields(log: DataFrame) -> DataFrame:

@@ -72,6 +72,13 @@ def test_latest_events_cut_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_many_latest_events_agree_with_few(spark, monkeypatch):
+    log = spark.range(3000).selectExpr("id", "id % 4 AS submission_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 7) % 100) AS created_at")
+    few = events.latest_events(log, 50).select("submission_id", "id", "recency")
+    monkeypatch.setattr(events, "GROUP_LIMIT", 10)
+    same(few, events.latest_events(log, 50).select("submission_id", "id", "recency"))
+
+
 def test_a_hot_group_is_spread_over_tasks(spark):
     changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in changed}
