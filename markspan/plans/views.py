@@ -184,7 +184,7 @@ def _with(names: list[str], dialect: str) -> str:
 
 
 def oracle(body: str) -> str:
-    """Reference SQL with the views its text mentions in front; the text may bring further CTEs of its own."""
+    """Equivalent SQL with the views its text mentions in front; the text may bring further CTEs of its own."""
     known = set(VIEWS) | {"v_page"}
     names = [n for n in dict.fromkeys(re.findall(r"\bv_[a-z]+\b", body)) if n in known]
     clause = _with(names, "oracle")
