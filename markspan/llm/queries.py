@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markspan.llm import digest_index, pii, sql
+from markspan.llm import digest_index, minhash, packing, pieces, pii, sql
 from markspan.llm.common import table
 
+# Vocabulary files stay where the tokenizer package has them; the driver reads them once and ships their contents.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.document_classes(table(spark, folder, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str, model: str = PIECE_MODEL) -> DataFrame:
+    return pieces.encoded_digests(table(spark, folder, "documents"), Path(model).read_bytes())
+
+
+def op4_packing(spark: SparkSession, folder: str, tokenizer: str = WORD_TOKENIZER) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), Path(tokenizer).read_text())
+    return packing.piece_digests(packed)
+
 
 def op5_digest_index(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.exact_groups(table(spark, folder, "documents"))
@@ -20,6 +39,9 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_packing": op4_packing,
         "op5_digest_index": op5_digest_index,
         "op6_personal_data": op6_personal_data,
     }
