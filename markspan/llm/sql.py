@@ -58,3 +58,53 @@ SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in
        sha256({_joined(f"FILTER (place <= {len(BASE)})")}) AS base_sha256, {_joined("FILTER (kind IS NOT NULL)")} AS spans
 FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+TOP_SCORES = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWERED}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_SHINGLES = (
+    "CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] "
+    "ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) END"
+)
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE sets AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+kinds AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, CAST(len(any_value(s)) AS BIGINT) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+each AS (SELECT rep, n, unnest(s) AS g FROM kinds),
+shared AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.rep < b.rep
+  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM kinds UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+roots AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
+FROM sets d LEFT JOIN kinds k ON k.s = list_sort(d.s) LEFT JOIN roots r ON r.rep = k.rep
+"""
+
+_PAYLOAD = "encode(coalesce(html, ''))"
+_HEX = "0123456789ABCDEF"
+# Base32 of 20 bytes: each of 32 digits is five bits of the digest's 160.
+_BITS = (
+    f"array_to_string(list_transform(range(1, 41), lambda k: lpad(bin(CAST(instr('{_HEX}', upper(sha1({_PAYLOAD})[k])) - 1 AS INTEGER)), 4, '0')), '')"
+)
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(list_sum(list_transform(range(1, 6), lambda j: CAST(bits[k * 5 + j] AS INTEGER) * CAST(2 ** (5 - j) AS INTEGER))) AS INTEGER) + 1]), '')"
+
+WARC = f"""
+WITH p AS (SELECT page_id, CAST(octet_length({_PAYLOAD}) AS BIGINT) AS payload_bytes, {_BITS} AS bits FROM pages),
+d AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM g
+"""
