@@ -73,9 +73,15 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the number of words before each row (one more entry than rows)."""
+    return words_at(data, offsets)[:2]
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and where each word begins and ends in the bytes."""
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=_U), np.zeros(len(offsets), dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=_U), np.zeros(len(offsets), dtype=np.int64), none, none
     inside = ~_SPACE[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
@@ -90,7 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         np.cumsum((_LOWER[data].astype(_U) + _U(1)) * _power_table(_BASE, n, "up"), out=sums[1:])
         inverse = _power_table(pow(_BASE, -1, 1 << 64), n, "down")
         hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
