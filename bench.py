@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from markspan.plans.catalog import spark_queries  # noqa: E402
-from markspan.session import build_session  # noqa: E402
+from markspan.session import build_session, set_local_folder  # noqa: E402
 
 HEADLINE = (
     "x4_marked_candidates",
@@ -24,7 +25,9 @@ HEADLINE = (
     "a1_submission_summary",
     "a2_status_counters",
     "a11_strict_summary",
+    "f18_text_report",
     "f19_document_envelopes",
+    "j11_exam_details",
     "w1_marked_options",
     "f23_layout_hash",
     "w4_latest_ten_events",
@@ -41,6 +44,7 @@ def main() -> None:
     only = set(sys.argv[1:])
     spark = build_session("markspan-bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
+    set_local_folder(spark, tempfile.mkdtemp)
     builds = spark_queries()
     cold, warm = {}, {}
     for name in HEADLINE:

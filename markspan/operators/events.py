@@ -20,7 +20,6 @@ ACTION_LABELS = {
     "extract_error": "Extraction failed",
 }
 EPOCH = "1970-01-01 00:00:00"
-GROUP_LIMIT = 1000  # the largest rank filter that Spark applies before the shuffle by default
 
 
 def event_order() -> list[Column]:
@@ -50,17 +49,9 @@ def latest_event(log: DataFrame, action: str | None = None) -> DataFrame:
 
 
 def latest_events(log: DataFrame, limit: int = 10) -> DataFrame:
-    """The newest `limit` events of each submission, with their recency from 1.
-
-    Up to GROUP_LIMIT Spark keeps only those rows per task before the shuffle; beyond it the rows are numbered in blocks."""
-    if limit <= GROUP_LIMIT:
-        newest_first = [c.desc() for c in event_order()]
-        w = Window.partitionBy("submission_id").orderBy(*newest_first)
-        return log.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
-    rows, order, block = _timed(log)
-    out = ordered.number_rows(rows, ["submission_id"], [F.col(c) for c in order], block, "n", "total")
-    numbered = out.withColumn("recency", (F.col("total") - F.col("n") + 1).cast("int"))
-    return numbered.filter(F.col("recency") <= limit).drop("n", "total", *order)
+    """The newest `limit` events of each submission, with their recency from 1. Events without a submission are a group."""
+    w = Window.partitionBy("submission_id").orderBy(*[c.desc() for c in event_order()])
+    return log.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
 
 
 def payload_fields(log: DataFrame) -> DataFrame:
@@ -146,7 +137,7 @@ def progress_state(submissions: DataFrame, log: DataFrame) -> DataFrame:
     return read.select("submission_id", "status", shown.alias("s")).select("submission_id", "status", "s.*")
 
 
-def _timed(log: DataFrame) -> tuple[DataFrame, list[str], Column]:
+def _timed(log: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
     at, num = event_order()
     zoned = log.schema["created_at"].dataType.typeName() == "timestamp"
     return log.withColumn("__at", at).withColumn("__id", num), ["__at", "__id"], ordered.time_block(F.col("__at"), zoned)
@@ -194,10 +185,15 @@ def page_changes(log: DataFrame, page: Column) -> DataFrame:
     return out.withColumn("changed", ~F.col("page").eqNullSafe(F.col("previous_page"))).drop(*order)
 
 
-def error_rollup(errors: DataFrame, rows: int = 1000) -> DataFrame:
-    """"Page n: message" lists per submission in page order, in parts of `rows` messages."""
-    text = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": "), F.col("message"))
-    return ordered.nest_in_parts(errors, ["submission_id"], "page", text, "errors", rows)
+def error_rollup(errors: DataFrame) -> DataFrame:
+    """The messages "Page n: message" of each submission, numbered in page order (no page first, equal pages by message).
+
+    Rows (submission_id, n, error): a list of any length stays spread over tasks."""
+    page = F.col("page")
+    text = F.concat(F.lit("Page "), F.coalesce(page.cast("string"), F.lit("None")), F.lit(": "), F.coalesce("message", F.lit("")))
+    rows = errors.select("submission_id", "page", text.alias("error"))
+    numbered = ordered.number_rows(rows, ["submission_id"], [page, F.col("error")], ordered.id_block(page), "n")
+    return numbered.select("submission_id", "n", "error")
 
 
 def run_folder(ts: Column, context: Column, source: Column) -> Column:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions import pixels
 from markspan.operators.normalize import fallback_format
-from markspan.operators.ordered import id_block, nest_in_parts, number_rows
-from markspan.session import written
+from markspan.operators.ordered import id_block, number_rows
 
 # Grid and drawing-box rules.
 GRID_CELLS = 10
@@ -82,16 +81,13 @@ def largest_regions(regions: DataFrame, region_type: str = "answer_grid") -> Dat
 def layout_hashes(regions: DataFrame) -> DataFrame:
     """Fingerprint of each page's regions on a 10 x 10 grid.
 
-    Equal cells are counted before the page's cells are brought together, so repeats do not pile up in one task; only the
-    hashed text itself is as long as the page's own region list."""
+    One shuffle, by page: the hashed text holds every region of the page, so they have to meet."""
     def cell(value: str, size: str) -> Column:
         return (F.col(value) / F.col(size) * GRID_CELLS).cast("bigint")
 
     place = F.concat_ws(",", cell("x", "page_w"), cell("y", "page_h"), cell("w", "page_w"), cell("h", "page_h"))
-    cells = regions.groupBy("page", F.concat_ws(":", "region_type", place).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    listed = cells.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    text = F.array_join(F.flatten(F.transform("cells", lambda c: F.array_repeat(c["cell"], c["n"].cast("int")))), "|")
-    return listed.select("page", F.left(F.md5(text), F.lit(12)).alias("layout_hash"))
+    listed = regions.groupBy("page").agg(F.array_sort(F.collect_list(F.concat_ws(":", "region_type", place))).alias("cells"))
+    return listed.select("page", F.left(F.md5(F.array_join("cells", "|")), F.lit(12)).alias("layout_hash"))
 
 
 def layout_clusters(hashes: DataFrame) -> DataFrame:
@@ -99,9 +95,9 @@ def layout_clusters(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("layout_hash").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page").alias("first_page"))
 
 
-def cluster_pages(hashes: DataFrame, rows: int = 1000) -> DataFrame:
-    """The pages of each layout as arrays of at most `rows` pages. The hashes are stored first, as they are read twice."""
-    return nest_in_parts(written(hashes, "layouts"), ["layout_hash"], "page", F.col("page"), "pages", rows)
+def cluster_pages(hashes: DataFrame) -> DataFrame:
+    """The pages of each layout in order, as rows (layout_hash, n, page)."""
+    return number_rows(hashes.select("layout_hash", "page"), ["layout_hash"], [F.col("page")], id_block(F.col("page")), "n")
 
 
 def representative_pages(pages: DataFrame) -> DataFrame:

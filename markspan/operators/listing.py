@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markspan.functions import codes
 from markspan.functions.text import first_text
 from markspan.operators.normalize import answer_maps
-from markspan.operators.ordered import nest_in_parts
+from markspan.operators.ordered import id_block, number_rows
 
 COMPLETED = "completed"
 
@@ -62,16 +62,19 @@ def deleted_children(children: DataFrame, deleted: DataFrame, on: str) -> DataFr
     return children.join(deleted.select(on), on, "left_semi")
 
 
-def exam_details(exams: DataFrame, documents: DataFrame, jsons: DataFrame, rows: int = 1000) -> DataFrame:
-    """Exams with nested documents and JSON outputs, each in parts of at most `rows` items.
+def exam_details(exams: DataFrame, documents: DataFrame, jsons: DataFrame) -> DataFrame:
+    """Exams with their documents and JSON outputs, in order: rows (exam_id, name, kind, n, id, label, place).
 
-    The parts are the many side of an inner join, which Spark can split for a huge exam; exams without any are added."""
-    docs = nest_in_parts(documents, ["exam_id"], "document_id", F.struct("document_id", "country", "file_path"), "documents", rows)
-    outs = nest_in_parts(jsons, ["exam_id"], "json_id", F.struct("json_id", "filename"), "jsons", rows)
-    full = docs.join(outs, ["exam_id", "part"], "full_outer").join(exams, "exam_id")
-    used = documents.select("exam_id").unionByName(jsons.select("exam_id")).distinct()
-    bare = exams.join(used, "exam_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    return full.unionByName(bare, allowMissingColumns=True)
+    kind is "document" or "json" and n counts from 1 within it; an exam without either has one row of kind null. Each child is
+    one row, so that an exam of any size stays spread."""
+    def children(df: DataFrame, kind: str, key: str, label: str, place: Column) -> DataFrame:
+        return df.select("exam_id", F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"), place.alias("place"))
+
+    both = children(documents, "document", "document_id", "country", F.col("file_path")).unionByName(
+        children(jsons, "json", "json_id", "filename", F.lit(None).cast("string"))
+    )
+    numbered = number_rows(both, ["exam_id", "kind"], [F.col("id")], id_block(F.col("id")), "n")
+    return exams.join(numbered, "exam_id", "left").select(*exams.columns, "kind", "n", "id", "label", "place")
 
 
 def search(candidates: DataFrame, term: str, columns: Sequence[str], extra: str | None = "extra_fields") -> DataFrame:
@@ -101,12 +104,11 @@ def candidate_json(candidates: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def minimal_output(candidates: DataFrame, answers: DataFrame, aliases: Sequence[str] = ("candidate_number",)) -> DataFrame:
-    """Answers (drawings already overlaid), candidate number and paper type only, in parts as of `answer_maps`."""
-    parts = answer_maps(answers, ["candidate_id"], everyone=candidates.select("candidate_id"))
-    joined = candidates.select("candidate_id", "paper_type", *aliases).join(parts, "candidate_id")
+    """Answers (drawings already overlaid), candidate number and paper type only."""
+    maps = answer_maps(answers, ["candidate_id"], everyone=candidates.select("candidate_id"))
+    joined = candidates.select("candidate_id", "paper_type", *aliases).join(maps, "candidate_id")
     return joined.select(
         "candidate_id",
-        "part",
         "answers",
         F.coalesce(first_text(*[F.col(a) for a in aliases]), F.lit("")).alias("candidate_number"),
         F.coalesce("paper_type", F.lit("")).alias("paper_type"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.functions import codes
-from markspan.operators.ordered import nest_in_parts
+from markspan.operators.ordered import id_block, number_rows
 from markspan.session import written
 
 
@@ -160,16 +160,12 @@ def scores_from_marks(marks: DataFrame) -> DataFrame:
     )
 
 
-def marking_report(scored: DataFrame, rows: int = 1000) -> DataFrame:
-    """Per submission the number of marked candidates and their results, in parts of `rows` candidates.
-
-    The scores are stored first, as they are read three times here."""
+def marking_report(scored: DataFrame) -> DataFrame:
+    """The results of each submission in candidate order, every candidate once: rows (submission_id, total_candidates, n,
+    candidate_id, correct, total, percentage). Candidates without a fitting key stay, with an empty score."""
     columns = ["submission_id", "candidate_id", "correct", "total", "percentage"]
-    results = written(scored.filter(F.col("total").isNotNull()).select(*columns), "scores")
-    counts = results.groupBy("submission_id").agg(F.count(F.lit(1)).alias("total_candidates_marked"))
-    item = F.struct("candidate_id", "correct", "total", "percentage")
-    parts = nest_in_parts(results, ["submission_id"], "candidate_id", item, "results", rows)
-    return parts.join(counts, "submission_id")
+    rows = scored.select(*columns)
+    return number_rows(rows, ["submission_id"], [F.col("candidate_id")], id_block(F.col("candidate_id")), "n", "total_candidates")
 
 
 def marked_candidates(

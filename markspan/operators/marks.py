@@ -57,17 +57,24 @@ def needs_model(pages: DataFrame, ranges: DataFrame, answered: DataFrame) -> Dat
     return joined.select("page", "format_id", measured.alias("measured"), asked.alias("mcq_count"), rule.alias("needs_model"))
 
 
-def merge_sources(full: DataFrame, focused: DataFrame, measured: DataFrame, options: codes.Options = None) -> DataFrame:
+def merge_sources(
+    full: DataFrame, focused: DataFrame, measured: DataFrame, options: codes.Options = None, page_options: DataFrame | None = None
+) -> DataFrame:
     """One answer per (page, question): a measured option, else the focused pass, else the full pass.
 
-    A focused BL only replaces a full BL. All three sources meet in one aggregation."""
+    A focused BL only replaces a full BL. `page_options` is (page, options array<string>): what counts as an option on each
+    page; pages without take `options`. All three sources meet in one aggregation."""
     def side(df: DataFrame, source: str) -> DataFrame:
         return df.select("page", "question", "answer", F.lit(source).alias("source"))
 
     rows = side(full, "full").unionByName(side(focused, "focused")).unionByName(side(measured, "measured"))
     by = {s: F.max(F.when(F.col("source") == s, F.col("answer"))).alias(s) for s in ("full", "focused", "measured")}
     wide = rows.groupBy("page", "question").agg(*by.values())
-    seen = F.array_contains(codes.option_array(options), codes.folded(F.col("measured"))).eqNullSafe(True)
+    known = codes.option_array(options)
+    if page_options is not None:
+        own = page_options.select("page", codes.option_array(F.col("options")).alias("__options"))
+        wide, known = wide.join(own, "page", "left"), F.coalesce(F.col("__options"), known)
+    seen = F.array_contains(known, codes.folded(F.col("measured"))).eqNullSafe(True)
     take_focused = F.col("focused").isNotNull() & ((F.col("focused") != codes.BLANK) | (F.col("full") == codes.BLANK))
     answer = F.when(seen, codes.folded(F.col("measured"))).when(take_focused, F.col("focused")).otherwise(F.col("full"))
     return wide.select("page", "question", answer.alias("answer")).filter(F.col("answer").isNotNull())

@@ -154,22 +154,19 @@ def outside_ranges(keyed: DataFrame, sheets: DataFrame, expected: DataFrame, id_
     return keyed.join(sheets.select(id_col, "format_id"), id_col).join(expected, ["format_id", "question"], "left_anti")
 
 
-def answer_maps(answers: DataFrame, ids: Sequence[str], per_part: int = 1000, everyone: DataFrame | None = None) -> DataFrame:
-    """Ordered answer maps of rows with unique questions, in parts of `per_part` question numbers.
+def answer_maps(answers: DataFrame, ids: Sequence[str], everyone: DataFrame | None = None) -> DataFrame:
+    """One ordered map per sheet, of rows with unique questions: numbers first in number order, then other keys as text.
 
-    A normal sheet is the single part 0; keys that are not numbers are in the part named -1 of their sheet. With
-    `everyone` (the ids of all sheets) a sheet without answers has an empty part 0, so that a plain inner join, which
-    Spark can split when one sheet is huge, loses nobody."""
+    With `everyone` (the ids of all sheets) a sheet without answers has an empty map."""
     rows = answers.select(*ids, "question", "answer")
     if everyone is not None:
         nothing = F.lit(None).cast("string")
         rows = rows.unionByName(everyone.select(*ids, nothing.alias("question"), nothing.alias("answer")))
     number = F.when(F.col("question").rlike("^[0-9]+$"), F.col("question").try_cast("decimal(38,0)"))
-    part = F.when(F.col("question").isNull(), 0).otherwise(F.coalesce(F.floor(number / per_part), F.lit(-1))).cast("bigint")
-    entry = F.when(F.col("question").isNotNull(), F.struct(number.alias("n"), F.col("question").alias("key"), F.col("answer").alias("value")))
-    nested = rows.groupBy(*ids, part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("__e"))
+    entry = F.struct(number.isNull().alias("text"), number.alias("n"), F.col("question").alias("key"), F.col("answer").alias("value"))
+    nested = rows.groupBy(*ids).agg(F.array_sort(F.collect_list(F.when(F.col("question").isNotNull(), entry))).alias("__e"))
     entries = F.transform("__e", lambda e: F.struct(e["key"], e["value"]))
-    return nested.select(*ids, "part", F.map_from_entries(entries).alias("answers"))
+    return nested.select(*ids, F.map_from_entries(entries).alias("answers"))
 
 
 def stored_answers(answers: DataFrame, value: str) -> DataFrame:

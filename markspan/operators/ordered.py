@@ -1,133 +1,100 @@
 """Ordered calculations within a group that stay spread over many tasks.
 
-A window over (submission) puts a whole submission into one task. Here each group is cut into blocks along its
-order, windows run inside a block, and one small row per block carries counts, maxima or last values onward.
-The block expression must not decrease along the order; group keys must not be null.
+A window over (submission) puts a whole submission into one task. Here each group is cut into blocks along its order, and
+the blocks into wider ones: windows run inside the finest blocks, one row per block carries sums, maxima or last values on,
+and those rows are treated the same way at the next level. The block expressions must not decrease along the order. Keys
+and orders may be null: a null key is a group, a null order comes first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 65536
-ROWS_PER_PART = 1000
 
-_BLOCK = "__block"
+_BLOCK, _VALUE, _BEFORE = "__block", "__value", "__before"
 
 
-def id_block(c: Column, rows: int = ROWS_PER_BLOCK) -> Column:
-    """Blocks over a unique whole-number order: at most `rows` rows of a group fall into one."""
-    return F.floor(c / F.lit(rows))
+def id_block(c: Column, rows: int = ROWS_PER_BLOCK) -> list[Column]:
+    """Blocks over a unique whole-number order: at most `rows` rows of a group fall into the finest one, and at most `rows`
+    finest blocks into a wider one."""
+    return [F.floor(c / F.lit(rows)), F.floor(c / F.lit(rows * rows))]
 
 
-def time_block(ts: Column, zoned: bool = False) -> Column:
-    """Blocks of one second. A time without zone is cut as text, since a cast could reorder it in the session's zone."""
-    return F.date_trunc("SECOND", ts) if zoned else F.left(ts.cast("string"), F.lit(19))
+def time_block(ts: Column, zoned: bool = False) -> list[Column]:
+    """Blocks of one minute within days. A time without zone is cut as text, since a cast could reorder it in the session's
+    zone."""
+    if zoned:
+        return [F.date_trunc("MINUTE", ts), F.date_trunc("DAY", ts)]
+    text = ts.cast("string")
+    return [F.left(text, F.lit(16)), F.left(text, F.lit(10))]
 
 
-def in_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    block: Column,
-    local: dict[str, Callable[[WindowSpec], Column]],
-    per_block: dict[str, Column],
-    across: dict[str, Callable[[WindowSpec], Column]],
-) -> DataFrame:
-    """Add `local` window columns computed inside blocks and `across` columns computed over the block rows."""
-    blocked = df.withColumn(_BLOCK, block)
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    rows = blocked.select("*", *[build(inside).alias(name) for name, build in local.items()])
-    blocks = blocked.groupBy(*keys, _BLOCK).agg(*[agg.alias(name) for name, agg in per_block.items()])
-    along = Window.partitionBy(*keys).orderBy(_BLOCK)
-    carry = blocks.select(*keys, _BLOCK, *[build(along).alias(name) for name, build in across.items()])
-    return rows.join(carry, [*keys, _BLOCK]).drop(_BLOCK)
+def _met(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Equal on all pairs of columns, null equal to null."""
+    return reduce(lambda x, y: x & y, [a[left].eqNullSafe(b[right]) for left, right in pairs])
+
+
+def _with_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[str], kind: str) -> DataFrame:
+    """Add _BEFORE: the sum, maximum or last of _VALUE over the rows before each row of its group, null where there are none.
 
+    `blocks` names block columns, finest first. One row per finest block has the block as its order and the wider blocks as
+    its blocks."""
+    fold = {"sum": F.sum, "max": F.max, "last": F.last}[kind]
+    columns = [F.col(c) for c in order]
 
-def _before(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+    def earlier(*by: str) -> Column:
+        return fold(_VALUE).over(Window.partitionBy(*by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1))
 
+    if not blocks:
+        return df.withColumn(_BEFORE, earlier(*keys))
+    finest, *wider = blocks
+    inside = df.withColumn("__inside", earlier(*keys, finest))
+    whole = F.max_by(_VALUE, F.struct(*columns)) if kind == "last" else fold(_VALUE)
+    totals = df.groupBy(*keys, finest).agg(whole.alias(_VALUE), *[F.min(b).alias(b) for b in wider])
+    carried = _with_before(totals, keys, [finest], wider, kind)
+    on = [*keys, finest]
+    carried = carried.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(on)], F.col(_BEFORE).alias("__carry"))
+    both = inside.join(carried, _met(inside, carried, [(c, f"__k{k}") for k, c in enumerate(on)]))
+    a, b = F.col("__inside"), F.col("__carry")
+    value = {"sum": F.coalesce(a + b, a, b), "max": F.greatest(a, b), "last": F.coalesce(a, b)}[kind]
+    return both.withColumn(_BEFORE, value).drop("__inside", "__carry", *[f"__k{k}" for k in range(len(on))])
 
-def _whole(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Sequence[Column], value: Column, kind: str, result: Column) -> DataFrame:
+    """Rows with `result`, an expression over _VALUE and _BEFORE, as last column."""
+    orders, blocks = [f"__o{k}" for k in range(len(order))], [f"{_BLOCK}{k}" for k in range(len(block))]
+    named = [c.alias(n) for c, n in zip([*order, *block], [*orders, *blocks], strict=True)]
+    rows = df.select("*", *named, value.alias(_VALUE))
+    out = _with_before(rows, keys, orders, blocks, kind).withColumn("__result", result)
+    return out.drop(*orders, *blocks, _VALUE, _BEFORE)
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, name: str = "n", total: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Sequence[Column], name: str = "n", total: str | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1; with `total` also the group size."""
-    across = {"__before": lambda w: F.coalesce(F.sum("__rows").over(_before(w)), F.lit(0))}
+    number = F.coalesce(_BEFORE, F.lit(0).cast("long")) + 1
+    out = _fold(df, keys, order, block, F.lit(1).cast("long"), "sum", number).withColumnRenamed("__result", name)
     if total:
-        across[total] = lambda w: F.sum("__rows").over(_whole(w))
-    out = in_blocks(
-        df,
-        keys,
-        order,
-        block,
-        local={"__in_block": lambda w: F.row_number().over(w)},
-        per_block={"__rows": F.count(F.lit(1))},
-        across=across,
-    )
-    return out.withColumn(name, F.col("__in_block") + F.col("__before")).drop("__in_block", "__before")
+        sizes = df.groupBy(*[F.col(c).alias(f"__t{k}") for k, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias(total))
+        out = out.join(sizes, _met(out, sizes, [(c, f"__t{k}") for k, c in enumerate(keys)])).drop(*[f"__t{k}" for k in range(len(keys))])
+    return out
 
 
 def running_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
-    out = in_blocks(
-        df.withColumn("__v", value),
-        keys,
-        order,
-        block,
-        local={"__local": lambda w: F.max("__v").over(w.rowsBetween(Window.unboundedPreceding, 0))},
-        per_block={"__top": F.max("__v")},
-        across={"__earlier": lambda w: F.max("__top").over(_before(w))},
-    )
-    return out.withColumn(name, F.greatest("__local", "__earlier")).drop("__v", "__local", "__earlier")
+    return _fold(df, keys, order, block, value, "max", F.greatest(_VALUE, _BEFORE)).withColumnRenamed("__result", name)
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, name: str
-) -> DataFrame:
-    """The value of the row before, also when that row is in an earlier block."""
-    cols = [F.col(c) for c in order]
-    out = in_blocks(
-        df.withColumn("__v", value),
-        keys,
-        cols,
-        block,
-        local={
-            "__first": lambda w: F.row_number().over(w) == 1,
-            "__local": lambda w: F.lag("__v").over(w),
-        },
-        per_block={"__last": F.max_by("__v", F.struct(*cols))},
-        across={"__earlier": lambda w: F.lag("__last").over(w)},
-    )
-    picked = F.when(F.col("__first"), F.col("__earlier")).otherwise(F.col("__local"))
-    return out.withColumn(name, picked).drop("__v", "__first", "__local", "__earlier")
-
-
-def nest_in_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    item: Column,
-    name: str = "items",
-    rows: int = ROWS_PER_PART,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
-    """Nest each group's rows, in the order of a unique whole number, as arrays of at most `rows` items.
-
-    An ordinary group is one row with part 0; a huge group becomes several rows, whole together."""
-    numbered = number_rows(
-        df.select(*keys, F.col(order).alias("__o"), item.alias("__item")),
-        keys,
-        [F.col("__o")],
-        id_block(F.col("__o")),
-        name="__n",
-    )
-    parts = numbered.withColumn("part", F.floor((F.col("__n") - 1) / rows))
-    nested = parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("__n", "__item"))).alias("__list"))
-    return nested.select(*keys, "part", F.transform("__list", lambda x: x["__item"]).alias(name))
+    """The value of the row before, also when that row is in an earlier block or its value is null."""
+    held = F.struct(value.alias("v"))
+    return _fold(df, keys, [F.col(c) for c in order], block, held, "last", F.col(f"{_BEFORE}.v")).withColumnRenamed("__result", name)

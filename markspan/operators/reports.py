@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.functions import codes
+from markspan.functions.modeljson import text_map
 from markspan.functions.text import half_up, label_from_key, preview
 from markspan.operators.events import latest_event, payload_fields
 
@@ -153,7 +154,7 @@ def tolerant_warnings(answers: DataFrame, value: str = "answer", page: str = "pa
     return answers.filter(empty).withColumn("warning", _warning(page, F.col(value), "question"))
 
 
-def validation_summary(candidates: DataFrame, counts: DataFrame, warnings: DataFrame) -> DataFrame:
+def validation_summary(counts: DataFrame, warnings: DataFrame) -> DataFrame:
     """Totals per submission and whether it is free of warnings."""
     bad = warnings.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("warnings"))
     joined = counts.join(bad, "candidate_id", "left")
@@ -200,24 +201,22 @@ def run_summary(page_stats: DataFrame) -> DataFrame:
 
 def report_text(
     headers: DataFrame, answers: DataFrame, drawings: DataFrame, marks: DataFrame, scored: DataFrame,
-    columns: Sequence[str], per_part: int = 1000,
+    columns: Sequence[str],
 ) -> DataFrame:
-    """A readable report per candidate, in parts of `per_part` question numbers (a normal sheet has part 0 only).
+    """A readable report per candidate, the whole sheet in one row; questions in number order, then other keys as text.
 
-    `headers` holds candidate_id, page_number and `columns`. Each header also puts an empty row into part 0, so that the
-    join back is a plain inner one."""
+    `headers` holds candidate_id, page_number and `columns`; its own row keeps sheets without answers."""
     def rows(df: DataFrame, section: int, value: Column) -> DataFrame:
-        number = F.coalesce(F.col("question").try_cast("bigint"), _zero())
-        return df.select("candidate_id", F.lit(section).alias("section"), number.alias("n"), F.col("question").cast("string").alias("q"), value.alias("v"))
+        number = F.when(F.col("question").cast("string").rlike("^[0-9]+$"), F.col("question").try_cast("decimal(38,0)"))
+        order = F.struct(number.isNull(), number)
+        return df.select("candidate_id", F.lit(section).alias("section"), order.alias("n"), F.col("question").cast("string").alias("q"), value.alias("v"))
 
     long = rows(answers, 0, F.col("answer")).unionByName(rows(drawings, 1, preview(F.col("response")))).unionByName(
         rows(marks, 2, F.col("mark"))
     )
     nothing = F.lit(None).cast("string")
-    long = long.unionByName(headers.select("candidate_id", F.lit(-1).alias("section"), _zero().alias("n"), nothing.alias("q"), nothing.alias("v")))
-    grouped = long.groupBy("candidate_id", F.floor(F.col("n") / per_part).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("section", "n", "q", "v"))).alias("items")
-    )
+    long = long.unionByName(rows(headers.withColumn("question", nothing), -1, nothing))
+    grouped = long.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("section", "n", "q", "v"))).alias("items"))
 
     def block(section: int, title: Column) -> Column:
         items = F.filter("items", lambda i: i["section"] == section)
@@ -235,7 +234,7 @@ def report_text(
     number = F.concat(F.lit("--- Candidate "), F.col("page_number").cast("string"), F.lit(" ---"))
     joined = grouped.join(headers.join(scored, "candidate_id", "left"), "candidate_id")
     score = F.when(
-        F.col("total").isNotNull() & (F.col("part") == 0),
+        F.col("total").isNotNull(),
         F.array(F.concat(F.lit("  Score: "), F.concat_ws("/", "correct", "total"), F.lit(" ("), F.col("percentage").cast("string"), F.lit("%)"))),
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
@@ -245,7 +244,7 @@ def report_text(
         block(2, F.lit("  Marked Answers:")),
         score,
     )
-    return joined.select("candidate_id", "part", F.array_join(lines, "\n").alias("report"))
+    return joined.select("candidate_id", F.array_join(lines, "\n").alias("report"))
 
 
 def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> DataFrame:
@@ -259,35 +258,29 @@ def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> D
     return totals.select("submission_id", F.concat_ws("\n", *lines).alias("head"))
 
 
-def envelopes(
-    submissions: DataFrame, candidates: DataFrame, counts: DataFrame, columns: Sequence[str], timestamp: str, per_part: int = 1000
-) -> DataFrame:
-    """One JSON document per source file: document information and candidates in page order.
+def envelopes(submissions: DataFrame, candidates: DataFrame, counts: DataFrame, columns: Sequence[str], timestamp: str) -> DataFrame:
+    """One JSON document per source file, as ordered rows (submission_id, seq, line) whose lines, one after another, are the
+    document: its information, the candidates in page order, its end. A file without candidates has an empty list.
 
-    A file with more than `per_part` pages becomes several documents, numbered by `part`. Where `candidates` says which
-    part of a sheet's answers a row holds (`answers_part`), later parts go to documents of their own."""
-    split = ["answers_part"] if "answers_part" in candidates.columns else []
+    `candidates` holds unique page numbers from 1. A line is as long as one candidate, so a file of any size stays spread."""
     totals = submission_counts(counts).select("submission_id", "candidates_count", "pages_with_data")
-    page = F.col("page_number")
-    parts = candidates.groupBy("submission_id", F.floor((page - 1) / per_part).alias("part"), *split).agg(
-        F.array_sort(
-            F.collect_list(F.struct(page.alias("p"), F.struct(*columns).alias("c"))), lambda a, b: F.sign(a["p"] - b["p"]).cast("int")
-        ).alias("list")
-    )
-    joined = parts.join(totals, "submission_id").join(submissions.select("submission_id", "filename", "pages_count"), "submission_id")
+    joined = submissions.select("submission_id", "filename", "pages_count").join(totals, "submission_id", "left")
     info = F.struct(
-        "filename", F.lit(timestamp).alias("extraction_timestamp"), F.col("candidates_count").alias("total_candidates"),
-        F.col("pages_count").alias("pages_processed"), "pages_with_data",
+        "filename", F.lit(timestamp).alias("extraction_timestamp"), F.coalesce("candidates_count", _zero()).alias("total_candidates"),
+        F.col("pages_count").alias("pages_processed"), F.coalesce("pages_with_data", _zero()).alias("pages_with_data"),
     )
-    doc = F.struct(info.alias("document_information"), F.transform("list", lambda x: x["c"]).alias("candidates"))
-    return joined.select("submission_id", "part", *split, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+    opening = F.concat(F.lit('{"document_information":'), F.to_json(info, {"ignoreNullFields": "false"}), F.lit(',"candidates":['))
+    head = joined.select("submission_id", _zero().alias("seq"), opening.alias("line"))
+    end = joined.select("submission_id", (F.coalesce("candidates_count", _zero()) + 1).alias("seq"), F.lit("]}").alias("line"))
+    one = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    comma = F.when(F.col("page_number") > 1, F.lit(",")).otherwise(F.lit(""))
+    body = candidates.select("submission_id", F.col("page_number").cast("bigint").alias("seq"), F.concat(comma, one).alias("line"))
+    return head.unionByName(body).unionByName(end)
 
 
 def key_rows(df: DataFrame, answers: str = "answers_json", drawing: str = "drawing_json") -> DataFrame:
-    """Stored answer-key rows from posted JSON maps, with their size."""
-    maps = df.withColumn("answers", F.from_json(answers, "map<string,string>")).withColumn(
-        "drawing_key", F.from_json(drawing, "map<string,string>")
-    )
+    """Stored answer-key rows from posted JSON maps, with their size; of a repeated name the last value counts, once."""
+    maps = df.withColumn("answers", text_map(F.col(answers))).withColumn("drawing_key", text_map(F.col(drawing)))
     return maps.drop(answers, drawing).withColumn("total_questions", key_size(F.col("answers"), F.col("drawing_key")))
 
 
@@ -296,8 +289,3 @@ def key_size(answers: Column, drawing: Column) -> Column:
         return F.when(m.isNotNull(), F.size(m)).otherwise(0)
 
     return (size(answers) + size(drawing)).cast("bigint")
-
-
-def long_entries(df: DataFrame, ids: Sequence[str], entries: str, value: str) -> DataFrame:
-    """A map column as (ids, question, value) rows."""
-    return df.select(*ids, F.explode(entries).alias("question", value))

@@ -104,7 +104,7 @@ def extract(
 
     readable = full.filter(modeljson.object_text(F.col("response")).isNotNull()).select("page")
     seeds = seen.withColumn("question", F.col("question").cast("string")).join(readable, "page", "left_semi")
-    merged = marks.merge_sources(keyed(full), keyed(focused).join(readable, "page", "left_semi"), seeds, options=None)
+    merged = marks.merge_sources(keyed(full), keyed(focused).join(readable, "page", "left_semi"), seeds, page_options=placed.select("page", F.col("answer_options").alias("options")))
     expected = normalize.expected_questions(normalize.format_ranges(formats))
     model_sheets = sheets.join(readable, "page", "left_semi")
     normal = normalize.normalise_answers(merged.withColumnRenamed("answer", "value"), model_sheets, expected, "page")

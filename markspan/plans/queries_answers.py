@@ -269,14 +269,15 @@ def _(i):
 
 @query(
     "a16_ordered_answer_map",
-    f"""WITH {KEYED} SELECT candidate_id, CAST(question AS BIGINT) // 1000 AS part,
-    string_agg(question || '=' || {open_sql('v')}, ',' ORDER BY CAST(question AS BIGINT)) AS answers FROM keyed GROUP BY 1, 2""",
+    f"""WITH {KEYED} SELECT candidate_id, string_agg(CASE WHEN question = '6' THEN 'essay' ELSE question END || '=' || {open_sql('v')}, ','
+    ORDER BY question = '6', CAST(question AS BIGINT)) AS answers FROM keyed GROUP BY 1""",
 )
 def _(i):
-    rows = keyed_raw(i).select("candidate_id", "question", codes.open_answer(F.col("value")).alias("answer"))
+    named = F.when(F.col("question") == "6", F.lit("essay")).otherwise(F.col("question")).alias("question")
+    rows = keyed_raw(i).select("candidate_id", named, codes.open_answer(F.col("value")).alias("answer"))
     maps = normalize.answer_maps(rows, ["candidate_id"])
     text = F.transform(F.map_entries("answers"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return maps.select("candidate_id", "part", F.array_join(text, ",").alias("answers"))
+    return maps.select("candidate_id", F.array_join(text, ",").alias("answers"))
 
 
 @query(
@@ -313,7 +314,7 @@ def _(i):
     q = F.col("question")
     key = F.when(q >= 6, F.concat(F.lit("part "), F.col("answer"), q.cast("string"))).otherwise((q * 9).cast("string"))
     rows = listing.with_question_order(i.ans.select("candidate_id", key.alias("question")))
-    block = F.coalesce(ordered.id_block(F.col("order_number")).cast("bigint"), F.lit(2**62))
+    block = [F.coalesce(b.cast("bigint"), F.lit(2**62)) for b in ordered.id_block(F.col("order_number"))]
     order = [F.col("order_kind"), F.col("order_number"), F.col("question")]
     return ordered.number_rows(rows, ["candidate_id"], order, block, "position").select("candidate_id", "question", "position")
 

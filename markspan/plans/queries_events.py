@@ -63,13 +63,15 @@ def _(i):
 
 @query(
     "a18_error_rollup",
-    """WITH e AS (SELECT submission_id, id, 'Page ' || CAST(id AS VARCHAR) || ': ' || message AS t,
-    (row_number() OVER (PARTITION BY submission_id ORDER BY id) - 1) // 3 AS part FROM v_log WHERE action = 'extract_error')
-  SELECT submission_id, part, string_agg(t, ' | ' ORDER BY id) AS errors FROM e GROUP BY 1, 2""",
+    """WITH e AS (SELECT nullif(submission_id, submission_id - submission_id % 7) AS submission_id, CASE WHEN id % 11 <> 0 THEN id END AS page, message FROM v_log WHERE action = 'extract_error')
+  SELECT submission_id, row_number() OVER (PARTITION BY submission_id ORDER BY page NULLS FIRST, message) AS n,
+    'Page ' || coalesce(CAST(page AS VARCHAR), 'None') || ': ' || message AS error FROM e""",
 )
 def _(i):
-    errors = i.log.filter("action = 'extract_error'").select("submission_id", F.col("id").alias("page"), "message")
-    return events.error_rollup(errors, rows=3).withColumn("errors", F.array_join("errors", " | "))
+    # Some errors have no submission or no page.
+    page = F.when(F.col("id") % 11 != 0, F.col("id")).alias("page")
+    owner = F.when(F.col("submission_id") % 7 != 0, F.col("submission_id")).alias("submission_id")
+    return events.error_rollup(i.log.filter("action = 'extract_error'").select(owner, page, "message"))
 
 
 @query(

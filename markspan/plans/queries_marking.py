@@ -128,19 +128,12 @@ def _(i):
 @query(
     "a7_marking_report",
     f"""WITH {SCORES},
-  r AS (SELECT s.submission_id, x.candidate_id, x.correct, x.total FROM scored x JOIN v_sheet s ON s.candidate_id = x.candidate_id),
-  n AS (SELECT *, (row_number() OVER (PARTITION BY submission_id ORDER BY candidate_id) - 1) // 5 AS part, count(*) OVER (PARTITION BY submission_id) AS c FROM r)
-  SELECT submission_id, part, any_value(c) AS total_candidates_marked,
-    string_agg(CAST(candidate_id AS VARCHAR) || ':' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR), ' ' ORDER BY candidate_id) AS results
-  FROM n GROUP BY 1, 2""",
+  r AS (SELECT m.submission_id, m.candidate_id, s.correct, s.total, {PCT.replace('correct', 's.correct').replace('total', 's.total')} AS percentage
+    FROM matched m LEFT JOIN scored s ON s.candidate_id = m.candidate_id)
+  SELECT *, count(*) OVER (PARTITION BY submission_id) AS total_candidates, row_number() OVER (PARTITION BY submission_id ORDER BY candidate_id) AS n FROM r""",
 )
 def _(i):
-    out = marking.marking_report(scored(i), rows=5)
-    text = F.transform(
-        "results",
-        lambda r: F.concat(r["candidate_id"].cast("string"), F.lit(":"), r["correct"].cast("string"), F.lit("/"), r["total"].cast("string")),
-    )
-    return out.withColumn("results", F.array_join(text, " "))
+    return marking.marking_report(scored(i))
 
 
 @query(

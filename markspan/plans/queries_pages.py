@@ -116,12 +116,10 @@ def _(i):
 
 @query(
     "a13_cluster_pages",
-    f"""WITH {HASHES}, n AS (SELECT *, (row_number() OVER (PARTITION BY layout_hash ORDER BY page) - 1) // 50 AS part FROM hs)
-  SELECT layout_hash, part, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM n GROUP BY 1, 2""",
+    f"WITH {HASHES} SELECT layout_hash, row_number() OVER (PARTITION BY layout_hash ORDER BY page) AS n, page FROM hs",
 )
 def _(i):
-    out = layout.cluster_pages(layout.layout_hashes(i.reg), rows=50)
-    return out.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
+    return layout.cluster_pages(layout.layout_hashes(i.reg))
 
 
 @query("a13_format_count", f"WITH {HASHES} SELECT count(DISTINCT layout_hash) AS n_formats FROM hs")
@@ -218,14 +216,19 @@ def _(i):
 @query(
     "j8_merged_sources",
     f"""WITH {CHOSEN}, al AS (SELECT candidate_id AS page, question, answer AS fu, NULL AS fo, NULL AS ms FROM v_ans UNION ALL SELECT page, question, NULL, answer, NULL FROM v_focus
-    UNION ALL SELECT page, question, NULL, NULL, answer FROM seen),
+    UNION ALL SELECT page, question, NULL, NULL, CASE WHEN page % 3 = 0 THEN CASE answer WHEN 'C' THEN 'F' WHEN 'D' THEN '7' ELSE answer END ELSE answer END FROM seen),
   w AS (SELECT page, question, max(fu) AS fu, max(fo) AS fo, max(ms) AS ms FROM al GROUP BY 1, 2),
-  m AS (SELECT page, question, CASE WHEN ms IN ('A', 'B', 'C', 'D', 'E') THEN ms WHEN fo IS NOT NULL AND (fo <> 'BL' OR coalesce(fu, '') = 'BL') THEN fo ELSE fu END AS answer FROM w)
+  m AS (SELECT page, question, CASE WHEN CASE WHEN page % 3 = 0 THEN ms IN ('B', 'F', '7') ELSE ms IN ('A', 'B', 'C', 'D', 'E') END THEN ms WHEN fo IS NOT NULL AND (fo <> 'BL' OR coalesce(fu, '') = 'BL') THEN fo ELSE fu END AS answer FROM w)
   SELECT page, question, answer FROM m WHERE answer IS NOT NULL""",
 )
 def _(i):
     full = i.ans.withColumnRenamed("candidate_id", "page")
-    return marks.merge_sources(full, i.focus, marks.option_letters(marks.marked_options(i.cell)))
+    # Every third page has a format of its own, with an option beyond E and a digit.
+    own = F.col("page") % 3 == 0
+    seen = marks.option_letters(marks.marked_options(i.cell))
+    renamed = F.when(own & (F.col("answer") == "C"), "F").when(own & (F.col("answer") == "D"), "7").otherwise(F.col("answer"))
+    formats = full.select("page").union(seen.select("page")).distinct().filter(own).select("page", F.array(F.lit("b"), F.lit("F"), F.lit("7")).alias("options"))
+    return marks.merge_sources(full, i.focus, seen.withColumn("answer", renamed), page_options=formats)
 
 
 # --- sampling --------------------------------------------------------------------------------------------------

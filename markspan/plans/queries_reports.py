@@ -134,18 +134,13 @@ def _(i):
 
 @query(
     "j11_exam_details",
-    """WITH d AS (SELECT exam_id, document_id, (row_number() OVER (PARTITION BY exam_id ORDER BY document_id) - 1) // 10 AS part FROM v_doc),
-  dp AS (SELECT exam_id, part, count(*) AS documents, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY document_id) AS document_ids FROM d GROUP BY 1, 2),
-  j AS (SELECT exam_id, json_id, (row_number() OVER (PARTITION BY exam_id ORDER BY json_id) - 1) // 10 AS part FROM v_json),
-  jp AS (SELECT exam_id, part, string_agg(CAST(json_id AS VARCHAR), ',' ORDER BY json_id) AS json_ids FROM j GROUP BY 1, 2),
-  p AS (SELECT coalesce(dp.exam_id, jp.exam_id) AS exam_id, coalesce(dp.part, jp.part) AS part, documents, document_ids, json_ids
-    FROM dp FULL JOIN jp ON jp.exam_id = dp.exam_id AND jp.part = dp.part)
-  SELECT e.exam_id, e.name, coalesce(p.part, 0) AS part, p.document_ids, p.json_ids FROM v_exam e LEFT JOIN p ON p.exam_id = e.exam_id""",
+    """WITH c AS (SELECT exam_id, 'document' AS kind, document_id AS id, country AS label, file_path AS place FROM v_doc
+    UNION ALL SELECT exam_id, 'json', json_id, filename, NULL FROM v_json),
+  n AS (SELECT *, row_number() OVER (PARTITION BY exam_id, kind ORDER BY id) AS n FROM c)
+  SELECT e.exam_id, e.name, n.kind, n.n, n.id, n.label, n.place FROM v_exam e LEFT JOIN n ON n.exam_id = e.exam_id""",
 )
 def _(i):
-    out = listing.exam_details(i.exam, i.doc, i.json, rows=10)
-    ids = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), ",")
-    return out.select("exam_id", "name", "part", ids("documents", "document_id").alias("document_ids"), ids("jsons", "json_id").alias("json_ids"))
+    return listing.exam_details(i.exam, i.doc, i.json)
 
 
 # --- counts ----------------------------------------------------------------------------------------------------
@@ -282,7 +277,7 @@ for _name, _rule, _fn in (("a11_strict_summary", STRICT, reports.strict_warnings
     )
     def _(i, fn=_fn):
         bad = fn(i.raw.withColumnRenamed("raw_value", "answer").withColumn("page_number", F.lit(1)))
-        return reports.validation_summary(i.sheet, counts(i), bad)
+        return reports.validation_summary(counts(i), bad)
 
 
 # --- recognition confidence ------------------------------------------------------------------------------------
@@ -329,7 +324,7 @@ def _(i):
   o AS (SELECT candidate_id, question, 'DR' AS answer FROM drawn UNION ALL SELECT a.candidate_id, a.question, a.answer FROM v_ans a
     WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.candidate_id = a.candidate_id AND d.question = a.question)),
   m AS (SELECT candidate_id, '{' || string_agg('"' || CAST(question AS VARCHAR) || '":"' || answer || '"', ',' ORDER BY question) || '}' AS answers FROM o GROUP BY 1)
-  SELECT c.candidate_id, CAST(0 AS BIGINT) AS part, coalesce(m.answers, '{}') AS answers, coalesce(nullif(c.candidate_number, ''), nullif(c.candidate_no, ''), '') AS candidate_number,
+  SELECT c.candidate_id, coalesce(m.answers, '{}') AS answers, coalesce(nullif(c.candidate_number, ''), nullif(c.candidate_no, ''), '') AS candidate_number,
     coalesce(c.paper_type, '') AS paper_type FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id""",
 )
 def _(i):
@@ -372,7 +367,7 @@ def _(i):
     CASE WHEN length(response) > 80 THEN left(response, 80) || '...' ELSE response END, chr(10) ORDER BY question) AS t FROM v_draw GROUP BY 1),
   ml AS (SELECT candidate_id, '  Marked Answers:' || chr(10) || string_agg('    Q' || CAST(question AS VARCHAR) || ': ' || mark, chr(10) ORDER BY question) AS t FROM marks GROUP BY 1),
   sl AS (SELECT candidate_id, '  Score: ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' (' || CAST({PCT} AS VARCHAR) || '%)' AS t FROM scored)
-  SELECT c.candidate_id, CAST(0 AS BIGINT) AS part, concat_ws(chr(10), '--- Candidate ' || CAST({PAGED} AS VARCHAR) || ' ---', '  Candidate Name: ' || c.candidate_name, '  Candidate Number: ' || coalesce(c.candidate_number, 'None'),
+  SELECT c.candidate_id, concat_ws(chr(10), '--- Candidate ' || CAST({PAGED} AS VARCHAR) || ' ---', '  Candidate Name: ' || c.candidate_name, '  Candidate Number: ' || coalesce(c.candidate_number, 'None'),
     '  Country: ' || c.country, al.t, dl.t, ml.t, sl.t) AS report FROM v_cand c LEFT JOIN al ON al.candidate_id = c.candidate_id
   LEFT JOIN dl ON dl.candidate_id = c.candidate_id LEFT JOIN ml ON ml.candidate_id = c.candidate_id LEFT JOIN sl ON sl.candidate_id = c.candidate_id""".replace("(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"),
 )
@@ -401,16 +396,21 @@ def _(i):
     "f19_document_envelopes",
     f"""WITH {COUNTS}, t AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE answers > 0) AS pd FROM counts GROUP BY 1),
   m AS (SELECT candidate_id, '{{' || string_agg('"' || CAST(question AS VARCHAR) || '":"' || answer || '"', ',' ORDER BY question) || '}}' AS answers FROM v_ans GROUP BY 1),
-  p AS (SELECT c.submission_id, ({PAGED} - 1) // 4 AS part, c.candidate_id, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(to_json(c.candidate_number), 'null') ||
-    ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, '{{}}') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id)
-  SELECT p.submission_id, p.part, CAST(0 AS BIGINT) AS answers_part, '{{"document_information":{{"filename":"' || any_value(b.filename) || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(any_value(t.n) AS VARCHAR) ||
-    ',"pages_processed":' || CAST(any_value(b.pages_count) AS VARCHAR) || ',"pages_with_data":' || CAST(any_value(t.pd) AS VARCHAR) || '}},"candidates":[' ||
-    string_agg(p.j, ',' ORDER BY p.candidate_id) || ']}}' AS document FROM p JOIN t ON t.submission_id = p.submission_id JOIN v_sub b ON b.submission_id = p.submission_id GROUP BY 1, 2""".replace(
+  p AS (SELECT c.submission_id, {PAGED} AS seq, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(to_json(c.candidate_number), 'null') ||
+    ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, '{{}}') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id),
+  b AS (SELECT submission_id, filename, pages_count FROM v_sub UNION ALL SELECT -1, 'empty.pdf', 0)
+  SELECT b.submission_id, CAST(0 AS BIGINT) AS seq, '{{"document_information":{{"filename":"' || b.filename || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(coalesce(t.n, 0) AS VARCHAR) ||
+    ',"pages_processed":' || CAST(b.pages_count AS VARCHAR) || ',"pages_with_data":' || CAST(coalesce(t.pd, 0) AS VARCHAR) || '}},"candidates":[' AS line FROM b LEFT JOIN t ON t.submission_id = b.submission_id
+  UNION ALL SELECT submission_id, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || j FROM p
+  UNION ALL SELECT b.submission_id, coalesce(t.n, 0) + 1, ']}}' FROM b LEFT JOIN t ON t.submission_id = b.submission_id""".replace(
         "(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"
     ),
 )
 def _(i):
     given = i.ans.withColumn("question", F.col("question").cast("string"))
-    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id")).withColumnRenamed("part", "answers_part")
+    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id"))
     cand = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "paper_type")).join(maps, "candidate_id")
-    return reports.envelopes(i.sub, cand, counts(i), ["candidate_name", "candidate_number", "paper_type", "answers"], STAMP, per_part=4)
+    # One file without candidates besides those of the tables.
+    files = i.sub.select("submission_id", "filename", "pages_count")
+    bare = files.groupBy().agg(F.lit(-1).cast("bigint").alias("submission_id"), F.lit("empty.pdf").alias("filename"), F.lit(0).cast("bigint").alias("pages_count"))
+    return reports.envelopes(files.unionByName(bare), cand, counts(i), ["candidate_name", "candidate_number", "paper_type", "answers"], STAMP)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +31,22 @@ def build_session(app: str = "markspan", master: str | None = None, partitions:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's checkpoint folder, a temporary one only in local mode."""
+    """The folder all executors share, as the session names it. The library never chooses one by itself."""
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="markspan-")
-        sc.setCheckpointDir(folder)
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     return folder
 
 
+def set_local_folder(spark: SparkSession, make: Callable[[], str]) -> None:
+    """For entry points, tests and benches: where no folder is set and everything runs in one process, use `make()`."""
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        sc.setCheckpointDir(make())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

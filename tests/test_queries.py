@@ -8,8 +8,9 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as contract
+from markspan.plans.catalog import spark_queries, sql_queries
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = spark_queries(), sql_queries()
 
 
 @pytest.fixture(scope="module")
