@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.packing import WordIds
+from markspan.llm.packing import word_ids
 
 BEGIN, END, CLOSE = "<s>", "</s>", "</turn>"
 FRAME = 6  # tokens counted for the marks of a turn
@@ -80,7 +80,7 @@ WINDOWS = (
 
 def _formatted(tokenizer: str, budget: Budget) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         rows: list[tuple] = []
 
         def put(key: tuple, turns: list[tuple[str, str, bool]]) -> None:

@@ -11,7 +11,7 @@ class WordCache:
     """Texts as the encoded forms of their words, one after another. When `room` new words have come in, words not used since
     then are forgotten: at most 2 * room words are held, besides those of the texts at hand."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int = 200_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int = 400_000):
         self.split, self.encode, self.room = split, encode, room
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
