@@ -21,7 +21,7 @@ def staged(i, df, name: str) -> str:
     "r1_new_result_files",
     """WITH b AS (SELECT candidate_id FROM v_resp WHERE candidate_id % 5 <> 3)
   SELECT a.candidate_id, CAST(a.question AS VARCHAR) AS question, CASE a.question WHEN 3 THEN 'BL' WHEN 4 THEN '42' ELSE a.answer END AS answer
-  FROM v_ans a JOIN b ON b.candidate_id = a.candidate_id WHERE a.question <= 4""",
+  FROM v_ans a JOIN b ON b.candidate_id = a.candidate_id""",
 )
 def _(i):
     folder = staged(i, i.resp.select("candidate_id", "response"), "responses")
@@ -67,10 +67,11 @@ def _(i):
     answers = i.ans.select("candidate_id", F.lit("answer").alias("kind"), "question", F.col("answer").alias("value"))
     drawings = i.draw.select("candidate_id", F.lit("drawing").alias("kind"), "question", F.col("response").alias("value"))
     rows = i.sheet.join(answers.unionByName(drawings), "candidate_id", "left")
-    folder = staged(i, rows.repartition("candidate_id"), "sheets")
+    # A sheet's rows lie in three files, one file to a batch.
+    folder = staged(i, rows.repartition(3, F.coalesce("question", F.lit(0)) % 3), "sheets")
     schema = "candidate_id BIGINT, submission_id BIGINT, paper_type STRING, kind STRING, question BIGINT, value STRING"
     out = new_path(i.spark, "scores")
-    jobs.mark_new_sheets(jobs.read_new_files(i.spark, folder, schema), keys(i), i.key, out, i.dkey)
+    jobs.mark_new_sheets(jobs.read_new_files(i.spark, folder, schema, files_per_batch=1), keys(i), i.key, out, i.dkey)
     scored = "candidate_id BIGINT, submission_id BIGINT, key_id BIGINT, correct BIGINT, total BIGINT, percentage DOUBLE"
     return jobs.newest_rows(i.spark, out, ["candidate_id"], scored)
 

@@ -63,7 +63,7 @@ def _(i):
 
 @query(
     "p16_legacy_rows",
-    """SELECT candidate_id AS submission_id, 'multiple_choice' AS kind, question, answer AS value, CAST(NULL AS INTEGER) AS word_count FROM v_ans WHERE question IN (1, 2)
+    """SELECT candidate_id AS submission_id, 'multiple_choice' AS kind, question, answer AS value, CAST(NULL AS INTEGER) AS word_count FROM v_ans WHERE question <= 5
   UNION ALL SELECT candidate_id, 'free_response', question, CASE question WHEN 6 THEN 'some  words ' || answer ELSE answer END, CASE question WHEN 6 THEN 3 ELSE 1 END FROM v_ans WHERE question IN (6, 7)""",
 )
 def _(i):

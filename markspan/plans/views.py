@@ -144,11 +144,14 @@ VIEWS: dict[str, str] = {
         CAST(candidate_id % 5 AS STRING) || ' ", "zone": "Z' || CAST(candidate_id % 5 AS STRING) || '", "desk_no": ' ||
         CASE WHEN candidate_id % 2 = 0 THEN 'null' ELSE '7' END || ', "confidence": 0.9, "answers": {' || concat_ws(', ',
         max(CASE WHEN question = 1 THEN '"1": "' || answer || '"' END), max(CASE WHEN question = 2 THEN '"Q2": "' || answer || '"' END),
-        max(CASE WHEN question = 3 THEN '"3": null' END), max(CASE WHEN question = 4 THEN '"4": 42' END)) || '}}' AS body
+        max(CASE WHEN question = 3 THEN '"3": null' END), max(CASE WHEN question = 4 THEN '"4": 42' END),
+        max(CASE WHEN question = 5 THEN '"05": "' || answer || '"' END), max(CASE WHEN question = 6 THEN '"question 6": "' || answer || '"' END),
+        max(CASE WHEN question = 7 THEN '"7": "' || answer || '"' END)) || '}}' AS body
         FROM v_ans GROUP BY candidate_id) b ON b.candidate_id = c.candidate_id""",
     "v_legacy": """SELECT candidate_id AS submission_id, '{"multiple_choice": [' || concat_ws(', ',
         max(CASE WHEN question = 1 THEN '{"question": 1, "answer": "' || answer || '"}' END),
-        max(CASE WHEN question = 2 THEN '{"question": 2, "answer": "' || answer || '"}' END)) || '], "free_response": [' || concat_ws(', ',
+        max(CASE WHEN question = 2 THEN '{"question": 2, "answer": "' || answer || '"}' END), max(CASE WHEN question = 3 THEN '{"question": 3, "answer": "' || answer || '"}' END),
+        max(CASE WHEN question = 4 THEN '{"question": 4, "answer": "' || answer || '"}' END), max(CASE WHEN question = 5 THEN '{"question": 5, "answer": "' || answer || '"}' END)) || '], "free_response": [' || concat_ws(', ',
         max(CASE WHEN question = 6 THEN '{"question": 6, "response": "some  words ' || answer || '"}' END),
         max(CASE WHEN question = 7 THEN '{"question": 7, "response": "' || answer || '"}' END)) || ']}' AS document
         FROM v_ans GROUP BY candidate_id""",

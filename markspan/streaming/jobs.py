@@ -2,7 +2,7 @@
 
 Each job reads new files, works through everything available and stops, so that it can run on any schedule. Results of
 a micro-batch go to `<out>/batch_id=N`, written over when a batch is replayed; readers take the newest row of each key.
-State is one row per submission; layouts and marks keep none.
+State is one row per submission; layouts keep none; marking reads back the stored rows of the sheets that a batch touches.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from markspan.functions import codes, modeljson
@@ -133,8 +134,10 @@ def detect_new_layouts(stream: DataFrame, fn: infer.PageFunction, out: str) -> N
         chosen = representative_pages(batch)
         try:
             stored = spark.read.parquet(out)
-        except AnalysisException:  # no batch has been written yet
-            return infer.formats_of(chosen, fn)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return infer.formats_of(chosen, fn)  # no batch has been written yet
         known = stored.filter(F.col(BATCH) < batch_id).select(F.col("format_id").alias("layout_hash"))
         return infer.formats_of(chosen.join(known, "layout_hash", "left_anti"), fn)
 
@@ -153,12 +156,20 @@ def mark_new_sheets(
 ) -> None:
     """Mark sheets as they arrive against the stored keys.
 
-    The stream holds long rows (candidate_id, submission_id, paper_type, kind, question, value), a sheet's rows in one
-    file; kind is answer or drawing, and a sheet without answers has one row with no question."""
+    The stream holds long rows (candidate_id, submission_id, paper_type, kind, question, value); kind is answer or drawing,
+    and a sheet without answers has one row with no question. A sheet's rows may come in any files: each batch is stored
+    below `<out>-rows`, and the sheets it touches are marked again from all their rows so far, of which the newest of a
+    question counts. A replayed batch replaces its rows."""
+    spark = stream.sparkSession
+    arrived, stored = f"{out}-rows", StructType([*stream.schema.fields, StructField(BATCH, LongType())])
 
-    def build(batch: DataFrame, _: int) -> DataFrame:
-        sheets = batch.select("candidate_id", "submission_id", "paper_type").distinct()
-        rows = batch.filter(F.col("question").isNotNull())
+    def build(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch.write.mode("overwrite").parquet(_batch_path(arrived, batch_id))
+        every = spark.read.schema(stored).parquet(arrived)
+        touched = every.filter(F.col(BATCH) == batch_id).select("candidate_id").distinct()
+        seen = every.filter(F.col(BATCH) <= batch_id).join(touched, "candidate_id", "left_semi")
+        sheets = seen.groupBy("candidate_id").agg(F.max_by(F.struct("submission_id", "paper_type"), BATCH).alias("s")).select("candidate_id", "s.*")
+        rows = seen.filter(F.col("question").isNotNull()).groupBy("candidate_id", "kind", "question").agg(F.max_by("value", BATCH).alias("value"))
         answers = rows.filter("kind = 'answer'").select("candidate_id", "question", F.col("value").alias("answer"))
         drawings = rows.filter("kind = 'drawing'").select("candidate_id", "question", F.col("value").alias("response"))
         return marking.marked_candidates(sheets, keys, key_long, answers, drawing_long, drawings)
