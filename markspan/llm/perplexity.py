@@ -130,11 +130,11 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """Per language the discounts of counts 1, 2 and more, from the counts of counts."""
     n = [F.sum((F.col("c") == k).cast("double")) for k in (1, 2, 3, 4)]
     stats = counts.groupBy("lang").agg(*[x.alias(f"n{k + 1}") for k, x in enumerate(n)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(k: int, lower: str, upper: str) -> Column:
         # Without enough counts of counts, half of the count's step is taken off.
-        d = F.lit(float(k)) - (k + 1) * y * F.col(upper) / F.col(lower)
+        d = F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(upper), F.col(lower))
         sound = (F.col("n1") > 0) & (F.col(lower) > 0) & (d > 0)
         return F.when(sound, d).otherwise(F.lit(0.5)).alias(f"d{k}")
 

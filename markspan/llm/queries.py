@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markspan.llm import chat, digest_index, minhash, packing, perplexity, pieces, pii, segments, sql, warc
+from markspan.llm import chat, digest_index, minhash, packing, paragraphs, perplexity, pieces, pii, segments, sql, warc
 from markspan.llm.common import table
 
 # Vocabulary files stay where the tokenizer package has them; the driver reads them once and ships their contents.
@@ -49,6 +49,10 @@ def op7_chat_windows(spark: SparkSession, folder: str, tokenizer: str = WORD_TOK
     return chat.window_digests(chat.format_windows(turns, Path(tokenizer).read_text()))
 
 
+def op8_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, folder, "documents"))
+
+
 def op9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_digest_index": op5_digest_index,
         "op6_personal_data": op6_personal_data,
         "op7_chat_windows": op7_chat_windows,
+        "op8_paragraphs": op8_paragraphs,
         "op9_perplexity": op9_perplexity,
         "op10_warc": op10_warc,
     }
