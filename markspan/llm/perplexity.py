@@ -1,6 +1,6 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of character n-grams.
 
-One model per language is counted over all trusted documents. Documents are stored once in compressed blocks; each block
+One model per language is counted over the trained half of all trusted documents. Documents are stored once in compressed blocks; each block
 names its distinct n-grams, the model's probabilities for them come from joins of sharded count tables, and go back to the
 block as one row. So the texts are never shuffled, and what moves grows with the blocks.
 """
@@ -26,7 +26,7 @@ ORDER = 4
 PAD = "\n"  # stands before the first character
 BLOCK_CHARS, BLOCK_DOCS = 6 << 20, 4096
 SMALL_SIDE = 32 << 20  # bytes of trusted ids that are sent to all tasks; more are joined by shuffle
-QUANTILE, MARGIN = 0.995, 1.1  # a document may have MARGIN times this quantile of the trusted perplexities
+QUANTILE, MARGIN = 0.995, 1.2  # a document may have MARGIN times this quantile of the perplexities of held-out trusted ones
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 table = _opened(payload.as_py())
-                trusted = np.array(table.column("trusted").to_pylist(), dtype=bool)
+                counted = np.array(table.column("trained").to_pylist(), dtype=bool)
                 for lang, rows, points, starts in _texts(table, order):
                     if len(points) < order:
                         continue
@@ -108,7 +108,7 @@ def _grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     _, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
                     if not len(first):
                         continue
-                    seen = np.bincount(inverse, weights=trusted[rows][owner], minlength=len(first)).astype(np.int64)
+                    seen = np.bincount(inverse, weights=counted[rows][owner], minlength=len(first)).astype(np.int64)
                     shown = points[at[first][:, None] + np.arange(order)]
                     grams = np.frombuffer(shown.astype("<u4").tobytes(), dtype=f"<U{order}")
                     yield pa.RecordBatch.from_arrays(
@@ -184,7 +184,7 @@ def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]], o
 
 # ------------------------------------------------------------------ scores
 
-SCORES = "doc_id long, lang string, trusted boolean, n_chars long, nats double"
+SCORES = "doc_id long, lang string, trusted boolean, trained boolean, n_chars long, nats double"
 
 
 def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -211,25 +211,28 @@ def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     at = np.arange(len(owner)) + owner * (order - 1)
                     place = np.searchsorted(known, gram_hashes(points, code, order)[at])
                     nats[rows] = np.bincount(owner, weights=logs[place], minlength=len(rows))
-                columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "trusted")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "trusted", "n_chars", "nats"])
+                columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "trusted", "trained")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "trusted", "trained", "n_chars", "nats"])
 
     return run
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, text, trusted): trusted are documents whose every label is good and not toxic."""
+    """(doc_id, lang, text, trusted, trained): trusted are documents whose every label is good and not toxic. Half of them, by a
+    hash of the id, train the models; the others are held out, so that the thresholds are those of unseen text."""
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     judged = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.every(good).alias("trusted"))
     trusted = written(judged.filter("trusted"), "trusted")
     if trusted.count() * 16 <= SMALL_SIDE:
         trusted = F.broadcast(trusted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    return rows.join(trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    told = rows.join(trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return told.withColumn("trained", F.col("trusted") & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
 
 
 def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, trusted, n_chars, nats) of (doc_id, lang, text, trusted) under the models of the trusted rows."""
+    """(doc_id, lang, trusted, trained, n_chars, nats) of (doc_id, lang, text, trusted, trained) under the models of the trained
+    rows."""
     spark = rows.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
     buckets = max(8, -(-rows.count() // 8192))
@@ -249,12 +252,14 @@ def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept: one row per row of docs.
 
-    The threshold of a language is `margin` times the quantile of its trusted documents' perplexities. A null language is one
-    of its own (shown as null). A language without trusted text has no threshold and keeps its documents. An empty or null
+    The threshold of a language is `margin` times the quantile of its held-out trusted documents' perplexities, or of all its
+    trusted ones if none is held out. A null language is one of its own (shown as null). A language without trusted text has no threshold and keeps its documents. An empty or null
     text has no perplexity and is not kept. Rows that repeat an id are judged each."""
     scores = perplexities(with_trust(docs, labels), order)
     scores = scores.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("nats") / F.col("n_chars"))))
-    usual = scores.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("usual"))
+    held = F.when(~F.col("trained"), F.col("perplexity"))
+    usual = [F.percentile_approx(c, quantile, 100_000) for c in (held, F.col("perplexity"))]
+    usual = scores.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.coalesce(*usual).alias("usual"))
     usual = usual.select(F.col("lang").alias("of"), (F.col("usual") * margin).alias("threshold"))
     told = scores.join(usual, F.col("lang").eqNullSafe(F.col("of")), "left")
     good = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
