@@ -15,6 +15,8 @@ from markspan.functions import codes
 from markspan.operators.ordered import id_block, number_rows
 from markspan.session import written
 
+ANCHOR = 8  # characters by which containment candidates meet
+
 
 def type_name(c: Column, null_as_empty: bool = False) -> Column:
     """Normalised paper type; a missing one reads NONE unless the caller wants it empty."""
@@ -36,44 +38,36 @@ def exact_matches(candidates: DataFrame, by_type: DataFrame) -> DataFrame:
     return typed.join(by_type, "paper_type_norm")
 
 
-def _lengths(df: DataFrame) -> Column:
-    """The distinct text lengths that occur, as a scalar subquery."""
-    return df.agg(F.collect_set(F.length("paper_type_norm")).alias("n")).scalar()
-
-
-def _pieces(df: DataFrame, lengths: Column) -> DataFrame:
-    """Each row once per substring of its type that has one of the given lengths."""
+def _grams(df: DataFrame) -> DataFrame:
+    """Each text once per distinct piece of 1 to ANCHOR characters that it holds."""
     size = F.length("paper_type_norm")
-    sized = df.withColumn("__lengths", lengths).withColumn("__n", F.explode("__lengths"))
-    placed = sized.filter((F.col("__n") > 0) & (F.col("__n") <= size)).withColumn(
-        "__i", F.explode(F.sequence(F.lit(1), size - F.col("__n") + 1))
-    )
-    piece = F.substring("paper_type_norm", F.col("__i"), F.col("__n"))
-    return placed.withColumn("piece", piece).drop("__lengths", "__n", "__i")
+    starts = df.filter(size > 0).select("*", F.explode(F.sequence(F.lit(1), size)).alias("__i"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size - F.col("__i") + 1))
+    cut = starts.select("*", F.explode(lengths).alias("__n"))
+    return cut.withColumn("gram", F.substring("paper_type_norm", F.col("__i"), F.col("__n"))).drop("__i", "__n").distinct()
 
 
 def type_matches(types: DataFrame, by_type: DataFrame) -> DataFrame:
     """The key of each distinct paper type: equal type first, else the first key where one text contains the other.
 
-    Containment is an equality join: a type is cut into its pieces of key length, a key type into all its pieces, and
-    equal texts meet. So neither side is paired with the whole other side, and the types are read once."""
-    keys = by_type.select("paper_type_norm", "key_pos", "key_id")
-    all_lengths = F.sequence(F.lit(1), F.length("paper_type_norm"))
-    parts_of_keys = _pieces(keys, all_lengths).select("piece", "key_pos", "key_id")
-    empty = keys.select(F.lit("").alias("piece"), "key_pos", "key_id")
-    own = keys.select(F.col("paper_type_norm").alias("piece"), "key_pos", "key_id")
-
-    def lookup(df: DataFrame, whole: bool, rank: int) -> DataFrame:
-        return df.select("piece", F.lit(whole).alias("whole"), F.struct(F.lit(rank).alias("rank"), "key_pos", "key_id").alias("hit"))
-
-    known = lookup(own, True, 0).unionByName(lookup(parts_of_keys.unionByName(empty), True, 1)).unionByName(lookup(own, False, 1))
-    known = known.groupBy("piece", "whole").agg(F.min("hit").alias("hit"))
-
+    Containment is an equality join: the longer text is cut into its pieces of up to ANCHOR characters, and the shorter one
+    meets the piece that it begins with; then the whole texts are compared. Work is linear in the length of the texts."""
+    keys = by_type.select(F.col("paper_type_norm").alias("key_type"), "key_pos", "key_id")
     types = types.select("paper_type_norm")
-    asked = types.select("paper_type_norm", F.col("paper_type_norm").alias("piece"), F.lit(True).alias("whole")).unionByName(
-        _pieces(types, _lengths(by_type)).select("paper_type_norm", "piece", F.lit(False).alias("whole"))
-    )
-    best = asked.join(known, ["piece", "whole"], "left").groupBy("paper_type_norm").agg(F.min("hit").alias("hit"))
+
+    def hits(df: DataFrame, rank: int) -> DataFrame:
+        return df.select("paper_type_norm", F.struct(F.lit(rank).alias("rank"), "key_pos", "key_id").alias("hit"))
+
+    equal = types.join(keys, F.col("paper_type_norm") == F.col("key_type"))
+    in_type = _grams(types).join(keys, F.col("gram") == F.left("key_type", F.lit(ANCHOR)))
+    in_type = in_type.filter(F.contains("paper_type_norm", F.col("key_type")))
+    of_keys = _grams(by_type.select("paper_type_norm", "key_pos", "key_id")).withColumnRenamed("paper_type_norm", "key_type")
+    in_key = types.join(of_keys, F.left("paper_type_norm", F.lit(ANCHOR)) == F.col("gram")).filter(F.contains("key_type", F.col("paper_type_norm")))
+    # Every key contains the empty type, so that the first one fits it.
+    first = by_type.agg(F.min(F.struct(F.lit(1).alias("rank"), "key_pos", "key_id")).alias("hit")).scalar()
+    empty = types.filter(F.col("paper_type_norm") == "").select("paper_type_norm", first.alias("hit"))
+    found = hits(equal, 0).unionByName(hits(in_type, 1)).unionByName(hits(in_key, 1)).unionByName(empty)
+    best = types.join(found.groupBy("paper_type_norm").agg(F.min("hit").alias("hit")), "paper_type_norm", "left")
     kind = F.when(F.col("hit.rank") == 0, F.lit("exact")).when(F.col("hit").isNotNull(), F.lit("contains"))
     return best.select("paper_type_norm", F.col("hit.key_id").alias("key_id"), kind.alias("match_kind"))
 

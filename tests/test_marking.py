@@ -102,3 +102,11 @@ def test_inline_key(spark, exam):
     marks = marking.mark_answers(asked, exam["answers"])
     assert marks.count() == 600
     assert {r.mark for r in marks.filter("question = '99'").collect()} == {"BL"}
+
+
+def test_long_paper_types(spark):
+    long = "x" + "AB12" * 1300
+    keys = spark.createDataFrame([(1, long + "TAIL"), (2, "B12A"), (3, "ZZ")], "key_id bigint, paper_type string")
+    types = spark.createDataFrame([(10, long), (11, "QB12AQ"), (12, "nothing"), (13, "12AB12TAIL"), (14, "")], "candidate_id bigint, paper_type string")
+    got = {r.candidate_id: (r.key_id, r.match_kind) for r in marking.match_keys(types, keys).collect()}
+    assert got == {10: (1, "contains"), 11: (2, "contains"), 12: (None, None), 13: (1, "contains"), 14: (1, "contains")}
