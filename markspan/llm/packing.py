@@ -84,7 +84,7 @@ class WordIds:
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.cache = WordCache(lambda text: [w for w in text.replace("\n", " ").split(" ") if w], self._encode)
+        self.cache = WordCache(lambda text: text.replace("\n", " ").split(" "), self._encode)
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         """The library takes words by the list, which costs it less than one by one."""

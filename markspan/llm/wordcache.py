@@ -9,16 +9,17 @@ CHARS = 4 << 20  # of texts that are split and looked up together
 
 class WordCache:
     """Texts as the encoded forms of their words, one after another. When `room` new words have come in, words not used since
-    then are forgotten: at most 2 * room words are held, besides those of the texts at hand."""
+    then are forgotten: at most 2 * room words (about 200 bytes each) are held, besides those of the texts at hand."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]], room: int = 800_000):
         self.split, self.encode, self.room = split, encode, room
-        self.new: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {"": b""}  # blanks next to each other leave empty words
         self.old: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         if len(self.new) > self.room:
-            self.old, self.new = self.new, {}
+            self.old, self.new = self.new, {"": b""}
+        words.discard("")
         wanted = words.difference(self.new)
         self.new.update((w, self.old[w]) for w in wanted.intersection(self.old))
         missing = list(wanted.difference(self.old))
