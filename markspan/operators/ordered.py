@@ -1,7 +1,7 @@
 """Ordered calculations within a group that stay spread over many tasks.
 
 A window over (submission) puts a whole submission into one task. Here each group is cut into blocks along its order, and
-the blocks into wider ones: windows run inside the finest blocks, one row per block carries sums, maxima or last values on,
+times also into wider ones: windows run inside the finest blocks, one row per block carries sums, maxima or last values on,
 and those rows are treated the same way at the next level. The block expressions must not decrease along the order. Keys
 and orders may be null: a null key is a group, a null order comes first.
 """
@@ -20,9 +20,8 @@ _BLOCK, _VALUE, _BEFORE = "__block", "__value", "__before"
 
 
 def id_block(c: Column, rows: int = ROWS_PER_BLOCK) -> list[Column]:
-    """Blocks over a unique whole-number order: at most `rows` rows of a group fall into the finest one, and at most `rows`
-    finest blocks into a wider one."""
-    return [F.floor(c / F.lit(rows)), F.floor(c / F.lit(rows * rows))]
+    """Blocks over a unique whole-number order: at most `rows` rows of a group fall into one."""
+    return [F.floor(c / F.lit(rows))]
 
 
 def time_block(ts: Column, zoned: bool = False) -> list[Column]:
