@@ -92,4 +92,6 @@ def bucket_links(rows: DataFrame, compare: Compare, size: int) -> DataFrame:
     names = [c for c in rows.columns if c != "bucket"]
     dealt = cut.select("bucket", *names, F.explode(F.concat(right, left)).alias("at")).select("bucket", "at.*", *names)
     keys = ["bucket", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linking(compare), EDGES).distinct()
+    # A fixed number of partitions: rows are few, but comparing them is work that should stay spread.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_linking(compare), EDGES).distinct()

@@ -30,7 +30,7 @@ WIDTH = 5  # words of a shingle
 RADIUS = 5
 BANDS = 2  # of one minimum each: 0.96 of the pairs at a similarity of 0.8, and a passage has several paragraphs
 NUM, DEN = 8, 10  # least similarity
-BLOCK = 1024  # members of a block that are compared in memory
+BLOCK = 512  # members of a block that are compared in memory
 MIN_WORDS = 20  # in whole paragraphs of a passage; a passage of 50 words has about 40 of them
 
 UNITS = "doc_id long, pos long, n_words long, begin long, end long, node long, k1 long, k2 long"
@@ -131,17 +131,13 @@ def _alike(group: pa.Table, ours: np.ndarray, theirs: np.ndarray, far: np.ndarra
     near = np.flatnonzero(~far)
     for k in near[1:].tolist():
         trees.join(int(near[0]), k)
-    links = []
-    for x in ours.tolist():
-        fits = theirs[np.minimum(sizes[theirs], sizes[x]) * DEN >= np.maximum(sizes[theirs], sizes[x]) * NUM]
-        for y in fits.tolist():
-            if trees.find(x) == trees.find(y):
-                continue
-            shared = len(np.intersect1d(flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]], assume_unique=True))
-            if shared * DEN >= (sizes[x] + sizes[y] - shared) * NUM:
-                trees.join(x, y)
-                links.append((x, y))
-    return links
+    # Which member holds which shingle of the group; products of these rows count what two members share.
+    shingles, place = np.unique(flat, return_inverse=True)
+    holds = np.zeros((len(sizes), len(shingles)), dtype=np.float32)
+    holds[np.repeat(np.arange(len(sizes)), sizes), place] = 1
+    shared = holds[ours] @ holds[theirs].T
+    enough = shared * DEN >= (sizes[ours][:, None] + sizes[theirs] - shared) * NUM
+    return [(x, y) for x, y in zip(*(side.tolist() for side in (ours[np.nonzero(enough)[0]], theirs[np.nonzero(enough)[1]])), strict=True) if trees.join(x, y)]
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
