@@ -24,41 +24,49 @@ from markspan.session import new_path, written
 
 ORDER = 4
 PAD = "\n"  # stands before the first character
-BLOCK_CHARS, BLOCK_DOCS = 6 << 20, 4096
+BLOCK_BYTES = 32 << 20  # of text in a block; its n-grams and answers are as many as it has distinct ones
+PART_BYTES = 4 << 20  # of text that a task takes apart at a time
 SMALL_SIDE = 32 << 20  # bytes of trusted ids that are sent to all tasks; more are joined by shuffle
 QUANTILE, MARGIN = 0.995, 1.2  # a document may have MARGIN times this quantile of the perplexities of held-out trusted ones
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of compressed record batches; a text above the bounds is a part, or a block, of its own."""
     number = TaskContext.get().partitionId() << 32
-    parts: list[pa.RecordBatch] = []
-    rows = chars = 0
+    options = ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+    sink = out = None
+    held = 0
 
     def packed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with ipc.new_stream(sink, parts[0].schema, options=ipc.IpcWriteOptions(compression="zstd")) as out:
-            for p in parts:
-                out.write_batch(p)
+        out.close()
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column("text")).fill_null(0)).astype(np.int64)
+        ends = np.cumsum(sizes)
         begin = 0
         while begin < batch.num_rows:
-            fits = int(np.searchsorted(np.cumsum(sizes[begin:]), BLOCK_CHARS - chars, "right"))
-            take = min(max(fits, 0 if rows else 1), BLOCK_DOCS - rows, batch.num_rows - begin)
-            if take:
-                parts.append(batch.slice(begin, take))
-                rows, chars, begin = rows + take, chars + int(sizes[begin : begin + take].sum()), begin + take
-            if begin < batch.num_rows or chars >= BLOCK_CHARS or rows >= BLOCK_DOCS:
+            before = ends[begin] - sizes[begin]
+            take = max(1, int(np.searchsorted(ends, before + PART_BYTES, "right")) - begin)
+            part = batch.slice(begin, take)
+            if out is not None and held + int(ends[begin + part.num_rows - 1] - before) > BLOCK_BYTES:
                 yield packed()
-                number, parts, rows, chars = number + 1, [], 0, 0
-    if parts:
+                number, sink, out, held = number + 1, None, None, 0
+            if out is None:
+                sink = pa.BufferOutputStream()
+                out = ipc.new_stream(sink, batch.schema, options=options)
+            out.write_batch(part)
+            held += int(ends[begin + part.num_rows - 1] - before)
+            begin += part.num_rows
+    if out is not None:
         yield packed()
 
 
-def _opened(payload: bytes) -> pa.Table:
-    return ipc.open_stream(payload).read_all()
+def _opened(payload: bytes) -> Iterator[pa.Table]:
+    """The parts of a block."""
+    with ipc.open_stream(payload) as parts:
+        for part in parts:
+            yield pa.Table.from_batches([part])
 
 
 def _code(lang: str) -> np.uint64:
@@ -91,28 +99,37 @@ def _texts(table: pa.Table, order: int) -> Iterator[tuple[str, np.ndarray, np.nd
 GRAMS = "block long, lang string, gram string, seen long"
 
 
+def _part_grams(table: pa.Table, order: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language of a part: hashes of its distinct n-grams, their code points, and their counts in trained documents."""
+    counted = np.array(table.column("trained").to_pylist(), dtype=bool)
+    for lang, rows, points, starts in _texts(table, order):
+        # Grams that would reach into the next row's padding belong to no text.
+        sizes = np.diff(starts) - (order - 1)
+        if not sizes.sum():
+            continue
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(owner)) + owner * (order - 1)
+        hashes, first, inverse = np.unique(gram_hashes(points, _code(lang), order)[at], return_index=True, return_inverse=True)
+        seen = np.bincount(inverse, weights=counted[rows][owner], minlength=len(first)).astype(np.int64)
+        yield lang, hashes, points[at[first][:, None] + np.arange(order)], seen
+
+
 def _grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                table = _opened(payload.as_py())
-                counted = np.array(table.column("trained").to_pylist(), dtype=bool)
-                for lang, rows, points, starts in _texts(table, order):
-                    if len(points) < order:
-                        continue
-                    hashes = gram_hashes(points, _code(lang), order)
-                    # Grams that would reach into the next row's padding belong to no text.
-                    sizes = np.diff(starts) - (order - 1)
-                    owner = np.repeat(np.arange(len(rows)), sizes)
-                    at = np.arange(len(owner)) + owner * (order - 1)
-                    _, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
-                    if not len(first):
-                        continue
-                    seen = np.bincount(inverse, weights=counted[rows][owner], minlength=len(first)).astype(np.int64)
-                    shown = points[at[first][:, None] + np.arange(order)]
-                    grams = np.frombuffer(shown.astype("<u4").tobytes(), dtype=f"<U{order}")
+                whole: dict[str, tuple] = {}
+                for table in _opened(payload.as_py()):
+                    for lang, *found in _part_grams(table, order):
+                        if lang in whole:
+                            hashes, points, seen = (np.concatenate(x) for x in zip(whole[lang], found, strict=True))
+                            hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                            found = [hashes, points[first], np.bincount(inverse, weights=seen).astype(np.int64)]
+                        whole[lang] = tuple(found)
+                for lang, (hashes, points, seen) in whole.items():
+                    grams = np.frombuffer(points.astype("<u4").tobytes(), dtype=f"<U{order}")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(first), block), pa.int64()), pa.array([lang] * len(first), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(seen, pa.int64())],
+                        [pa.array(np.full(len(hashes), block), pa.int64()), pa.array([lang] * len(hashes), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(seen, pa.int64())],
                         names=["block", "lang", "gram", "seen"],
                     )
 
@@ -191,32 +208,37 @@ def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, answers in zip(batch.column("payload"), batch.column("answers"), strict=True):
-                table = _opened(payload.as_py())
-                n = table.num_rows
-                nats, chars = np.zeros(n), np.zeros(n, dtype=np.int64)
-                given = answers.values if answers.is_valid else None
-                langs = given.field("lang") if given is not None else None
-                for lang, rows, points, starts in _texts(table, order):
-                    sizes = np.diff(starts) - (order - 1)
-                    chars[rows] = sizes
-                    if not sizes.sum():
-                        continue
-                    mine = given.filter(pc.equal(langs, lang))
-                    grams = np.array(mine.field("gram").to_pylist(), dtype=f"<U{order}")
-                    code = _code(lang)
-                    known = gram_hashes(grams.view("<u4"), code, order)[::order]
-                    sort = np.argsort(known)
-                    known, logs = known[sort], np.log(np.asarray(mine.field("p")))[sort]
-                    owner = np.repeat(np.arange(len(rows)), sizes)
-                    at = np.arange(len(owner)) + owner * (order - 1)
-                    place = np.searchsorted(known, gram_hashes(points, code, order)[at])
-                    nats[rows] = np.bincount(owner, weights=logs[place], minlength=len(rows))
-                columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "trusted", "trained")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "trusted", "trained", "n_chars", "nats"])
+                known = _known(answers.values, order) if answers.is_valid else {}
+                for table in _opened(payload.as_py()):
+                    nats, chars = np.zeros(table.num_rows), np.zeros(table.num_rows, dtype=np.int64)
+                    for lang, rows, points, starts in _texts(table, order):
+                        sizes = np.diff(starts) - (order - 1)
+                        chars[rows] = sizes
+                        if not sizes.sum():
+                            continue
+                        hashes, logs = known[lang]
+                        owner = np.repeat(np.arange(len(rows)), sizes)
+                        at = np.arange(len(owner)) + owner * (order - 1)
+                        place = np.searchsorted(hashes, gram_hashes(points, _code(lang), order)[at])
+                        nats[rows] = np.bincount(owner, weights=logs[place], minlength=len(rows))
+                    columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "trusted", "trained")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "trusted", "trained", "n_chars", "nats"])
 
     return run
 
 
+def _known(answers: pa.StructArray, order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language the hashes of its n-grams, sorted, and the logarithms of their probabilities."""
+    out = {}
+    for lang in pc.unique(answers.field("lang")).to_pylist():
+        mine = answers.filter(pc.equal(answers.field("lang"), lang))
+        grams = np.array(mine.field("gram").to_pylist(), dtype=f"<U{order}")
+        hashes = gram_hashes(grams.view("<u4"), _code(lang), order)[::order]
+        sort = np.argsort(hashes)
+        out[lang] = hashes[sort], np.log(np.asarray(mine.field("p")))[sort]
+    return out
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text, trusted, trained): trusted are documents whose every label is good and not toxic. Half of them, by a
     hash of the id, train the models; the others are held out, so that the thresholds are those of unseen text."""
@@ -235,7 +257,7 @@ def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
     rows."""
     spark = rows.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    buckets = max(8, -(-rows.count() // 8192))
+    buckets = max(8, -(-rows.count() // 8192))  # of one or two blocks each, for texts of some thousand characters
     rows.mapInArrow(_blocks, "block long, payload binary").write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     grams = written(blocks.mapInArrow(_grams(order), GRAMS), "grams")
