@@ -7,6 +7,7 @@ column; texts are taken in slices of about SLICE bytes, a longer text alone in i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+@lru_cache
 def constants(n: int, seed: int, odd: bool = False) -> np.ndarray:
-    """n 64-bit numbers from a fixed rule."""
+    """n 64-bit numbers from a fixed rule, read-only."""
     with np.errstate(over="ignore"):
         out = mix((np.arange(1, n + 1, dtype=_U) + _U(seed << 20)) * _U(0x9E3779B97F4A7C15))
-    return out | _U(1) if odd else out
+    out = out | _U(1) if odd else out
+    out.flags.writeable = False
+    return out
 
 
 _BASE = 0x9E3779B97F4A7C55
