@@ -97,6 +97,7 @@ def parse_format_responses(df: DataFrame, response: str = "response", format_id:
     return spec.select(format_id, *[F.when(ok, v).otherwise(fallback[k]).alias(k) for k, v in pick.items()])
 
 
+# The format of pages whose layout could not be described.
 def fallback_format() -> dict[str, Column]:
     """The format used when detection fails: written answers 1-20."""
     none = F.lit(None).cast("bigint")

@@ -12,6 +12,7 @@ from markspan.operators import infer, layout, marks, normalize
 from markspan.session import written
 
 
+# Fixed value: the message of a response without an object.
 NO_OBJECT = "No valid JSON object found in model response"
 # Confidence of a page by how it was read.
 CONFIDENCE = {"cv_only": 0.95, "llm_full": 0.9, "failed": 0.0}

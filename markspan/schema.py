@@ -1,39 +1,7 @@
-"""Schemas of the stored tables and the nested values, as DDL text."""
+"""Schemas of nested values, as DDL text."""
 
 TEXT_MAP = "MAP<STRING,STRING>"
 
-SUBMISSIONS = (
-    "submission_id BIGINT, filename STRING, original_pdf_key STRING, result_json_key STRING, status STRING, "
-    "created_at TIMESTAMP_NTZ, processed_at TIMESTAMP_NTZ, pages_count INT, error_message STRING"
-)
-CANDIDATES = (
-    "candidate_id BIGINT, submission_id BIGINT, page_number BIGINT, candidate_name STRING, candidate_number STRING, "
-    "country STRING, paper_type STRING, extra_fields MAP<STRING,STRING>"
-)
-ANSWERS_LONG = ("candidate_id BIGINT, question STRING, answer STRING")
-EXAMS = ("exam_id BIGINT, name STRING, correction_pdf_path STRING, created_at TIMESTAMP_NTZ")
-EXAM_DOCUMENTS = (
-    "document_id BIGINT, exam_id BIGINT, country STRING, file_path STRING, pages_count INT, uploaded_at TIMESTAMP_NTZ"
-)
-GENERATED_JSONS = (
-    "json_id BIGINT, exam_id BIGINT, file_path STRING, filename STRING, created_at TIMESTAMP_NTZ"
-)
-ANSWER_KEYS = (
-    "key_id BIGINT, name STRING, paper_type STRING, answers MAP<STRING,STRING>, drawing_key MAP<STRING,STRING>, "
-    "total_questions INT, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
-)
-LEGACY_CHOICES = (
-    "submission_id BIGINT, question_number INT, selected_answer STRING, page_number INT, created_at TIMESTAMP_NTZ"
-)
-LEGACY_RESPONSES = (
-    "submission_id BIGINT, question_number INT, response_text STRING, word_count INT, page_number INT, "
-    "created_at TIMESTAMP_NTZ"
-)
-LOG_EVENTS = (
-    "id BIGINT, submission_id BIGINT, action STRING, status STRING, message STRING, extra_data STRING, "
-    "created_at TIMESTAMP_NTZ"
-)
-
 # Shape of the list-form result documents that older runs stored.
 LEGACY_DOCUMENT = (
     "multiple_choice ARRAY<STRUCT<question: BIGINT, answer: STRING>>, "
@@ -44,8 +12,3 @@ FORMAT_RESPONSE = (
     "header_fields ARRAY<STRUCT<key: STRING, label: STRING>>, mcq_range STRING, numeric_range STRING, "
     "drawing_range STRING, answer_options ARRAY<STRING>, total_questions BIGINT, description STRING"
 )
-FORMATS = (
-    "format_id STRING, header_fields ARRAY<STRUCT<key: STRING, label: STRING>>, mcq_start BIGINT, mcq_end BIGINT, "
-    "numeric_start BIGINT, numeric_end BIGINT, drawing_start BIGINT, drawing_end BIGINT, answer_options ARRAY<STRING>, "
-    "total_questions BIGINT, description STRING"
-)
