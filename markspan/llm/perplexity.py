@@ -25,7 +25,7 @@ from markspan.session import new_path, written
 ORDER = 4
 PAD = "\n"  # stands before the first character
 BLOCK_BYTES = 32 << 20  # of text in a block; its n-grams and answers are as many as it has distinct ones
-PART_BYTES = 4 << 20  # of text that a task takes apart at a time
+PART_BYTES = 2 << 20  # of text that a task takes apart at a time
 SMALL_SIDE = 32 << 20  # bytes of trusted ids that are sent to all tasks; more are joined by shuffle
 QUANTILE, MARGIN = 0.995, 1.2  # a document may have MARGIN times this quantile of the perplexities of held-out trusted ones
 
