@@ -265,7 +265,8 @@ def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
     wanted = written(grams.select("lang", "gram").distinct(), "wanted")
     chances = probabilities(wanted, train(counts, order), order)
     answers = grams.select("block", "lang", "gram").join(chances, ["lang", "gram"])
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("lang", "gram", "p")).alias("answers"))
+    # Dealt like the buckets of the blocks, so that the join leaves the texts where they are.
+    answers = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("lang", "gram", "p")).alias("answers"))
     scored = written(blocks.join(answers.hint("merge"), "block", "left").select("payload", "answers").mapInArrow(_scored(order), SCORES), "scores")
     spark.sql(f"DROP TABLE {name}")
     return scored
