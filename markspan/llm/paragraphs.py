@@ -1,205 +1,288 @@
-"""Passages that repeat across documents, by MinHash banding of paragraphs.
+"""Passages that repeat across documents, from sampled word runs that are extended to the true ends of the passages.
 
-Passages may stand in the middle of lines, so a paragraph is cut by content: a new one begins at a word whose pair with the
-next word has the least hash of the RADIUS pairs on either side. Wherever a passage stands, its inner paragraphs are the same.
-
-1. Arrow batches cut texts into paragraphs with a band key each from BANDS minima over five-word shingles; whole arrays, no
-   loop over paragraphs. Equal paragraphs share a node.
-2. Nodes that share a band key are compared with the bucket's hub; those unlike it are compared with all others of the bucket,
-   in blocks. Full shingle sets decide each link; links form components.
-3. In each document neighbouring paragraphs whose component spans several documents form a passage; from MIN_WORDS words on
-   it counts. The first occurrence of a component stays, the others can be removed.
+1. Arrow batches hash every run of SEED words and keep the least hash of every WINDOW neighbouring runs. Two texts that share
+   RUN = SEED + WINDOW - 1 words in sequence share a kept run, whatever stands around: no chance is in it.
+2. Occurrences of a run that stands in several documents are paired with its first occurrence (the first one's further
+   occurrences in the same document with the last); both texts meet in one row for each pair of documents.
+3. There each pair is extended word by word in both directions, over edits of up to EDIT words that are followed by a shingle of
+   equal words, to the widest span whose full shingle sets are alike. From MIN_WORDS words on it is a passage.
+4. Runs with a pair that does not extend far enough are taken again by every RUN words around them, so that occurrences whose first one
+   is a stranger find each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspan.llm.blocks import Forest, bucket_links
 from markspan.llm.components import components
-from markspan.llm.minhash import only
 from markspan.llm.shingles import constants, mix, slices, words_at
 from markspan.session import written
 
 WIDTH = 5  # words of a shingle
-RADIUS = 5
-BANDS = 2  # of one minimum each: 0.96 of the pairs at a similarity of 0.8, and a passage has several paragraphs
-NUM, DEN = 8, 10  # least similarity
-BLOCK = 512  # members of a block that are compared in memory
-MIN_WORDS = 20  # in whole paragraphs of a passage; a passage of 50 words has about 40 of them
+NUM, DEN = 8, 10  # least similarity of a passage's two shingle sets
+SEED, WINDOW = 12, 8
+RUN = SEED + WINDOW - 1
+EDIT = 5  # words of one edit on either side
+MIN_WORDS = 20
 
-UNITS = "doc_id long, pos long, n_words long, begin long, end long, node long, k1 long, k2 long"
-MEMBERS = "node long, members array<long>"
+SEEDS = "doc_id long, part long, pos long, key long"
+SPOT = ("doc_id", "part", "pos")
+SPANS = "doc_id long, part long, a long, b long, begin long, end long, with_doc long, with_part long, c long, d long, with_begin long, with_end long, short array<long>"
+PIECES = "doc_id long, part long, begin long, end long, n_words long, kept boolean, first_doc_id long, node long, a long, b long"
 
 
-def _starts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Words at which a paragraph begins: least pair around, or first of a row."""
-    n = len(hashes)
-    factors = constants(2, 23, odd=True)
+def _runs(words: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A hash for each run of `length` words."""
+    factors = constants(length, seed, odd=True)
+    n = max(0, len(words) - length + 1)
     with np.errstate(over="ignore"):
-        pair = mix(hashes * factors[0] + np.append(hashes[1:], np.uint64(0)) * factors[1])
-    last = counts[1:][np.diff(counts) > 0] - 1
-    pair[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # the last word of a row has no pair
-    row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
-    least = np.ones(n, dtype=bool)
-    for k in range(1, RADIUS + 1):
-        same = row[k:] == row[:-k]
-        least[k:] &= ~same | (pair[k:] < pair[:-k])
-        least[:-k] &= ~same | (pair[:-k] <= pair[k:])
-    least[last] = False
-    least[counts[:-1][np.diff(counts) > 0]] = True
-    return np.flatnonzero(least)
-
-
-def _cut(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray] | None:
-    """The paragraphs of a slice of rows, as arrays; None without words."""
-    hashes, counts, begins, ends = words_at(data, offsets)
+        out = np.zeros(n, dtype=np.uint64)
+        for k in range(length):
+            out += words[k : k + n] * factors[k]
+        return mix(out)
+
+
+def _sampled(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the last least hash of every WINDOW neighbouring runs of a row, and of a row with fewer."""
     n = len(hashes)
     if not n:
-        return None
-    starts = _starts(hashes, counts)
-    stops = np.append(starts[1:], n)
-    words = stops - starts
-    place = np.arange(n) - np.repeat(starts, words)
-    with np.errstate(over="ignore"):
-        node = mix(np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts) + words.astype(np.uint64))
-        factors = constants(WIDTH, 7, odd=True)
-        shingles = np.zeros(n, dtype=np.uint64)
-        for k in range(WIDTH):
-            shingles[: n - k] += hashes[k:] * factors[k]
-        shingles = mix(shingles)
-    whole = place <= np.repeat(words, words) - WIDTH
-    short = words < WIDTH
-    shingles[starts[short]] = node[short]  # the whole sequence is the only shingle
-    whole[starts[short]] = True
-    row = np.searchsorted(counts, starts, "right") - 1
-    points = np.cumsum((data & 0xC0) != 0x80) - ((data & 0xC0) != 0x80)  # code points before each byte
-    base = points[np.minimum(offsets[:-1], len(points) - 1)]
-    after = np.append(points, points[-1] + 1)
-    first = np.zeros(len(counts) - 1, dtype=np.int64)
-    np.minimum.at(first := np.full(len(counts) - 1, len(starts)), row, np.arange(len(starts)))
-    return {
-        "row": row, "pos": np.arange(len(starts)) - first[row], "n_words": words, "node": node, "starts": starts, "stops": stops,
-        "begin": points[begins[starts]] - base[row], "end": after[ends[stops - 1]] - base[row], "shingles": shingles, "whole": whole,
-    }
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flips, factors = constants(BANDS, 29), constants(BANDS, 31, odd=True)
+        return np.zeros(0, dtype=np.int64)
+    least, place = hashes.copy(), np.arange(n)
+    for k in range(1, WINDOW):
+        better = np.zeros(n, dtype=bool)
+        better[: n - k] = (rows[k:] == rows[: n - k]) & (hashes[k:] <= least[: n - k])
+        at = np.flatnonzero(better)
+        least[at], place[at] = hashes[at + k], at + k
+    return np.unique(place)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").cast(pa.int64())
+        ids, parts = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
         for first, data, offsets in slices(batch.column("text")):
-            cut = _cut(data, offsets)
-            if cut is None:
-                continue
-            keys = []
-            for k in range(BANDS):
-                with np.errstate(over="ignore"):
-                    values = np.where(cut["whole"], (cut["shingles"] ^ flips[k]) * factors[k], np.uint64(0xFFFFFFFFFFFFFFFF))
-                    keys.append(mix(np.minimum.reduceat(values, cut["starts"]) + np.uint64(k)).view(np.int64))
-            columns = [pa.array(cut[c].astype(np.int64)) for c in ("pos", "n_words", "begin", "end")]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(cut["row"] + first)), *columns, pa.array(cut["node"].view(np.int64)), *map(pa.array, keys)],
-                names=["doc_id", "pos", "n_words", "begin", "end", "node", "k1", "k2"],
-            )
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, counts, _, _ = words_at(data, offsets)
+            hashes = _runs(words, SEED, 29)
+            row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
+            inside = np.flatnonzero(row[: len(hashes)] == row[SEED - 1 :]) if len(hashes) else np.zeros(0, dtype=np.int64)
+            at = inside[_sampled(hashes[inside], row[inside])]
+            columns = [ids[row[at] + first], parts[row[at] + first], at - counts[row[at]], hashes[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*SPOT, "key"])
+
+
+def _row_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row its word hashes and where each word begins and ends, in code points."""
+    for _, data, offsets in slices(column):
+        words, counts, begins, ends = words_at(data, offsets)
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+        for k, (i, j) in enumerate(zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)):
+            base = points[offsets[k]]
+            yield words[i:j], points[begins[i:j]] - base, points[ends[i:j]] - base
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of equal words from the start on."""
+    n, done, step = min(len(x), len(y)), 0, 32
+    while done < n:
+        other = np.flatnonzero(x[done : min(n, done + step)] != y[done : min(n, done + step)])
+        if len(other):
+            return done + int(other[0])
+        done, step = min(n, done + step), 2 * step
+    return n
+
+
+SHIFTS = sorted(((i, j) for i in range(EDIT + 1) for j in range(EDIT + 1) if i + j), key=lambda s: (sum(s), abs(s[0] - s[1])))
+
+
+def _stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal stretches (place in x, place in y, words) from the start on, each after an edit of up to EDIT words."""
+    n = _equal(x, y)
+    out, i, j = [(0, 0, n)], n, n
+    while True:
+        a, b = x[i : i + EDIT + WIDTH].tobytes(), y[j : j + EDIT + WIDTH].tobytes()
+        size = 8 * WIDTH
+        for di, dj in SHIFTS:
+            one = a[8 * di : 8 * di + size]
+            if len(one) == size and one == b[8 * dj : 8 * dj + size]:
+                break
+        else:
+            return out
+        i, j = i + di, j + dj
+        n = _equal(x[i:], y[j:])
+        out.append((i, j, n))
+        i, j = i + n, j + n
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two passages have like shingle sets."""
+    one, other = np.unique(_runs(x, WIDTH, 7)), np.unique(_runs(y, WIDTH, 7))
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared * DEN >= (len(one) + len(other) - shared) * NUM
+
+
+def extended(x: np.ndarray, y: np.ndarray, p: int, q: int) -> tuple[int, int, int, int]:
+    """The widest alike spans x[a:b], y[c:d] around x[p:p + SEED] == y[q:q + SEED]."""
+    right = _stretches(x[p:], y[q:])
+    left = _stretches(x[:p][::-1], y[:q][::-1])
+    ahead = np.array([(i + n, j + n) for i, j, n in right])
+    back = np.array([(i + n, j + n) for i, j, n in left])
+    middle = right[0][2] + left[0][2]
+    gain = lambda found: np.cumsum([0, *(n - WIDTH + 1 for _, _, n in found[1:])])
+    shared = middle - WIDTH + 1 + gain(left)[:, None] + gain(right)
+    sizes = back.sum(axis=1)[:, None] + ahead.sum(axis=1) - 2 * (WIDTH - 1)
+    wide = np.where(shared * DEN >= (sizes - shared) * NUM, sizes, -1)
+    # From the widest on; repeated shingles may make sets less alike than their counts, and the equal stretch always is.
+    for place in np.argsort(-wide, axis=None, kind="stable").tolist():
+        k, m = divmod(place, len(right))
+        a, b, c, d = p - int(back[k, 0]), p + int(ahead[m, 0]), q - int(back[k, 1]), q + int(ahead[m, 1])
+        if wide[k, m] >= 0 and (k + m == 0 or _alike(x[a:b], y[c:d])):
+            return a, b, c, d
+    raise AssertionError("an equal stretch is alike")
+
+
+def _extend(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, pa.int64()) for n in SPANS.replace(" long", "").split(", ")[:-1]] + [("short", pa.list_(pa.int64()))])
+        for batch in batches:
+            out: list[tuple] = []
+            heads = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "with_doc", "with_part", "spots")), strict=True)
+            for (doc, part, other, other_part, spots), (x, begins, ends), (y, with_begins, with_ends) in zip(heads, _row_words(batch.column("text")), _row_words(batch.column("with_text")), strict=True):
+                short: list[int] = []
+                done: list[tuple[int, int, int, int]] = []
+                for p, q in sorted((s["pos"], s["with_pos"]) for s in spots):
+                    # A pair inside an earlier span, near its diagonal, belongs to it.
+                    if any(a <= p and p + SEED <= b and c <= q and q + SEED <= d and abs((p - a) - (q - c)) <= abs((b - a) - (d - c)) for a, b, c, d in done[-4:]):
+                        continue
+                    a, b, c, d = extended(x, y, p, q)
+                    if min(b - a, d - c) < min_words:
+                        short.append(p)
+                        continue
+                    done.append((a, b, c, d))
+                    out.append((doc, part, a, b, int(begins[a]), int(ends[b - 1]), other, other_part, c, d, int(with_begins[c]), int(with_ends[d - 1]), None))
+                if short:
+                    out.append((doc, part, None, None, None, None, other, other_part, None, None, None, None, short))
+            for k in range(0, len(out), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 50_000], strict=True), kind.types, strict=True)], schema=kind)
+
+    return run
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every RUN words that hold a run at one of the row's places: their place, hash, and the run's place in them."""
+    for batch in batches:
+        for doc, part, places, (words, _, _) in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "places")), _row_words(batch.column("text")), strict=True):
+            hashes = _runs(words, RUN, 37)
+            at = np.unique(np.asarray(places)[:, None] - np.arange(WINDOW))
+            at = at[(at >= 0) & (at < len(hashes))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(at), doc), np.full(len(at), part), at, hashes[at].view(np.int64))], names=[*SPOT, "key"])
+
+
+def _pairs(spots: DataFrame) -> DataFrame:
+    """(doc_id, part, pos, key, with) of the spots whose key several documents hold: with is the first spot of the key, or the last
+    one for further spots of the first document."""
+    spot = F.struct(*SPOT)
+    hubs = spots.groupBy("key").agg(F.min(spot).alias("hub"), F.max(spot).alias("last")).filter("hub.doc_id < last.doc_id")
+    both = spots.join(hubs, "key").filter(spot != F.col("hub"))
+    return both.select(*SPOT, "key", F.when(F.col("doc_id") == F.col("hub.doc_id"), F.col("last")).otherwise(F.col("hub")).alias("with"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, part, text), once for each wanted (doc_id, part)."""
+    return docs.join(wanted.select("doc_id", "part").distinct(), ["doc_id", "part"], "left_semi").groupBy("doc_id", "part").agg(F.first("text").alias("text"))
+
+
+def _spans(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    keys = ["doc_id", "part", "with_doc", "with_part"]
+    grouped = pairs.select("doc_id", "part", F.col("with.doc_id").alias("with_doc"), F.col("with.part").alias("with_part"), F.struct("pos", F.col("with.pos").alias("with_pos")).alias("spot"))
+    grouped = written(grouped.groupBy(*keys).agg(F.collect_set("spot").alias("spots")), "pairs")
+    theirs = grouped.select(F.col("with_doc").alias("doc_id"), F.col("with_part").alias("part"))
+    others = _texts(docs, theirs).toDF("with_doc", "with_part", "with_text")
+    rows = grouped.join(_texts(docs, grouped), ["doc_id", "part"]).join(others, ["with_doc", "with_part"])
+    return written(rows.select(*keys, "spots", "text", "with_text").mapInArrow(_extend(min_words), SPANS), "spans")
+
+
+def passage_pairs(docs: DataFrame, min_words: int) -> DataFrame:
+    """The passages of pairs of documents: words a to b of one, c to d of the other, with code points; `docs` has a part (a hash of
+    the text)."""
+    seeds = written(docs.mapInArrow(_seeds, SEEDS), "seeds")
+    pairs = written(_pairs(seeds), "seed-pairs")
+    first = _spans(docs, pairs, min_words)
+    short = first.filter("short IS NOT NULL").select("doc_id", "part", F.explode("short").alias("pos"))
+    keys = written(pairs.join(short, [*SPOT], "left_semi").select("key").distinct(), "short-keys")
+    again = seeds.join(keys, "key", "left_semi").groupBy("doc_id", "part").agg(F.collect_set("pos").alias("places"))
+    around = written(again.join(_texts(docs, again), ["doc_id", "part"]).mapInArrow(_around, SEEDS), "around")
+    second = _spans(docs, _pairs(around), min_words)
+    return first.filter("a IS NOT NULL").drop("short").union(second.filter("a IS NOT NULL").drop("short"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text as passages that do not overlap: those that an earlier one replaces, and what is left of the others."""
+    kind = pa.schema([(n, pa.bool_() if n == "kept" else pa.int64()) for n in (c.split()[0] for c in PIECES.split(", "))])
     for batch in batches:
-        for _, data, offsets in slices(batch.column("text")):
-            cut = _cut(data, offsets)
-            if cut is None:
-                continue
-            _, once = np.unique(cut["node"], return_index=True)
-            kept = [np.unique(cut["shingles"][a:b][cut["whole"][a:b]]) for a, b in zip(cut["starts"][once].tolist(), cut["stops"][once].tolist(), strict=True)]
-            ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cut["node"][once].view(np.int64)), lists], names=["node", "members"])
-
-
-def _alike(group: pa.Table, ours: np.ndarray, theirs: np.ndarray, far: np.ndarray) -> list[tuple[int, int]]:
-    """Links of far members with all members, on full sets, as a spanning forest; the others are one tree already."""
-    lists = group.column("members").combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    sizes = np.diff(ends)
-    trees = Forest(len(sizes))
-    near = np.flatnonzero(~far)
-    for k in near[1:].tolist():
-        trees.join(int(near[0]), k)
-    # Which member holds which shingle of the group; products of these rows count what two members share.
-    shingles, place = np.unique(flat, return_inverse=True)
-    holds = np.zeros((len(sizes), len(shingles)), dtype=np.float32)
-    holds[np.repeat(np.arange(len(sizes)), sizes), place] = 1
-    shared = holds[ours] @ holds[theirs].T
-    enough = shared * DEN >= (sizes[ours][:, None] + sizes[theirs] - shared) * NUM
-    return [(x, y) for x, y in zip(*(side.tolist() for side in (ours[np.nonzero(enough)[0]], theirs[np.nonzero(enough)[1]])), strict=True) if trees.join(x, y)]
-
-
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, n_words, begin, end, root, first_doc, first_pos) of the paragraphs whose component spans documents."""
-    plain = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units = written(plain.mapInArrow(_units, UNITS), "units")
-    occurrence = F.struct("doc_id", "pos")
-    nodes = units.groupBy("node").agg(F.min(occurrence).alias("first"), F.max("doc_id").alias("last_doc"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
-    nodes = written(nodes, "nodes")
-
-    # One row per node and band; grouping and joining by the key share one exchange.
-    entries = nodes.select("node", F.explode(F.array("k1", "k2")).alias("key")).repartition("key")
-    buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    members = written(entries.join(buckets, "key").select("key", "node", "hub"), "members")
-    # Full sets of the nodes that share a bucket confirm the links, first with the hub, then in blocks for the others.
-    shared = written(members.select("node").distinct(), "shared")
-    holders = nodes.join(shared, "node", "left_semi").select(F.col("first.doc_id").alias("doc_id"))
-    sets = only(plain, written(holders.distinct(), "holders"), "doc_id").mapInArrow(_members, MEMBERS)
-    sets = written(only(sets, shared, "node").dropDuplicates(["node"]), "sets")
-    pairs = members.filter("hub < node").select("hub", "node").distinct()
-    hub_sets = sets.select(F.col("node").alias("hub"), F.col("members").alias("theirs"))
-    both = pairs.join(sets, "node").join(hub_sets, "hub")
-    common = F.size(F.array_intersect("members", "theirs"))
-    alike = common * DEN >= (F.size("members") + F.size("theirs") - common) * NUM
-    near = written(both.filter(alike).select("hub", "node"), "near")
-    far = members.filter("hub < node").join(near, ["hub", "node"], "left_anti").select("key", "node", F.lit(True).alias("far"))
-    far = written(far, "far")
-    mixed = members.join(far.select("key").distinct(), "key", "left_semi").select("key", "node")
-    rows = mixed.join(far, ["key", "node"], "left").select(F.col("key").alias("bucket"), "node", F.coalesce("far", F.lit(False)).alias("far"))
-    more = written(bucket_links(rows.join(sets, "node"), _alike, BLOCK), "more")
-    links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(more)
-
-    rooted = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("root"), "first", "last_doc")
-    rooted = written(rooted, "rooted")
-    spread = rooted.groupBy("root").agg(F.min("first").alias("first"), F.max("last_doc").alias("last_doc")).filter("first.doc_id < last_doc")
-    flagged = rooted.select("node", "root").join(spread.select("root", "first"), "root")
-    flagged = written(flagged.select("node", "root", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "flagged")
-    found = only(units.drop("k1", "k2"), flagged.select("node"), "node").join(flagged, "node")
-    return found.select("doc_id", "pos", "n_words", "begin", "end", "root", "first_doc", "first_pos")
+        for doc, part, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "spans")), strict=True):
+            pieces: list[list] = []
+            for gone in (True, False):
+                union: list[list] = []
+                for s in sorted((s for s in spans if s["gone"] == gone), key=lambda s: (s["a"], s["b"])):
+                    if union and s["a"] <= union[-1][1]:
+                        last = union[-1]
+                        if s["b"] > last[1]:
+                            last[1], last[3] = s["b"], s["end"]
+                        last[4] = min(last[4], s["first"])
+                    else:
+                        union.append([s["a"], s["b"], s["begin"], s["end"], s["first"]])
+                if gone:
+                    removed = union
+                    pieces += [[*u, False] for u in union]
+                    continue
+                for a, b, begin, end, _ in union:
+                    for ga, gb, gbegin, gend, _ in removed:
+                        if gb > a and ga < b:
+                            if ga > a:
+                                pieces.append([a, ga, begin, gbegin, doc, True])
+                            a, begin = gb, gend
+                    if a < b:
+                        pieces.append([a, b, begin, end, doc, True])
+            rows = [(doc, part, begin, end, b - a, kept, first, a, b) for a, b, begin, end, first, kept in sorted(pieces)]
+            columns = list(zip(*rows, strict=True))
+            with np.errstate(over="ignore"):
+                seed = np.uint64(doc & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part & (2**64 - 1))
+                node = mix(mix(np.atleast_1d(seed)) + np.array(columns[7], dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+            columns.insert(7, node)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types, strict=True)], schema=kind)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, begin, end (code points of the text, end exclusive), n_words, kept, first_doc_id, class_id: one row for each
     passage that repeats across documents, the occurrences that stay included.
 
-    Neighbouring repeated paragraphs are one passage, cut where its first occurrence changes from this document to another.
-    class_id is the smallest component key in it. Documents without repeats have no row, nor have rows without id or text;
+    Passages that overlap or touch are one, cut where its first occurrence changes from this document to another.
+    class_id is shared by passages that are linked. Documents without repeats have no row, nor have rows without id or text;
     rows that share an id are one document. A repeat within one document alone is none."""
-    rows = repeated_paragraphs(docs).distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("pos", "begin")
-    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(by_doc))
-    rows = rows.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).filter(F.col("run_words") >= min_words)
-    stays = (F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    rows = rows.withColumn("kept", stays)
-    by_run = Window.partitionBy("doc_id", "run").orderBy("pos", "begin")
-    changed = F.coalesce((F.col("kept") != F.lag("kept").over(by_run)).cast("int"), F.lit(0))
-    rows = rows.withColumn("changed", changed).withColumn("piece", F.sum("changed").over(by_run))
-    found = rows.groupBy("doc_id", "run", "piece", "kept").agg(
-        F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
-        F.min("first_doc").alias("first_doc_id"), F.min("root").alias("class_id"),
-    )
-    return found.select("doc_id", "begin", "end", "n_words", "kept", "first_doc_id", "class_id")
+    plain = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
+    found = written(passage_pairs(plain, min_words), "passage-pairs")
+    one = found.select("doc_id", "part", "a", "b", "begin", "end", F.lit(True).alias("gone"), F.col("with_doc").alias("first"))
+    names = [F.col(c).alias(n) for c, n in (("with_doc", "doc_id"), ("with_part", "part"), ("c", "a"), ("d", "b"), ("with_begin", "begin"), ("with_end", "end"))]
+    sides = one.union(found.select(*names, F.lit(False).alias("gone"), F.col("with_doc").alias("first")))
+    place = ["doc_id", "part", "a", "b", "begin", "end", "gone"]
+    sides = sides.groupBy(*place).agg(F.min("first").alias("first"))
+    grouped = sides.groupBy("doc_id", "part").agg(F.collect_list(F.struct(*place[2:], "first")).alias("spans"))
+    pieces = written(grouped.mapInArrow(_merged, PIECES), "pieces")
+
+    # Linked passages are a class. A span links all the passages that it meets to the first of them.
+    ends = sides.select("doc_id", "part", F.col("a").alias("from"), F.col("b").alias("to")).distinct()
+    meets = ends.join(pieces, ["doc_id", "part"]).filter("a < to AND b > from").groupBy("doc_id", "part", "from", "to").agg(F.min("node").alias("node"), F.collect_set("node").alias("nodes"))
+    meets = written(meets, "meets")
+    ours = meets.select("doc_id", "part", F.col("from").alias("a"), F.col("to").alias("b"), F.col("node").alias("x"))
+    theirs = meets.select(F.col("doc_id").alias("with_doc"), F.col("part").alias("with_part"), F.col("from").alias("c"), F.col("to").alias("d"), F.col("node").alias("y"))
+    links = found.join(ours, ["doc_id", "part", "a", "b"]).join(theirs, ["with_doc", "with_part", "c", "d"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = links.union(meets.select(F.col("node").alias("a"), F.explode("nodes").alias("b")))
+    classes = pieces.join(components(links).withColumnRenamed("component", "class_id"), "node", "left")
+    return classes.select("doc_id", "begin", "end", "n_words", "kept", "first_doc_id", F.coalesce("class_id", "node").alias("class_id")).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

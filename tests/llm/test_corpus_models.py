@@ -166,6 +166,36 @@ def test_passages(spark, prose):
     assert paragraphs.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_short_and_edited_passages_are_found_to_their_ends(spark, prose):
+    r = random.Random(16)
+    texts, spans = {}, {}
+    for k in range(240):
+        n, changed = ((51, 0), (60, 1), (94, 2), (20, 0))[k % 4]
+        passage = prose(n, 20_000 + k).split()
+        for side in (0, 1):
+            w = list(passage)
+            for c in range(changed * side):
+                w[(c + 1) * n // (changed + 1)] = f"edit{k}x{c}"
+            at = r.randint(15, 80)
+            texts[2 * k + side] = " ".join([prose(at, 30_000 + 2 * k + side), *w, prose(95 - at, 40_000 + 2 * k + side)])
+            spans[2 * k + side] = at, at + n
+    found = defaultdict(list)
+    for f in paragraphs.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        found[f.doc_id].append((len(texts[f.doc_id][: f.begin].split()), f.n_words, f.kept))
+    for d, (a, b) in spans.items():
+        assert len(found[d]) == 1, (d, found[d])
+        begin, n, kept = found[d][0]
+        assert abs(begin - a) <= 1 and abs(begin + n - b) <= 1 and kept == (d % 2 == 0), (d, a, b, found[d])
+
+
+def test_copies_whose_first_run_is_a_stranger(spark, prose):
+    passage = prose(24, 61).split()
+    rows = [(0, " ".join([prose(30, 62), *passage[6:18], prose(30, 63)])), *((k, " ".join([prose(30, 64 + k), *passage, prose(30, 74 + k)])) for k in (1, 2))]
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((f.doc_id, f.kept, f.n_words >= 24) for f in found) == [(1, True, True), (2, False, True)]
+    assert len({f.class_id for f in found}) == 1
+
+
 # ------------------------------------------------------------------ top-k
 
 
