@@ -7,7 +7,7 @@ matches walk over the text alike, so running sums of both lengths give each matc
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +123,29 @@ KINDS = (
     ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
+
+# Characters of an IBAN by country, ISO 13616.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU",
+    31: "MT|SC", 32: "LC",
+}
+
+
+def _iban(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+def _whole(kind: Kind) -> Kind:
+    """An IBAN has its country's length, whatever follows it, and a passed checksum is enough; context only moves the score."""
+    if kind.name != "iban":
+        return kind
+    return replace(kind, pattern="|".join([*(_iban(n, c) for n, c in IBAN_COUNTRIES.items()), kind.pattern]), score=THRESHOLD)
+
+
+# What is found and masked. The report's spans are those of KINDS, by its SQL.
+FOUND = tuple(map(_whole, KINDS))
 NO_SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
@@ -131,23 +154,37 @@ def _only_if(text: Column, kind: Kind, found: Column, otherwise: Column) -> Colu
     return F.when(likely, found).otherwise(otherwise)
 
 
-def kind_spans(text: Column, kind: Kind) -> Column:
-    """Spans of one kind as array of (kind, start, end, score), end exclusive, in code points."""
+def _around(text: Column, start: Column, hit: Column) -> Column:
+    """The text before and after a match, other matches included."""
+    size = F.lit(BEFORE).cast("long")
+    before = F.substring(text, (F.greatest(start - size, F.lit(0)) + 1).cast("int"), F.least(start, size).cast("int"))
+    return F.concat_ws(" ", before, F.substring(text, (start + F.length(hit) + 1).cast("int"), F.lit(AFTER)))
+
+
+def _starts(hits: Column, gaps: Column) -> Column:
+    gap = F.transform(F.slice(gaps, 1, F.size(hits)), lambda g: F.length(g))
+    size = F.transform(hits, lambda h: F.length(h))
+    return F.zip_with(running_sums(F.zip_with(gap, size, lambda g, s: g + s)), gap, lambda a, g: a + g)
+
+
+def _gain(near: Column, kind: Kind) -> Column:
+    return F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+
+
+def kind_spans(text: Column, kind: Kind, gaps_only: bool = False) -> Column:
+    """Spans of one kind as array of (kind, start, end, score), end exclusive, in code points. Context is the text around a match,
+    or with `gaps_only` that up to the next matches of the kind."""
     none = F.array().cast(NO_SPANS)
     one = lambda start, end, score: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
 
     def placed(hits: Column, gaps: Column) -> Column:
-        gap = F.transform(F.slice(gaps, 1, F.size(hits)), lambda g: F.length(g))
-        size = F.transform(hits, lambda h: F.length(h))
-        steps = running_sums(F.zip_with(gap, size, lambda g, s: g + s))
-        starts = F.zip_with(steps, gap, lambda a, g: a + g)
         near = F.zip_with(
             F.slice(gaps, 1, F.size(hits)), F.slice(gaps, 2, F.size(hits)), lambda a, b: F.concat_ws(" ", F.right(a, F.lit(BEFORE)), F.left(b, F.lit(AFTER)))
         )
-        gains = F.transform(near, lambda c: F.when(F.lower(c).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)))
-        parts = F.arrays_zip(hits.alias("hit"), starts.alias("start"), gains.alias("gain"))
+        parts = F.arrays_zip(hits.alias("hit"), _starts(hits, gaps).alias("start"), *([near.alias("near")] if gaps_only else []))
         good = F.filter(parts, lambda p: kind.confirm(p["hit"]))
-        spans = F.transform(good, lambda p: one(p["start"], p["start"] + F.length(p["hit"]), F.least(F.lit(1.0), F.lit(kind.score) + p["gain"])))
+        gain = lambda p: _gain(p["near"] if gaps_only else _around(text, p["start"], p["hit"]), kind)
+        spans = F.transform(good, lambda p: one(p["start"], p["start"] + F.length(p["hit"]), F.least(F.lit(1.0), F.lit(kind.score) + gain(p))))
         return spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
     def searched(hits: Column) -> Column:
@@ -172,12 +209,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Adds `pii`: all spans of the text in order, with scores. A null text has none; other columns stay.
 
     Each row is handled where it is read: no shuffle, whole texts. A column of the name pii is replaced."""
-    return docs.withColumn("pii", let(F.coalesce(F.col("text"), F.lit("")), lambda t: in_order(F.concat(*[kind_spans(t, k) for k in KINDS]))))
+    return docs.withColumn("pii", let(F.coalesce(F.col("text"), F.lit("")), lambda t: in_order(F.concat(*[kind_spans(t, k) for k in FOUND]))))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each base kind, base_sha256, spans (all kinds) and scores, one row per row of docs."""
-    found = find_pii(docs.select("doc_id", "text")).select("doc_id", "pii")
+    """doc_id, the number of spans of each base kind, base_sha256, spans (all kinds) and scores, one row per row of docs.
+
+    Its SQL fixes the spans: an IBAN or SSN counts with a context word between it and the next matches of its kind only."""
+    found = docs.select("doc_id", let(F.coalesce(F.col("text"), F.lit("")), lambda t: in_order(F.concat(*[kind_spans(t, k, True) for k in KINDS]))).alias("pii"))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
 
     def of_kind(name: str) -> Column:
@@ -193,16 +232,15 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     without personal data, a null text included, stays as it is."""
 
     def masked(text: Column, kind: Kind) -> Column:
-        def confirmed(hit: Column, before: Column, after: Column) -> Column:
-            if kind.base:
-                return kind.confirm(hit)
-            near = F.lower(F.concat_ws(" ", F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER))))
-            gain = F.when(near.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-            return kind.confirm(hit) & (F.lit(kind.score) + gain >= THRESHOLD)
+        sure = kind.base or kind.score >= THRESHOLD
+
+        def confirmed(row: Column) -> Column:
+            near = F.lit(True) if sure else F.lit(kind.score) + _gain(_around(text, row["start"], row["hit"]), kind) >= THRESHOLD
+            return kind.confirm(row["hit"]) & near
 
         def rebuilt(hits: Column, gaps: Column) -> Column:
-            rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("before"), hits.alias("hit"), F.slice(gaps, 2, F.size(hits)).alias("after"))
-            put = F.transform(rows, lambda r: F.concat(r["before"], F.when(confirmed(r["hit"], r["before"], r["after"]), F.lit(kind.mask)).otherwise(r["hit"])))
+            rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("before"), hits.alias("hit"), *([] if sure else [_starts(hits, gaps).alias("start")]))
+            put = F.transform(rows, lambda r: F.concat(r["before"], F.when(confirmed(r), F.lit(kind.mask)).otherwise(r["hit"])))
             return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
 
         def searched(hits: Column) -> Column:
@@ -210,10 +248,9 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
         return _only_if(text, kind, let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), searched), text)
 
-    def all_kinds(text: Column, left: tuple[Kind, ...] = KINDS) -> Column:
-        return let(masked(text, left[0]), lambda t: all_kinds(t, left[1:])) if left else text
-
-    out = docs.withColumn("text", all_kinds(F.col("text")))
+    out = docs
+    for kind in FOUND:
+        out = out.withColumn("text", masked(F.col("text"), kind))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(count, F.col("n_chars")))

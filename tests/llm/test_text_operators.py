@@ -136,6 +136,18 @@ def test_checked_and_context_spans(spark, odd):
     assert pii.mask_pii(odd).columns == odd.columns and pii.find_pii(odd).count() == odd.count()
 
 
+def test_confirmed_ibans_are_masked(spark):
+    de, gb, fr, es = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "ES91 2100 0418 4502 0005 1332"
+    cases = [
+        (f"x {de}.", "x [IBAN]."), (f"IBAN: {de}, {gb}, {fr}", "IBAN: [IBAN], [IBAN], [IBAN]"), (f"IBAN {es} BIC next", "IBAN [IBAN] BIC next"), (f"{es} {gb} {de.replace(' ', '')}", "[IBAN] [IBAN] [IBAN]"),
+        ("account DE88 3704 0044 0532 0130 00", "account DE88 3704 0044 0532 0130 00"), ("ssn 123-45-6789, 223-45-6789", "ssn [SSN], [SSN]"), ("no 123-45-6789", "no 123-45-6789"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.mask_pii(df).collect()} == {k: m for k, (_, m) in enumerate(cases)}
+    found = {r.doc_id: [cases[r.doc_id][0][s.start : s.end] for s in r.pii if s.kind == "iban" and s.score >= pii.THRESHOLD] for r in pii.find_pii(df).collect()}
+    assert found == {0: [de], 1: [de, gb, fr], 2: [es], 3: [es, gb, de.replace(" ", "")], 4: [], 5: [], 6: []}
+
+
 # ------------------------------------------------------------------ pieces
 
 
