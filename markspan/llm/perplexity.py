@@ -201,7 +201,7 @@ def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]], o
 
 # ------------------------------------------------------------------ scores
 
-SCORES = "doc_id long, lang string, trusted boolean, trained boolean, n_chars long, nats double"
+SCORES = "doc_id long, lang string, digest long, trusted boolean, trained boolean, n_chars long, nats double"
 
 
 def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -221,8 +221,8 @@ def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         at = np.arange(len(owner)) + owner * (order - 1)
                         place = np.searchsorted(hashes, gram_hashes(points, _code(lang), order)[at])
                         nats[rows] = np.bincount(owner, weights=logs[place], minlength=len(rows))
-                    columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "trusted", "trained")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "trusted", "trained", "n_chars", "nats"])
+                    columns = [table.column(c).combine_chunks() for c in ("doc_id", "lang", "digest", "trusted", "trained")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(chars), pa.array(nats)], names=["doc_id", "lang", "digest", "trusted", "trained", "n_chars", "nats"])
 
     return run
 
@@ -240,20 +240,20 @@ def _known(answers: pa.StructArray, order: int) -> dict[str, tuple[np.ndarray, n
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, text, trusted, trained): trusted are documents whose every label is good and not toxic. Half of them, by a
+    """(doc_id, lang, digest, text, trusted, trained): trusted are documents whose every label is good and not toxic. Half of them, by a
     hash of the id, train the models; the others are held out, so that the thresholds are those of unseen text."""
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     judged = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.every(good).alias("trusted"))
     trusted = written(judged.filter("trusted"), "trusted")
     if trusted.count() * 16 <= SMALL_SIDE:
         trusted = F.broadcast(trusted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("digest"), "text")
     told = rows.join(trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     return told.withColumn("trained", F.col("trusted") & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
 
 
 def perplexities(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, trusted, trained, n_chars, nats) of (doc_id, lang, text, trusted, trained) under the models of the trained
+    """(doc_id, lang, digest, trusted, trained, n_chars, nats) of (doc_id, lang, digest, text, trusted, trained) under the models of the trained
     rows."""
     spark = rows.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
@@ -278,6 +278,11 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     The threshold of a language is `margin` times the quantile of its held-out trusted documents' perplexities, or of all its
     trusted ones if none is held out. A null language is one of its own (shown as null). A language without trusted text has no threshold and keeps its documents. An empty or null
     text has no perplexity and is not kept. Rows that repeat an id are judged each."""
+    return _verdicts(docs, labels, order, quantile, margin).drop("digest")
+
+
+def _verdicts(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """As `judged`, with the digest of each row's text."""
     scores = perplexities(with_trust(docs, labels), order)
     scores = scores.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(-F.col("nats") / F.col("n_chars"))))
     held = F.when(~F.col("trained"), F.col("perplexity"))
@@ -286,12 +291,14 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     usual = usual.select(F.col("lang").alias("of"), (F.col("usual") * margin).alias("threshold"))
     told = scores.join(usual, F.col("lang").eqNullSafe(F.col("of")), "left")
     good = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return told.select("doc_id", "lang", "perplexity", "threshold", good.alias("kept"))
+    return told.select("doc_id", "lang", "digest", "perplexity", "threshold", good.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that `judged` keeps, with all their columns; of rows that share an id all go if one is rejected."""
-    bad = judged(docs, labels).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    bad = written(bad, "rejected")
-    small = bad.count() * 16 <= SMALL_SIDE
-    return docs.join(F.broadcast(bad) if small else bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """The rows of docs that `judged` keeps, with all their columns. A row goes by its id, language and text, so rows that share
+    an id, or have none, stay or go each by itself."""
+    keys = [F.col(c).alias(f"__{c}") for c in ("doc_id", "lang", "digest")]
+    bad = written(_verdicts(docs, labels).filter(~F.col("kept")).select(*keys).distinct(), "rejected")
+    small = bad.count() * 32 <= SMALL_SIDE
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & docs["lang"].eqNullSafe(F.col("__lang")) & (F.xxhash64(docs["text"]) == F.col("__digest"))
+    return docs.join(F.broadcast(bad) if small else bad, same, "left_anti").select(*docs.columns)

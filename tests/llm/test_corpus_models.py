@@ -316,6 +316,17 @@ def test_junk_goes_and_clean_text_stays(spark, small):
     assert len(clean) > 10 and sum(clean) >= 0.9 * len(clean)
 
 
+def test_only_rejected_rows_go(spark, prose):
+    rows = [(k, "en", prose(60, 700 + k)) for k in range(20)]
+    poor = [(None, "en", ""), (None, "en", "## !! ## XX !!"), (5, "en", "%% ** %% **"), (None, None, None), (6, "en", None)]
+    clean = [(None, "en", prose(60, 703)), (5, "xx", "%% ** %% **"), (None, None, "no model of this language")]
+    docs = spark.createDataFrame(rows + poor + clean, "doc_id long, lang string, text string").withColumn("digest", F.lit("clash"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20) if k not in (5, 6)], "doc_id long, quality int, toxic int")
+    kept = perplexity.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, (tuple(r)[:3] for r in kept.collect()))) == sorted(map(repr, rows + clean))
+
+
 # ------------------------------------------------------------------ pipeline
 
 
