@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markspan.llm import chat, digest_index, minhash, packing, paragraphs, perplexity, pieces, pii, segments, sql, warc
+from markspan.llm import chat, digest_index, minhash, packing, paragraphs, perplexity, phrases, pieces, pii, segments, sql, warc
 from markspan.llm.common import table
 
 # Vocabulary files stay where the tokenizer package has them; the driver reads them once and ships their contents.
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(table(spark, folder, "pages"))
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraphs": op8_paragraphs,
         "op9_perplexity": op9_perplexity,
         "op10_warc": op10_warc,
+        "op12_phrases": op12_phrases,
     }
 
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_digest_index": sql.EXACT_GROUPS,
         "op6_personal_data": sql.PII,
         "op10_warc": sql.WARC,
+        "op12_phrases": sql.COLLOCATIONS,
     }

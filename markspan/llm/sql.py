@@ -108,3 +108,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
        CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
 FROM g
 """
+
+_PIECES = rf"string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM runs, unnest([1, 2, 3, 4, 5]) AS u(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+multi AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a FROM multi, unnest([2, 3, 4]) AS u(m), unnest([1, 2, 3, 4]) AS v(i) WHERE m < k AND i + m - 1 <= k),
+around AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT s.* FROM multi s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase WHERE coalesce(o.most, 0) < s.a),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, t.n, j, l.c AS l, r.c AS r, CAST(1000 AS HUGEINT) * p.a * t.n // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM kept p, unnest([1, 2, 3, 4]) AS u(j), total t, f l, f r
+  WHERE j < p.k AND t.lang = p.lang AND l.lang = p.lang AND l.phrase = array_to_string(p.w[1:j], ' ') AND r.lang = p.lang AND r.phrase = array_to_string(p.w[j + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
