@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markspan.llm import chat, digest_index, minhash, packing, paragraphs, perplexity, phrases, pieces, pii, segments, sql, warc
+from markspan.llm import chat, dialogue, digest_index, minhash, packing, paragraphs, perplexity, phrases, pieces, pii, segments, sql, warc
 from markspan.llm.common import table
 
 # Vocabulary files stay where the tokenizer package has them; the driver reads them once and ships their contents.
@@ -65,6 +65,10 @@ def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op13_dialogue(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repair_reports(dialogue.damaged(table(spark, folder, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_perplexity": op9_perplexity,
         "op10_warc": op10_warc,
         "op12_phrases": op12_phrases,
+        "op13_dialogue": op13_dialogue,
     }
 
 
