@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markspan.llm import chat, dialogue, digest_index, minhash, packing, paragraphs, perplexity, phrases, pieces, pii, segments, sql, warc
+from markspan.llm import chat, dialogue, digest_index, minhash, packing, paragraphs, perplexity, phrases, pieces, pii, segments, sql, toxicity, warc
 from markspan.llm.common import table
 
 # Vocabulary files stay where the tokenizer package has them; the driver reads them once and ships their contents.
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(table(spark, folder, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraphs": op8_paragraphs,
         "op9_perplexity": op9_perplexity,
         "op10_warc": op10_warc,
+        "op11_toxicity": op11_toxicity,
         "op12_phrases": op12_phrases,
         "op13_dialogue": op13_dialogue,
     }
