@@ -21,6 +21,9 @@ ACTION_LABELS = {
 }
 EPOCH = "1970-01-01 00:00:00"
 
+GROUP_LIMIT = 1000  # up to here Spark cuts the rows of a group before it shuffles them
+RUN = 65536  # equal errors that are laid out together
+
 
 def event_order() -> list[Column]:
     """Time, then id; a missing time counts as the oldest."""
@@ -50,7 +53,10 @@ def latest_event(log: DataFrame, action: str | None = None) -> DataFrame:
 
 def latest_events(log: DataFrame, limit: int = 10) -> DataFrame:
     """The newest `limit` events of each submission, with their recency from 1. Events without a submission are a group."""
-    w = Window.partitionBy("submission_id").orderBy(*[c.desc() for c in event_order()])
+    newest = [c.desc() for c in event_order()]
+    if limit > GROUP_LIMIT:
+        return ordered.newest_rows_of(log, ["submission_id"], newest, limit, "recency")
+    w = Window.partitionBy("submission_id").orderBy(*newest)
     return log.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= limit)
 
 
@@ -137,26 +143,18 @@ def progress_state(submissions: DataFrame, log: DataFrame) -> DataFrame:
     return read.select("submission_id", "status", shown.alias("s")).select("submission_id", "status", "s.*")
 
 
-def _timed(log: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
-    at, num = event_order()
-    zoned = log.schema["created_at"].dataType.typeName() == "timestamp"
-    return log.withColumn("__at", at).withColumn("__id", num), ["__at", "__id"], ordered.time_block(F.col("__at"), zoned)
-
-
 def running_progress(log: DataFrame) -> DataFrame:
     """Share of a submission's page events done at each event, 4 decimals."""
-    rows, order, block = _timed(log.filter(F.col("action") == "page_progress"))
-    out = ordered.number_rows(rows, ["submission_id"], [F.col(c) for c in order], block, "completed", "total")
-    share = F.bround(F.col("completed") / F.greatest(F.col("total"), F.lit(1)), 4)
-    return out.withColumn("progress", share).drop(*order)
+    rows = log.filter(F.col("action") == "page_progress")
+    out = ordered.number_rows(rows, ["submission_id"], event_order(), "completed", "total")
+    return out.withColumn("progress", F.bround(F.col("completed") / F.greatest(F.col("total"), F.lit(1)), 4))
 
 
 def page_progress_events(pages: DataFrame) -> DataFrame:
     """The progress event of each page of a run.
 
     `pages` is (submission_id, page_number, label, answers_count, drawing_count), a page number once per submission."""
-    block = ordered.id_block(F.col("page_number"))
-    rows = ordered.number_rows(pages, ["submission_id"], [F.col("page_number")], block, "current", "total")
+    rows = ordered.number_rows(pages, ["submission_id"], [F.col("page_number")], "current", "total")
     share = F.bround(F.col("current") / F.greatest(F.col("total"), F.lit(1)), 4)
     message = F.format_string(
         "Page %d: %d answers, %d drawing (%d/%d)", "page_number", "answers_count", "drawing_count", "current", "total"
@@ -172,28 +170,34 @@ def page_progress_events(pages: DataFrame) -> DataFrame:
 
 def monotonic_progress(log: DataFrame, value: Column) -> DataFrame:
     """The highest value so far, so that a shown progress never goes back."""
-    rows, order, block = _timed(log)
-    out = ordered.running_max(rows, ["submission_id"], [F.col(c) for c in order], block, value, "shown")
-    return out.drop(*order)
+    return ordered.running_max(log, ["submission_id"], event_order(), value, "shown")
 
 
 def page_changes(log: DataFrame, page: Column) -> DataFrame:
     """Page events with the page before and whether it changed; the first one counts as a change."""
     paged = log.filter(F.col("action") == "page_progress").withColumn("page", page)
-    rows, order, block = _timed(paged.filter(F.col("page") != 0))
-    out = ordered.previous_value(rows, ["submission_id"], order, block, F.col("page"), "previous_page")
-    return out.withColumn("changed", ~F.col("page").eqNullSafe(F.col("previous_page"))).drop(*order)
+    out = ordered.previous_value(paged.filter(F.col("page") != 0), ["submission_id"], event_order(), F.col("page"), "previous_page")
+    return out.withColumn("changed", ~F.col("page").eqNullSafe(F.col("previous_page")))
 
 
-def error_rollup(errors: DataFrame) -> DataFrame:
+def error_rollup(errors: DataFrame, per_task: int = ordered.ROWS_PER_TASK) -> DataFrame:
     """The messages "Page n: message" of each submission, numbered in page order (no page first, equal pages by message).
 
-    Rows (submission_id, n, error): a list of any length stays spread over tasks."""
+    Rows (submission_id, n, error): a list of any length stays spread over tasks. Equal messages are counted before they are
+    numbered, and laid out again in runs that are dealt over tasks."""
     page = F.col("page")
     text = F.concat(F.lit("Page "), F.coalesce(page.cast("string"), F.lit("None")), F.lit(": "), F.coalesce("message", F.lit("")))
-    rows = errors.select("submission_id", "page", text.alias("error"))
-    numbered = ordered.number_rows(rows, ["submission_id"], [page, F.col("error")], ordered.id_block(page), "n")
-    return numbered.select("submission_id", "n", "error")
+    rows = errors.groupBy("submission_id", "page", text.alias("error")).agg(F.count(F.lit(1)).alias("times"))
+    placed = ordered.running_sum(rows, ["submission_id"], [page, F.col("error")], F.col("times"), "before", per_task)
+
+    def laid_out(runs: DataFrame) -> DataFrame:
+        run = F.sequence(F.col("first"), F.least(F.col("first") + RUN - 1, F.col("before") + F.col("times")))
+        return runs.select("submission_id", F.explode(run).alias("n"), "error")
+
+    few = placed.filter(F.col("times") <= RUN).withColumn("first", F.col("before") + 1)
+    many = placed.filter(F.col("times") > RUN)
+    many = many.withColumn("first", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("times"), F.lit(RUN))))
+    return laid_out(few).unionByName(laid_out(many.repartition("submission_id", "first")))
 
 
 def run_folder(ts: Column, context: Column, source: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markspan.functions import pixels
 from markspan.operators.normalize import fallback_format
-from markspan.operators.ordered import id_block, number_rows
+from markspan.operators.ordered import number_rows
 
 # Grid and drawing-box rules.
 GRID_CELLS = 10
@@ -97,7 +97,7 @@ def layout_clusters(hashes: DataFrame) -> DataFrame:
 
 def cluster_pages(hashes: DataFrame) -> DataFrame:
     """The pages of each layout in order, as rows (layout_hash, n, page)."""
-    return number_rows(hashes.select("layout_hash", "page"), ["layout_hash"], [F.col("page")], id_block(F.col("page")), "n")
+    return number_rows(hashes.select("layout_hash", "page"), ["layout_hash"], [F.col("page")], "n")
 
 
 def representative_pages(pages: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def attach_formats(pages: DataFrame, formats: DataFrame) -> DataFrame:
 
 def sample_pages(pages: DataFrame, k: int, mode: str = "even", keep_all: int = 5) -> DataFrame:
     """Example pages per document: the first or last `k`, or `k` evenly spaced; short documents are kept whole."""
-    numbered = number_rows(pages, ["doc_id"], [F.col("page")], id_block(F.col("page")), "n", "total")
+    numbered = number_rows(pages, ["doc_id"], [F.col("page")], "n", "total")
     n, total = F.col("n"), F.col("total")
     step = F.greatest(F.lit(1), F.floor(total / k))
     rules = {

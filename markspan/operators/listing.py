@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markspan.functions import codes
 from markspan.functions.text import first_text
 from markspan.operators.normalize import answer_maps
-from markspan.operators.ordered import id_block, number_rows
+from markspan.operators.ordered import number_rows
 
 COMPLETED = "completed"
 
@@ -73,7 +73,7 @@ def exam_details(exams: DataFrame, documents: DataFrame, jsons: DataFrame) -> Da
     both = children(documents, "document", "document_id", "country", F.col("file_path")).unionByName(
         children(jsons, "json", "json_id", "filename", F.lit(None).cast("string"))
     )
-    numbered = number_rows(both, ["exam_id", "kind"], [F.col("id")], id_block(F.col("id")), "n")
+    numbered = number_rows(both, ["exam_id", "kind"], [F.col("id")], "n")
     return exams.join(numbered, "exam_id", "left").select(*exams.columns, "kind", "n", "id", "label", "place")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspan.functions import codes
-from markspan.operators.ordered import id_block, number_rows
+from markspan.operators.ordered import number_rows
 from markspan.session import written
 
 ANCHOR = 8  # characters by which containment candidates meet
@@ -159,7 +159,7 @@ def marking_report(scored: DataFrame) -> DataFrame:
     candidate_id, correct, total, percentage). Candidates without a fitting key stay, with an empty score."""
     columns = ["submission_id", "candidate_id", "correct", "total", "percentage"]
     rows = scored.select(*columns)
-    return number_rows(rows, ["submission_id"], [F.col("candidate_id")], id_block(F.col("candidate_id")), "n", "total_candidates")
+    return number_rows(rows, ["submission_id"], [F.col("candidate_id")], "n", "total_candidates")
 
 
 def marked_candidates(

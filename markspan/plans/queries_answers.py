@@ -314,9 +314,8 @@ def _(i):
     q = F.col("question")
     key = F.when(q >= 6, F.concat(F.lit("part "), F.col("answer"), q.cast("string"))).otherwise((q * 9).cast("string"))
     rows = listing.with_question_order(i.ans.select("candidate_id", key.alias("question")))
-    block = [F.coalesce(b.cast("bigint"), F.lit(2**62)) for b in ordered.id_block(F.col("order_number"))]
     order = [F.col("order_kind"), F.col("order_number"), F.col("question")]
-    return ordered.number_rows(rows, ["candidate_id"], order, block, "position").select("candidate_id", "question", "position")
+    return ordered.number_rows(rows, ["candidate_id"], order, "position").select("candidate_id", "question", "position")
 
 
 DRAWN = "drawn AS (SELECT candidate_id, question - 30 AS question FROM v_draw WHERE trim(response) <> '')"

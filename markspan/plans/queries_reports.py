@@ -24,7 +24,7 @@ def counts(i):
 def paged(i, view=None):
     """Candidate sheets numbered from 1 within their submission."""
     sheets = i.sheet if view is None else view
-    return ordered.number_rows(sheets, ["submission_id"], [F.col("candidate_id")], ordered.id_block(F.col("candidate_id")), "page_number")
+    return ordered.number_rows(sheets, ["submission_id"], [F.col("candidate_id")], "page_number")
 
 
 PAGED = "row_number() OVER (PARTITION BY submission_id ORDER BY candidate_id)"
