@@ -40,9 +40,13 @@ def page_of(df: DataFrame, id_col: str, skip: int = 0, limit: int = 100, status:
     return with_status(df, status).orderBy(F.col("created_at").desc(), F.col(id_col).desc()).offset(skip).limit(limit)
 
 
+def completed() -> Column:
+    return F.coalesce(F.col("status") == COMPLETED, F.lit(False))
+
+
 def completed_gate(submissions: DataFrame) -> DataFrame:
     """Whether each submission can be marked or shown, and why not."""
-    ready = F.coalesce(F.col("status") == COMPLETED, F.lit(False))
+    ready = completed()
     reason = F.concat(F.lit("Submission is "), F.coalesce("status", F.lit("None")), F.lit(", not completed"))
     return submissions.withColumn("ready", ready).withColumn("reason", F.when(~ready, reason))
 

@@ -6,7 +6,7 @@ No join is forced to broadcast: Spark broadcasts a side when its measured size a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +145,89 @@ def scores(
     )
 
 
+# --- whole results: maps and score of each sheet -----------------------------------------------------------------
+
+
+def _ordered(question: Column, *rest: Column) -> Column:
+    """A struct that sorts numbers first in number order, then other keys as text; `q` holds the question as text."""
+    kind, number, text = codes.order_columns(question.cast("string"))
+    return F.struct(kind.alias("kind"), number.alias("number"), text.alias("q"), *rest)
+
+
+def key_lists(key_long: DataFrame, drawing_long: DataFrame | None = None) -> DataFrame:
+    """One row per key: its questions and its drawing questions in order, as arrays of (kind, number, q, wanted)."""
+
+    def rows(df: DataFrame, value: str, drawn: bool) -> DataFrame:
+        return df.select("key_id", _ordered(F.col("question"), F.col(value).alias("wanted")).alias("e"), F.lit(drawn).alias("drawn"))
+
+    both = rows(key_long, "correct", False)
+    if drawing_long is not None:
+        both = both.unionByName(rows(drawing_long, "expected", True))
+    listed = {name: F.array_sort(F.collect_list(F.when(F.col("drawn") == drawn, F.col("e")))) for name, drawn in (("asked", False), ("asked_drawing", True))}
+    return both.groupBy("key_id").agg(*[c.alias(name) for name, c in listed.items()])
+
+
+def sheet_maps(answers: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """One row per candidate with ordered maps of its answers and drawing responses, questions as text and unique per sheet.
+
+    One shuffle, on candidate_id; null answers stay entries."""
+
+    def rows(df: DataFrame, value: str, drawn: bool) -> DataFrame:
+        return df.select("candidate_id", _ordered(F.col("question"), F.col(value).alias("v")).alias("e"), F.lit(drawn).alias("drawn"))
+
+    both = rows(answers, "answer", False)
+    if responses is not None:
+        both = both.unionByName(rows(responses, "response", True))
+
+    def told(drawn: bool) -> Column:
+        entries = F.array_sort(F.collect_list(F.when(F.col("drawn") == drawn, F.col("e"))))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["q"], e["v"])))
+
+    return both.groupBy("candidate_id").agg(told(False).alias("answers"), told(True).alias("drawings"))
+
+
+def marked_maps(sheets: DataFrame, lists: DataFrame) -> DataFrame:
+    """Add marked_answers, marked_drawing, correct, total and percentage to sheets (candidate_id, key_id, answers, drawings, ...).
+
+    Nothing is shuffled but the keys' lists, if they are not small. Without a key all are null; marked_drawing is null, too,
+    where the key has no drawing questions. Every question of the key is marked, an unanswered one BL."""
+    joined = sheets.join(lists, "key_id", "left")
+    has_key = F.col("key_id").isNotNull()
+
+    def marks(items: str, given: str, rule: Callable[[Column, Column], Column]) -> Column:
+        return F.map_from_entries(F.transform(items, lambda e: F.struct(e["q"].alias("q"), rule(F.col(given)[e["q"]], e["wanted"]).alias("mark"))))
+
+    nothing = F.array().cast(lists.schema["asked"].dataType)
+    told = joined.withColumn("asked", F.coalesce("asked", nothing)).withColumn("asked_drawing", F.coalesce("asked_drawing", nothing))
+    told = told.withColumn("marked_answers", F.when(has_key, marks("asked", "answers", codes.mark)))
+    told = told.withColumn("marked_drawing", F.when(has_key & (F.size("asked_drawing") > 0), marks("asked_drawing", "drawings", codes.mark_drawing)))
+
+    def hits(m: str) -> Column:
+        return F.coalesce(F.size(F.filter(F.map_values(m), lambda v: v == codes.CORRECT)), F.lit(0))
+
+    drawn = F.when(F.col("marked_drawing").isNotNull(), hits("marked_drawing")).otherwise(0)
+    told = told.withColumn("correct", F.when(has_key, (hits("marked_answers") + drawn).cast("bigint")))
+    told = told.withColumn("total", F.when(has_key, (F.size("asked") + F.size("asked_drawing")).cast("bigint")))
+    told = told.withColumn("percentage", F.when(has_key, codes.percentage(F.col("correct"), F.col("total"))))
+    return told.drop("asked", "asked_drawing")
+
+
+def asked_only(rows: DataFrame, key: DataFrame) -> DataFrame:
+    """Rows whose question some key asks for."""
+    return rows.join(key.select(F.col("question").alias("__q")).distinct(), F.col("question") == F.col("__q"), "left_semi")
+
+
+def marked_sheets(
+    sheets: DataFrame, key_long: DataFrame, answers: DataFrame, drawing_long: DataFrame | None = None, responses: DataFrame | None = None
+) -> DataFrame:
+    """Sheets (candidate_id, key_id, ...) with marked_answers and marked_drawing, maps in question order, and their score.
+
+    Answers no key asks about are dropped before the one shuffle of sheets and answers on candidate_id."""
+    given = sheet_maps(asked_only(answers, key_long), asked_only(responses, drawing_long) if drawing_long is not None and responses is not None else None)
+    lists = key_lists(key_long, drawing_long if responses is not None else None)
+    return marked_maps(sheets.join(given, "candidate_id", "left"), lists).drop("answers", "drawings")
+
+
 def scores_from_marks(marks: DataFrame) -> DataFrame:
     """The same score from long mark rows (answers and drawings unioned)."""
     return (
@@ -154,12 +237,21 @@ def scores_from_marks(marks: DataFrame) -> DataFrame:
     )
 
 
-def marking_report(scored: DataFrame) -> DataFrame:
+RESULTS = ("candidate_name", "candidate_number", "marked_answers", "marked_drawing", "correct", "total", "percentage")
+
+
+def marking_report(
+    sheets: DataFrame, keys: DataFrame, key_long: DataFrame, answers: DataFrame, drawing_long: DataFrame | None = None, responses: DataFrame | None = None
+) -> DataFrame:
     """The results of each submission in candidate order, every candidate once: rows (submission_id, total_candidates, n,
-    candidate_id, correct, total, percentage). Candidates without a fitting key stay, with an empty score."""
-    columns = ["submission_id", "candidate_id", "correct", "total", "percentage"]
-    rows = scored.select(*columns)
-    return number_rows(rows, ["submission_id"], [F.col("candidate_id")], "n", "total_candidates")
+    candidate_id, candidate_name, candidate_number, marked_answers, marked_drawing, correct, total, percentage).
+
+    Missing names and numbers are empty. Candidates without a fitting key stay, with empty marks and score. Sheets are numbered
+    before they are marked."""
+    numbered = number_rows(sheets, ["submission_id"], [F.col("candidate_id")], "n", "total_candidates")
+    marked = marked_sheets(match_keys(numbered, keys), key_long, answers, drawing_long, responses)
+    named = {c: F.coalesce(c, F.lit("")) for c in ("candidate_name", "candidate_number")}
+    return marked.withColumns(named).select("submission_id", "total_candidates", "n", "candidate_id", *RESULTS)
 
 
 def marked_candidates(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,52 +199,36 @@ def run_summary(page_stats: DataFrame) -> DataFrame:
 # --- documents -------------------------------------------------------------------------------------------------
 
 
-def report_text(
-    headers: DataFrame, answers: DataFrame, drawings: DataFrame, marks: DataFrame, scored: DataFrame,
-    columns: Sequence[str],
-) -> DataFrame:
-    """A readable report per candidate, the whole sheet in one row; questions in number order, then other keys as text.
+def report_text(sheets: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A readable report per candidate, the whole sheet in one row; nothing is shuffled.
 
-    `headers` holds candidate_id, page_number and `columns`; its own row keeps sheets without answers."""
-    def rows(df: DataFrame, section: int, value: Column) -> DataFrame:
-        number = F.when(F.col("question").cast("string").rlike("^[0-9]+$"), F.col("question").try_cast("decimal(38,0)"))
-        order = F.struct(number.isNull(), number)
-        return df.select("candidate_id", F.lit(section).alias("section"), order.alias("n"), F.col("question").cast("string").alias("q"), value.alias("v"))
+    `sheets` holds candidate_id, page_number, `columns`, ordered maps (answers, drawings, marked_answers; null or empty where
+    there are none) and the score (correct, total, percentage; null without a key)."""
+    # The headings of the report.
+    def block(m: str, title: Column, value: Callable[[Column], Column] = lambda v: v) -> Column:
+        lines = F.transform(F.map_entries(m), lambda e: F.concat(F.lit("    Q"), e["key"], F.lit(": "), value(e["value"])))
+        return F.when(F.size(m) > 0, F.concat(F.array(title), lines)).otherwise(F.array().cast("array<string>"))
 
-    long = rows(answers, 0, F.col("answer")).unionByName(rows(drawings, 1, preview(F.col("response")))).unionByName(
-        rows(marks, 2, F.col("mark"))
-    )
-    nothing = F.lit(None).cast("string")
-    long = long.unionByName(rows(headers.withColumn("question", nothing), -1, nothing))
-    grouped = long.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("section", "n", "q", "v"))).alias("items"))
-
-    def block(section: int, title: Column) -> Column:
-        items = F.filter("items", lambda i: i["section"] == section)
-        lines = F.transform(items, lambda i: F.concat(F.lit("    Q"), i["q"], F.lit(": "), i["v"]))
-        return F.when(F.size(items) > 0, F.concat(F.array(title), lines)).otherwise(F.array().cast("array<string>"))
-
-    def counted(name: str, section: int) -> Column:
-        n = F.size(F.filter("items", lambda i: i["section"] == section))
-        return F.concat(F.lit(f"  {name} ("), n.cast("string"), F.lit("):"))
+    def counted(name: str, m: str) -> Column:
+        return F.concat(F.lit(f"  {name} ("), F.size(m).cast("string"), F.lit("):"))
 
     head = [
         F.concat(F.lit("  "), label_from_key(F.lit(c)), F.lit(": "), F.coalesce(F.col(c).cast("string"), F.lit("None")))
         for c in columns
     ]
     number = F.concat(F.lit("--- Candidate "), F.col("page_number").cast("string"), F.lit(" ---"))
-    joined = grouped.join(headers.join(scored, "candidate_id", "left"), "candidate_id")
     score = F.when(
         F.col("total").isNotNull(),
         F.array(F.concat(F.lit("  Score: "), F.concat_ws("/", "correct", "total"), F.lit(" ("), F.col("percentage").cast("string"), F.lit("%)"))),
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
         F.array(number, *head),
-        block(0, counted("Answers", 0)),
-        block(1, counted("Drawing Questions", 1)),
-        block(2, F.lit("  Marked Answers:")),
+        block("answers", counted("Answers", "answers")),
+        block("drawings", counted("Drawing Questions", "drawings"), preview),
+        block("marked_answers", F.lit("  Marked Answers:")),
         score,
     )
-    return joined.select("candidate_id", F.array_join(lines, "\n").alias("report"))
+    return sheets.select("candidate_id", F.array_join(lines, "\n").alias("report"))
 
 
 def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> DataFrame:

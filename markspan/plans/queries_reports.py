@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markspan.functions import codes, modeljson, text
 from markspan.operators import events, listing, marking, normalize, ordered, reports
 from markspan.plans.queries_answers import with_extra
-from markspan.plans.queries_marking import PCT, SCORES, matched
+from markspan.plans.queries_marking import PCT, SCORES, keys
 from markspan.plans.registry import half_even_sql, query, shown_map
 
 COUNTS = """a AS (SELECT candidate_id, count(*) AS answers, count(*) FILTER (WHERE answer = 'DR') AS dr FROM v_ans GROUP BY 1),
@@ -372,12 +372,10 @@ def _(i):
   LEFT JOIN dl ON dl.candidate_id = c.candidate_id LEFT JOIN ml ON ml.candidate_id = c.candidate_id LEFT JOIN sl ON sl.candidate_id = c.candidate_id""".replace("(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"),
 )
 def _(i):
-    sheets = matched(i)
-    asked = sheets.select("candidate_id", "key_id").join(i.key.select("key_id", "question", "correct"), "key_id")
-    marks = marking.mark_answers(asked, i.ans)
-    scored = marking.scores(sheets, i.key, i.ans, i.dkey, i.draw)
-    head = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "country"))
-    return reports.report_text(head, i.ans, i.draw, marks, scored.select("candidate_id", "correct", "total", "percentage"), ["candidate_name", "candidate_number", "country"])
+    head = paged(i, i.cand.select("candidate_id", "submission_id", "paper_type", "candidate_name", "candidate_number", "country"))
+    sheets = marking.match_keys(head, keys(i)).join(marking.sheet_maps(i.ans, i.draw), "candidate_id", "left")
+    marked = marking.marked_maps(sheets, marking.key_lists(i.key, i.dkey))
+    return reports.report_text(marked, ["candidate_name", "candidate_number", "country"])
 
 
 STAMP = "2024-01-01T00:00:00"

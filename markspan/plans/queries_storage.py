@@ -8,7 +8,7 @@ from markspan.functions.text import json_text
 from markspan.operators import events, listing
 from markspan.plans.registry import query
 from markspan.session import new_path
-from markspan.sources import intake, results
+from markspan.sources import intake, results, stored
 
 
 @query(
@@ -61,6 +61,24 @@ def _(i):
     return i.spark.read.schema(schema).parquet(path).drop("created_at")
 
 
+@query(
+    "j10_stored_deletion",
+    """SELECT 'candidate' AS kind, candidate_id AS id, submission_id FROM v_sheet s WHERE NOT EXISTS (SELECT 1 FROM v_sub b WHERE b.submission_id = s.submission_id AND b.status = 'failed')
+  UNION ALL SELECT 'event', id, submission_id FROM v_log l WHERE NOT EXISTS (SELECT 1 FROM v_sub b WHERE b.submission_id = l.submission_id AND b.status = 'failed')""",
+)
+def _(i):
+    """Failed submissions are deleted with their candidates and their log."""
+    folders = {kind: new_path(i.spark, f"kept-{kind}") for kind in ("candidate", "event")}
+    results.append_by_submission(i.sheet, folders["candidate"])
+    results.append_by_submission(i.log.select("id", "submission_id", "action"), folders["event"])
+    stored.delete_submissions(i.spark, list(folders.values()), listing.with_status(i.sub, "failed"), new_path(i.spark, "deletion"))
+    left = [
+        stored.read_stored(i.spark, folders[kind]).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "submission_id")
+        for kind, key in (("candidate", "candidate_id"), ("event", "id"))
+    ]
+    return left[0].unionByName(left[1])
+
+
 @query(
     "s8_log_events",
     """SELECT submission_id, 'upload' AS action, 'success' AS status, 'Stored ' || filename AS message, filename, pages_count AS pages, created_at FROM v_sub""",

@@ -73,6 +73,14 @@ VIEWS: dict[str, str] = {
     "v_keydef": """SELECT p_partkey AS key_id, 'Key ' || p_name AS name, p_brand AS paper_type,
         '{"1": "' || substring(p_type, 1, 1) || '", "2": "B", "' || CAST(p_size AS STRING) || 'x": "C"}' AS answers_json,
         CASE WHEN p_size % 3 = 0 THEN '{"31": "circle", "32": "' || p_name || '"}' END AS drawing_json FROM part""",
+    # one key per part, and requests to mark
+    "v_keyq": """SELECT l_partkey AS key_id, CAST(l_linenumber AS BIGINT) AS question, CASE (l_partkey * 7 + l_linenumber * 3) % 5 WHEN 0 THEN 'A'
+        WHEN 1 THEN 'b' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END AS correct FROM lineitem GROUP BY l_partkey, l_linenumber""",
+    "v_keydq": """SELECT l_partkey AS key_id, CAST(30 + l_linenumber AS BIGINT) AS question, CASE l_partkey % 3 WHEN 0 THEN 'circle' WHEN 1 THEN 'Triangle'
+        ELSE '' END AS expected FROM lineitem WHERE l_partkey % 4 < 2 AND l_linenumber < 4 GROUP BY l_partkey, l_linenumber""",
+    "v_req": """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 50 = 6 THEN -c_custkey ELSE c_custkey END AS submission_id,
+        CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(0 AS BIGINT) WHEN 2 THEN -c_custkey ELSE 1 + (c_custkey * 13) % (SELECT max(p_partkey) FROM part) END AS key_id,
+        1 + (c_custkey * 17) % (SELECT max(p_partkey) FROM part) AS given_id FROM customer""",
     # formats
     "v_fmt": """SELECT * FROM (VALUES ('f0', 'mcq', '1-4'), ('f0', 'numeric', '5-6'), ('f0', 'drawing', '7-7'),
         ('f1', 'mcq', '5-1'), ('f1', 'drawing', '5-6'), ('f2', 'numeric', 'x-3'), ('f3', 'mcq', '1-2'),

@@ -57,5 +57,6 @@ def differences(df, con, sql, show: int = 3):
     wrong = [(c, t, types[c]) for c, t in df.dtypes if SQL_TYPES.get(t) != types[c]]
     if mine == theirs:
         return f"types {wrong}" if wrong else None
-    only_mine, only_theirs = [r for r in mine if r not in set(theirs)], [r for r in theirs if r not in set(mine)]
+    held_here, held_there = set(mine), set(theirs)
+    only_mine, only_theirs = [r for r in mine if r not in held_there], [r for r in theirs if r not in held_here]
     return f"rows {len(mine)} / {len(theirs)}; only here {only_mine[:show]}; only there {only_theirs[:show]}; types {df.dtypes} / {columns}"

@@ -74,6 +74,18 @@ def test_scores_agree_with_marks(exam):
     assert scored.count() == exam["sheets"].count()
 
 
+def test_whole_results_agree_with_scores(exam):
+    matched = marking.match_keys(exam["sheets"], exam["keys"])
+    columns = ["candidate_id", "key_id", "correct", "total", "percentage"]
+    a = marking.scores(matched, exam["key"], exam["answers"], exam["drawing"], exam["responses"]).select(*columns)
+    b = marking.marked_sheets(matched, exam["key"], exam["answers"], exam["drawing"], exam["responses"])
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*columns).collect()))
+    for r in b.filter("key_id = 2").select(F.map_keys("marked_answers"), F.map_keys("marked_drawing")).collect():
+        assert tuple(r) == ([str(q) for q in range(1, 17)], ["30", "31"])
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(candidate_id") <= 2
+
+
 def test_result_does_not_depend_on_partitioning(exam):
     def run(parts):
         def spread(df):
