@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from markspan.functions import codes
 from markspan.functions.modeljson import text_map
 from markspan.functions.text import half_up, label_from_key, preview
 from markspan.operators.events import latest_event, payload_fields
+from markspan.operators.ordered import ROWS_PER_TASK, number_rows
 
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
@@ -242,24 +244,89 @@ def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> D
     return totals.select("submission_id", F.concat_ws("\n", *lines).alias("head"))
 
 
-def envelopes(submissions: DataFrame, candidates: DataFrame, counts: DataFrame, columns: Sequence[str], timestamp: str) -> DataFrame:
-    """One JSON document per source file, as ordered rows (submission_id, seq, line) whose lines, one after another, are the
-    document: its information, the candidates in page order, its end. A file without candidates has an empty list.
+def _json(c: Column) -> Column:
+    """A value as JSON text; null is written out."""
+    text = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
-    `candidates` holds unique page numbers from 1. A line is as long as one candidate, so a file of any size stays spread."""
-    totals = submission_counts(counts).select("submission_id", "candidates_count", "pages_with_data")
-    joined = submissions.select("submission_id", "filename", "pages_count").join(totals, "submission_id", "left")
-    info = F.struct(
-        "filename", F.lit(timestamp).alias("extraction_timestamp"), F.coalesce("candidates_count", _zero()).alias("total_candidates"),
-        F.col("pages_count").alias("pages_processed"), F.coalesce("pages_with_data", _zero()).alias("pages_with_data"),
+
+def _members(*pairs: tuple[str, Column]) -> Column:
+    """Members of a JSON object; a null column leaves its member out."""
+    return F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), text) for name, text in pairs])
+
+
+# The parts of a document, in order.
+HEAD, CANDIDATES, VALIDATION, WARNINGS, TOTALS, ERRORS, END = range(7)
+HEADERS = ("candidate_name", "candidate_number", "country")
+
+
+def candidate_object(extra: str = "extra_fields") -> Column:
+    """A candidate as JSON: header fields, answers, drawings where there are some, a paper type unless it is empty, then overflow
+    fields; one of them with a header field's name takes its place."""
+    over = F.coalesce(F.col(extra), F.create_map().cast("map<string,string>"))
+    has_type = (F.coalesce("paper_type", F.lit("")) != "") | F.map_contains_key(over, F.lit("paper_type"))
+
+    def field(name: str) -> Column:
+        return F.when(F.map_contains_key(over, F.lit(name)), _json(over[name])).otherwise(_json(F.col(name)))
+
+    def mapped(name: str, keep_empty: bool) -> Column:
+        text = F.to_json(F.coalesce(name, F.create_map().cast("map<string,string>")), {"ignoreNullFields": "false"})
+        return text if keep_empty else F.when(F.size(name) > 0, text)
+
+    fixed = [(c, field(c)) for c in HEADERS] + [("answers", mapped("answers", True)), ("drawing_questions", mapped("drawings", False)), ("paper_type", F.when(has_type, field("paper_type")))]
+    names = [c for c, _ in fixed]
+    further = F.filter(F.map_entries(over), lambda e: ~e["key"].isin(*names))
+    texts = F.transform(further, lambda e: F.concat(_json(e["key"]), F.lit(":"), _json(e["value"])))
+    return F.concat(F.lit("{"), F.concat_ws(",", _members(*fixed), texts), F.lit("}"))
+
+
+def envelopes(
+    submissions: DataFrame, candidates: DataFrame, counts: DataFrame, warnings: DataFrame, errors: DataFrame, timestamp: str, per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """One JSON document per source file, as ordered rows (submission_id, section, n, line) whose lines, one after another, are the
+    document: its information, the candidates in page order, the validation with its warnings, the extraction errors if there are any.
+
+    `submissions` holds submission_id, filename, pages_count, processing_time and detected_format (JSON text or null); `candidates`
+    unique page numbers from 1, header fields, answers, drawings and extra_fields; `warnings` (submission_id, page_number, question,
+    warning); `errors` (submission_id, n, error) as of `error_rollup`. A line is as long as one candidate, so that a file of any size
+    stays spread."""
+    totals = submission_counts(counts).select("submission_id", "candidates_count", "answers_count", "listed_drawings", "pages_with_data")
+    bad = warnings.groupBy("submission_id").agg(F.count(F.lit(1)).alias("bad"))
+    failed = errors.select("submission_id").distinct().withColumn("failed", F.lit(True))
+    files = submissions.join(totals, "submission_id", "left").join(bad, "submission_id", "left").join(failed, "submission_id", "left")
+    numbers = {c: F.coalesce(c, _zero()) for c in ("candidates_count", "answers_count", "listed_drawings", "pages_with_data", "bad")}
+    info = _members(
+        ("filename", _json(F.col("filename"))), ("extraction_timestamp", _json(F.lit(timestamp))), ("total_candidates", numbers["candidates_count"].cast("string")),
+        ("pages_processed", _json(F.col("pages_count"))), ("pages_with_data", numbers["pages_with_data"].cast("string")),
+        ("processing_time", _json(F.coalesce(F.col("processing_time").cast("double"), F.lit(0.0)))), ("detected_format", F.col("detected_format")),
+    )
+    valid = F.when(numbers["bad"] == 0, F.lit("true")).otherwise(F.lit("false"))
+    sums = _members(
+        ("total_candidates", numbers["candidates_count"].cast("string")), ("total_answers", numbers["answers_count"].cast("string")),
+        ("total_drawing_questions", numbers["listed_drawings"].cast("string")),
     )
-    opening = F.concat(F.lit('{"document_information":'), F.to_json(info, {"ignoreNullFields": "false"}), F.lit(',"candidates":['))
-    head = joined.select("submission_id", _zero().alias("seq"), opening.alias("line"))
-    end = joined.select("submission_id", (F.coalesce("candidates_count", _zero()) + 1).alias("seq"), F.lit("]}").alias("line"))
-    one = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    comma = F.when(F.col("page_number") > 1, F.lit(",")).otherwise(F.lit(""))
-    body = candidates.select("submission_id", F.col("page_number").cast("bigint").alias("seq"), F.concat(comma, one).alias("line"))
-    return head.unionByName(body).unionByName(end)
+    some_failed = F.coalesce("failed", F.lit(False))
+    fixed = {
+        HEAD: F.concat(F.lit('{"document_information":{'), info, F.lit('},"candidates":[')),
+        VALIDATION: F.concat(F.lit('],"logs":{"validation":{"is_valid":'), valid, F.lit(',"warnings":[')),
+        TOTALS: F.concat(F.lit("],"), sums, F.lit("}"), F.when(some_failed, F.lit(',"extraction_errors":[')).otherwise(F.lit(""))),
+        END: F.when(some_failed, F.lit("]}}")).otherwise(F.lit("}}")),
+    }
+    frames = F.array(*[F.struct(F.lit(k).alias("section"), _zero().alias("n"), line.alias("line")) for k, line in fixed.items()])
+    lines = files.select("submission_id", F.inline(frames))
+
+    def listed(df: DataFrame, section: int, n: str, text: Column) -> DataFrame:
+        comma = F.when(F.col(n) > 1, F.lit(",")).otherwise(F.lit(""))
+        return df.select("submission_id", F.lit(section).alias("section"), F.col(n).cast("bigint").alias("n"), F.concat(comma, text).alias("line"))
+
+    kind, number, text = codes.order_columns(F.col("question").cast("string"))
+    placed = number_rows(warnings, ["submission_id"], [F.col("page_number"), kind, number, text], "n", rows=per_task)
+    parts = [
+        listed(candidates, CANDIDATES, "page_number", candidate_object()),
+        listed(placed, WARNINGS, "n", _json(F.col("warning"))),
+        listed(errors, ERRORS, "n", _json(F.col("error"))),
+    ]
+    return reduce(DataFrame.unionByName, parts, lines)
 
 
 def key_rows(df: DataFrame, answers: str = "answers_json", drawing: str = "drawing_json") -> DataFrame:

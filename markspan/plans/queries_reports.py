@@ -9,6 +9,8 @@ from markspan.operators import events, listing, marking, normalize, ordered, rep
 from markspan.plans.queries_answers import with_extra
 from markspan.plans.queries_marking import PCT, SCORES, keys
 from markspan.plans.registry import half_even_sql, query, shown_map
+from markspan.session import new_path, written
+from markspan.sources import results
 
 COUNTS = """a AS (SELECT candidate_id, count(*) AS answers, count(*) FILTER (WHERE answer = 'DR') AS dr FROM v_ans GROUP BY 1),
   d AS (SELECT candidate_id, count(*) AS drawings FROM v_draw WHERE trim(response) <> '' GROUP BY 1),
@@ -390,25 +392,84 @@ def _(i):
     return reports.report_heads(i.sub, counts(i), STAMP)
 
 
-@query(
-    "f19_document_envelopes",
-    f"""WITH {COUNTS}, t AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE answers > 0) AS pd FROM counts GROUP BY 1),
+DOCUMENT_LINES = f"""{COUNTS}, t AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE answers > 0) AS pd, CAST(sum(answers) AS BIGINT) AS a, CAST(sum(drawings) AS BIGINT) AS d FROM counts GROUP BY 1),
   m AS (SELECT candidate_id, '{{' || string_agg('"' || CAST(question AS VARCHAR) || '":"' || answer || '"', ',' ORDER BY question) || '}}' AS answers FROM v_ans GROUP BY 1),
-  p AS (SELECT c.submission_id, {PAGED} AS seq, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(to_json(c.candidate_number), 'null') ||
-    ',"paper_type":' || coalesce(to_json(c.paper_type), 'null') || ',"answers":' || coalesce(m.answers, '{{}}') || '}}' AS j FROM v_cand c LEFT JOIN m ON m.candidate_id = c.candidate_id),
-  b AS (SELECT submission_id, filename, pages_count FROM v_sub UNION ALL SELECT -1, 'empty.pdf', 0)
-  SELECT b.submission_id, CAST(0 AS BIGINT) AS seq, '{{"document_information":{{"filename":"' || b.filename || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(coalesce(t.n, 0) AS VARCHAR) ||
-    ',"pages_processed":' || CAST(b.pages_count AS VARCHAR) || ',"pages_with_data":' || CAST(coalesce(t.pd, 0) AS VARCHAR) || '}},"candidates":[' AS line FROM b LEFT JOIN t ON t.submission_id = b.submission_id
-  UNION ALL SELECT submission_id, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || j FROM p
-  UNION ALL SELECT b.submission_id, coalesce(t.n, 0) + 1, ']}}' FROM b LEFT JOIN t ON t.submission_id = b.submission_id""".replace(
-        "(PARTITION BY submission_id ORDER BY candidate_id)", "(PARTITION BY c.submission_id ORDER BY c.candidate_id)"
-    ),
-)
-def _(i):
-    given = i.ans.withColumn("question", F.col("question").cast("string"))
-    maps = normalize.answer_maps(given, ["candidate_id"], everyone=i.sheet.select("candidate_id"))
-    cand = paged(i, i.cand.select("candidate_id", "submission_id", "candidate_name", "candidate_number", "paper_type")).join(maps, "candidate_id")
-    # One file without candidates besides those of the tables.
+  dm AS (SELECT candidate_id, ',"drawing_questions":{{' || string_agg('"' || CAST(question AS VARCHAR) || '":' || CAST(to_json(response) AS VARCHAR), ',' ORDER BY question) || '}}' AS drawings
+    FROM v_draw WHERE trim(response) <> '' GROUP BY 1),
+  page AS (SELECT candidate_id, submission_id, {PAGED} AS page_number FROM v_sheet),
+  p AS (SELECT c.submission_id, g.page_number AS n, '{{"candidate_name":' || to_json(c.candidate_name) || ',"candidate_number":' || coalesce(CAST(to_json(c.candidate_number) AS VARCHAR), 'null') ||
+    ',"country":' || to_json(coalesce(c.zone, c.country)) || ',"answers":' || coalesce(m.answers, '{{}}') || coalesce(dm.drawings, '') ||
+    CASE WHEN coalesce(c.paper_type, '') <> '' THEN ',"paper_type":' || to_json(c.paper_type) ELSE '' END || CASE WHEN c.zone IS NOT NULL THEN ',"zone":' || to_json(c.zone) ELSE '' END ||
+    CASE WHEN c.candidate_no IS NOT NULL THEN ',"candidate_no":' || to_json(c.candidate_no) ELSE '' END || '}}' AS j
+    FROM v_cand c JOIN page g ON g.candidate_id = c.candidate_id LEFT JOIN m ON m.candidate_id = c.candidate_id LEFT JOIN dm ON dm.candidate_id = c.candidate_id),
+  w AS (SELECT g.submission_id, row_number() OVER (PARTITION BY g.submission_id ORDER BY g.page_number, r.question) AS n, {WARN.format(p='g.page_number', a='r.answer', q='r.question')} AS j
+    FROM v_ans r JOIN page g ON g.candidate_id = r.candidate_id WHERE r.answer NOT IN ('A', 'B', 'C', 'D', 'E', 'BL', 'IN')),
+  er AS (SELECT submission_id, CASE WHEN id % 11 <> 0 THEN id % 50 END AS page, message FROM v_log WHERE action = 'extract_error'),
+  e AS (SELECT submission_id, row_number() OVER (PARTITION BY submission_id ORDER BY page NULLS FIRST, 'Page ' || coalesce(CAST(page AS VARCHAR), 'None') || ': ' || message) AS n,
+    'Page ' || coalesce(CAST(page AS VARCHAR), 'None') || ': ' || message AS j FROM er),
+  b AS (SELECT submission_id, filename, pages_count FROM v_sub UNION ALL SELECT -1, 'empty.pdf', 0),
+  f AS (SELECT b.*, coalesce(t.n, 0) AS n, coalesce(t.pd, 0) AS pd, coalesce(t.a, 0) AS a, coalesce(t.d, 0) AS d,
+    EXISTS (SELECT 1 FROM w WHERE w.submission_id = b.submission_id) AS bad, EXISTS (SELECT 1 FROM e WHERE e.submission_id = b.submission_id) AS failed FROM b LEFT JOIN t ON t.submission_id = b.submission_id),
+  lines AS (
+  SELECT submission_id, 0 AS section, CAST(0 AS BIGINT) AS n, '{{"document_information":{{"filename":"' || filename || '","extraction_timestamp":"{STAMP}","total_candidates":' || CAST(n AS VARCHAR) ||
+    ',"pages_processed":' || CAST(pages_count AS VARCHAR) || ',"pages_with_data":' || CAST(pd AS VARCHAR) || ',"processing_time":' || CAST(pages_count * CAST(0.5 AS DOUBLE) AS VARCHAR) ||
+    CASE WHEN submission_id % 3 = 0 THEN ',"detected_format":{{"mcq_range":"1-' || CAST(pages_count AS VARCHAR) || '"}}' ELSE '' END || '}},"candidates":[' AS line FROM f
+  UNION ALL SELECT submission_id, 1, n, CASE WHEN n > 1 THEN ',' ELSE '' END || j FROM p
+  UNION ALL SELECT submission_id, 2, 0, '],"logs":{{"validation":{{"is_valid":' || CASE WHEN bad THEN 'false' ELSE 'true' END || ',"warnings":[' FROM f
+  UNION ALL SELECT submission_id, 3, n, CASE WHEN n > 1 THEN ',' ELSE '' END || to_json(j) FROM w
+  UNION ALL SELECT submission_id, 4, 0, '],"total_candidates":' || CAST(n AS VARCHAR) || ',"total_answers":' || CAST(a AS VARCHAR) || ',"total_drawing_questions":' || CAST(d AS VARCHAR) || '}}' ||
+    CASE WHEN failed THEN ',"extraction_errors":[' ELSE '' END FROM f
+  UNION ALL SELECT submission_id, 5, n, CASE WHEN n > 1 THEN ',' ELSE '' END || to_json(j) FROM e WHERE submission_id IN (SELECT submission_id FROM f)
+  UNION ALL SELECT submission_id, 6, 0, CASE WHEN failed THEN ']}}}}' ELSE '}}}}' END FROM f)"""
+
+
+def document_lines(i):
+    """The lines of the documents of all submissions, and of one more file without candidates."""
+    drawn = i.draw.filter(codes.strip(F.col("response")) != "")
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(v).alias("v")) for k, v in (("country", "zone"), ("zone", "zone"), ("candidate_no", "candidate_no"))])
+    cand = i.cand.withColumn("extra_fields", F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull())))
+    numbers = written(paged(i).select("candidate_id", "page_number"), "page-numbers")
+    maps = marking.sheet_maps(i.ans, drawn)
+    sheets = cand.join(numbers, "candidate_id").join(maps, "candidate_id", "left")
+    answers = i.ans.join(i.sheet.select("candidate_id", "submission_id"), "candidate_id").join(numbers, "candidate_id")
+    page = F.when(F.col("id") % 11 != 0, F.col("id") % 50).alias("page")
     files = i.sub.select("submission_id", "filename", "pages_count")
     bare = files.groupBy().agg(F.lit(-1).cast("bigint").alias("submission_id"), F.lit("empty.pdf").alias("filename"), F.lit(0).cast("bigint").alias("pages_count"))
-    return reports.envelopes(files.unionByName(bare), cand, counts(i), ["candidate_name", "candidate_number", "paper_type", "answers"], STAMP)
+    files = files.unionByName(bare).withColumn("processing_time", F.col("pages_count") * F.lit(0.5))
+    detected = F.when(F.col("submission_id") % 3 == 0, F.concat(F.lit('{"mcq_range":"1-'), F.col("pages_count").cast("string"), F.lit('"}')))
+    log = i.log.filter("action = 'extract_error'").join(files.select("submission_id"), "submission_id", "left_semi")
+    errors = events.error_rollup(log.select("submission_id", page, "message"))
+    return reports.envelopes(files.withColumn("detected_format", detected), sheets, counts(i), reports.strict_warnings(answers), errors, STAMP)
+
+
+@query("f19_document_envelopes", f"WITH {DOCUMENT_LINES} SELECT * FROM lines")
+def _(i):
+    return document_lines(i)
+
+
+@query(
+    "s3_source_documents",
+    f"""WITH {DOCUMENT_LINES}, doc AS (SELECT submission_id, string_agg(line || chr(10), '' ORDER BY section, n) AS document, count(*) AS lines FROM lines GROUP BY 1)
+  SELECT submission_id, lines, md5(document) AS digest, json_extract_string(document, '$.document_information.filename') AS filename,
+    CAST(json_extract_string(document, '$.document_information.processing_time') AS DOUBLE) AS processing_time,
+    CAST(json_array_length(document, '$.candidates') AS BIGINT) AS candidates, CAST(json_array_length(document, '$.logs.validation.warnings') AS BIGINT) AS warnings,
+    json_extract_string(document, '$.logs.validation.is_valid') AS is_valid, json_extract_string(document, '$.candidates[0].country') AS first_country FROM doc""",
+)
+def _(i):
+    """Documents are written, one to a source file, and read back."""
+    folder = new_path(i.spark, "source-documents")
+    results.write_source_documents(document_lines(i), folder, 20_000)
+    parts = results.read_source_documents(i.spark, folder)
+    whole = results.document_texts(parts).join(parts.groupBy("submission_id").agg(F.sum("lines").alias("lines")), "submission_id")
+    parsed = results.parse_documents(whole, "document")
+
+    def size(of, path):
+        return F.json_array_length(F.get_json_object(of, path)).cast("bigint")
+
+    info, logs = F.col("fields")["document_information"], F.col("fields")["logs"]
+    return parsed.select(
+        "submission_id", "lines", F.md5("document").alias("digest"), F.get_json_object(info, "$.filename").alias("filename"),
+        F.get_json_object(info, "$.processing_time").cast("double").alias("processing_time"), F.json_array_length(F.col("fields")["candidates"]).cast("bigint").alias("candidates"),
+        size(logs, "$.validation.warnings").alias("warnings"), F.get_json_object(logs, "$.validation.is_valid").alias("is_valid"),
+        F.get_json_object(F.col("fields")["candidates"], "$[0].country").alias("first_country"),
+    )

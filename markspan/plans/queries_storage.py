@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markspan.functions.text import json_text
-from markspan.operators import events, listing
-from markspan.plans.registry import query
+from markspan.operators import events, listing, reports
+from markspan.plans.queries_reports import PAGE_STATS
+from markspan.plans.registry import half_even_sql, query
 from markspan.session import new_path
-from markspan.sources import intake, results, stored
+from markspan.sources import artifacts, intake, results, stored
 
 
 @query(
@@ -61,6 +62,43 @@ def _(i):
     return i.spark.read.schema(schema).parquet(path).drop("created_at")
 
 
+RUN_PAGES = f"""{PAGE_STATS}, pages AS (SELECT o.doc_id, strftime(o.created_at, '%Y/%m/%d') || '/doc_' || CAST(o.doc_id AS VARCHAR) || '/scan_' || CAST(o.doc_id AS VARCHAR) || '/' || strftime(o.created_at, '%H%M%S') AS run_dir,
+    o.page, 'p' || CAST(o.page AS VARCHAR) || '.png' AS image_file, 'pages/page_' || lpad(CAST(o.page AS VARCHAR), 3, '0') || '.txt' AS text_file,
+    CASE WHEN o.error IS NULL THEN 'ok' ELSE 'error' END AS status, o.error, CAST(CASE WHEN o.error IS NULL THEN 5 ELSE 0 END AS BIGINT) AS word_count,
+    CASE WHEN o.error IS NULL THEN pc.average_confidence ELSE 0 END AS average_confidence, CAST(CASE WHEN o.error IS NULL THEN pc.confidence_samples ELSE 0 END AS BIGINT) AS confidence_samples,
+    CASE WHEN o.error IS NULL THEN o.text ELSE '' END AS text FROM v_ocr o JOIN pc ON pc.doc_id = o.doc_id AND pc.page = o.page)"""
+
+
+def stored_runs(i):
+    """The pages of all scans, stored by two jobs, the second of which meets some of the first one's runs again."""
+    stats = reports.page_confidence(i.tok).select("doc_id", "page", "average_confidence", "confidence_samples")
+    doc, page = F.col("doc_id").cast("string"), F.col("page").cast("string")
+    pages = i.ocr.join(stats, ["doc_id", "page"]).select(
+        F.concat(F.lit("doc_"), doc).alias("context_id"), F.concat(F.lit("in/scan "), doc, F.lit(".pdf")).alias("source_filename"), "created_at", "page",
+        F.concat(F.lit("tmp/p"), page, F.lit(".png")).alias("image_path"), "text", "error", "average_confidence", "confidence_samples", "doc_id",
+    )
+    folder = new_path(i.spark, "runs")
+    artifacts.write_runs(pages.filter("doc_id % 2 = 0"), folder, "document")
+    artifacts.write_runs(pages, folder, "document")
+    return folder
+
+
+@query("s5_run_pages", f"WITH {RUN_PAGES} SELECT * EXCLUDE (doc_id) FROM pages")
+def _(i):
+    return artifacts.read_pages(i.spark, stored_runs(i))
+
+
+@query(
+    "s5_run_summaries",
+    f"""WITH {RUN_PAGES}, h AS (SELECT run_dir, doc_id, count(*) AS pages_total, CAST(count(*) FILTER (WHERE status = 'ok') AS BIGINT) AS pages_ok,
+    coalesce(sum(CAST(round(average_confidence * 100) AS BIGINT)) FILTER (WHERE average_confidence > 0), 0) AS s, count(*) FILTER (WHERE average_confidence > 0) AS n FROM pages GROUP BY 1, 2)
+  SELECT run_dir, 'doc_' || CAST(doc_id AS VARCHAR) AS context_id, 'in/scan ' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_filename, 'document' AS preprocessing_mode,
+    pages_total, pages_ok, CAST({half_even_sql('s', 'n * 100', 2)} AS DOUBLE) AS average_confidence FROM h""",
+)
+def _(i):
+    return artifacts.read_runs(i.spark, stored_runs(i)).drop("attempt")
+
+
 @query(
     "j10_stored_deletion",
     """SELECT 'candidate' AS kind, candidate_id AS id, submission_id FROM v_sheet s WHERE NOT EXISTS (SELECT 1 FROM v_sub b WHERE b.submission_id = s.submission_id AND b.status = 'failed')

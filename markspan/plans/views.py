@@ -131,6 +131,10 @@ VIEWS: dict[str, str] = {
         CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(event_id % 7 AS DOUBLE) / 3000 END AS edge_ratio FROM events""",
     "v_tok": """SELECT l_suppkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page,
         CASE WHEN l_suppkey % 9 = 0 AND l_linenumber = 1 THEN -1 ELSE (l_partkey % 102) - 1 END AS conf FROM lineitem""",
+    "v_ocr": """SELECT t.doc_id, t.page, d.created_at, CASE WHEN t.doc_id % 7 = 0 AND t.page = 3 THEN 'unreadable' END AS error,
+        'Sheet ' || CAST(t.p AS STRING) || '  lists ' || CAST(t.n AS STRING) || ' marks ' AS text
+        FROM (SELECT l_suppkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, max(l_partkey) AS p, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber) t
+        JOIN (SELECT l_suppkey AS doc_id, max(l_shipdate) AS created_at FROM lineitem GROUP BY l_suppkey) d ON d.doc_id = t.doc_id""",
     "v_pagefmt": """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 5 = 4 THEN 'none' ELSE 'f' || CAST(o_orderkey % 5 AS STRING) END AS format_id
         FROM orders""",
     # files and text

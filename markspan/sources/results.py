@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from markspan.functions.modeljson import is_json_object, text_map
 from markspan.functions.codes import strip
+from markspan.operators.ordered import number_rows
+from markspan.session import written
 
 BUCKETS = 64
 
@@ -33,6 +35,43 @@ def read_document_lines(spark: SparkSession, folder: str) -> DataFrame:
     return parse_documents(spark.read.text(folder), "value")
 
 
+# --- documents of many lines -------------------------------------------------------------------------------------
+
+LINES_PER_PART = 1 << 20
+
+
+def write_source_documents(lines: DataFrame, folder: str, lines_per_part: int = LINES_PER_PART) -> None:
+    """Write the lines (submission_id, section, n, line) of each document to its folder `submission_id=<id>`, in parts whose names
+    grow along the document; the manifest (submission_id, lines, bytes) comes last and tells what is complete.
+
+    Lines are range-partitioned by document and place: small documents share a task, a large one is cut into parts."""
+    spark = lines.sparkSession
+    kept = written(lines.select("submission_id", "section", "n", "line"), "lines")
+    order = ["submission_id", "section", "n"]
+    parts = max(1, -(-kept.count() // lines_per_part))
+    ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged.select("submission_id", "line").write.partitionBy("submission_id").text(f"{folder}/documents")
+    sizes = kept.groupBy("submission_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    sizes.write.parquet(f"{folder}/manifest")
+
+
+def read_source_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(submission_id, part, text, lines): the parts of every complete document, numbered from 1 along it; its lines are joined again within
+    each part. `document_texts` joins the parts."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    files = spark.read.option("recursiveFileLookup", "true").text(f"{folder}/documents", wholetext=True)
+    path = F.col("_metadata.file_path")
+    rows = files.select(F.regexp_extract(path, "/submission_id=([^/]+)/", 1).try_cast("bigint").alias("submission_id"), F.regexp_extract(path, "/part-([0-9]+)", 1).cast("bigint").alias("at"), F.col("value").alias("text"))
+    numbered = number_rows(rows, ["submission_id"], [F.col("at")], "part").drop("at")
+    return numbered.join(manifest, numbered["submission_id"].eqNullSafe(manifest["submission_id"]), "left_semi").withColumn("lines", F.length(F.regexp_replace("text", "[^\n]", "")))
+
+
+def document_texts(parts: DataFrame) -> DataFrame:
+    """(submission_id, document): whole documents, each of which fits a row."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "")
+    return parts.groupBy("submission_id").agg(joined.alias("document"))
+
+
 def submission_bucket(c: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
