@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,35 +34,81 @@ def call_pages(
     attempts: int = 3,
     waits: Sequence[float] = WAITS,
     concurrency: int | None = None,
+    in_flight: int = 1,
 ) -> DataFrame:
-    """Call `fn(row)` once per page; rows are (id, response, attempts, error).
+    """Call `fn(row)` once per page; rows are (id, response, attempts, error), in the order in which the calls end.
 
     A page that fails on every attempt gives an error row and never fails the job. A task may run again after a lost
-    executor, so `fn` must be safe to repeat; rows are keyed by page. `concurrency` bounds the calls in flight."""
-
-    def one(row: dict) -> tuple[str | None, int, str | None]:
-        error = None
-        for attempt in range(1, attempts + 1):
-            try:
-                return fn(row), attempt, None
-            except Exception as exc:  # noqa: BLE001 - the page function is foreign code
-                error = str(exc)
-                if attempt < attempts and waits:
-                    time.sleep(waits[min(attempt, len(waits)) - 1])
-        return None, attempts, error
+    executor, so `fn` must be safe to repeat; rows are keyed by page. `concurrency` is the number of tasks, `in_flight` that of calls a
+    task has running at a time, from threads of its own; with more than one `fn` must allow that. A page that waits for its next
+    attempt holds no call back."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [one(row) for row in batch.to_dict("records")]
-            frame = pd.DataFrame(out, columns=["response", "attempts", "error"], dtype="object")
-            frame.insert(0, id_col, batch[id_col].to_numpy())
-            yield frame
+        rows = (row for batch in batches for row in batch.to_dict("records"))
+        done: list[tuple] = []
+        for result in _calls(rows, fn, attempts, waits, in_flight):
+            done.append((result[0][id_col], *result[1:]))
+            if len(done) == ROWS_OUT:
+                yield _frame(done, id_col)
+                done = []
+        if done:
+            yield _frame(done, id_col)
 
     spread = pages.repartition(concurrency) if concurrency else pages
     id_type = pages.schema[id_col].dataType.simpleString()
     return spread.mapInPandas(run, f"{id_col} {id_type}, response string, attempts int, error string")
 
 
+ROWS_OUT = 64  # results that a task hands on together
+WAITING = 4  # pages, per call in flight, that may wait for their next attempt while new ones are begun
+
+
+def _frame(done: list[tuple], id_col: str) -> pd.DataFrame:
+    return pd.DataFrame(done, columns=[id_col, "response", "attempts", "error"], dtype="object")
+
+
+def _calls(
+    rows: Iterator[dict], fn: PageFunction, attempts: int, waits: Sequence[float], in_flight: int
+) -> Iterator[tuple[dict, str | None, int, str | None]]:
+    """(row, response, attempts, error) of each row, as the calls end."""
+    running: dict[Future, tuple[dict, int]] = {}
+    waiting: list[tuple[float, int, dict, int]] = []  # when due, a number for order, the row, the next attempt
+    numbers = count()
+    more = True
+    with ThreadPoolExecutor(in_flight) as pool:
+        while more or running or waiting:
+            now = time.monotonic()
+            while len(running) < in_flight:
+                if waiting and waiting[0][0] <= now:
+                    _, _, row, attempt = heapq.heappop(waiting)
+                elif more and len(waiting) < WAITING * in_flight:
+                    row, attempt = next(rows, None), 1
+                    if row is None:
+                        more = False
+                        continue
+                else:
+                    break
+                running[pool.submit(fn, row)] = row, attempt
+            pause = max(0.0, waiting[0][0] - now) if waiting else None
+            if not running:
+                time.sleep(pause or 0.0)
+                continue
+            # With all calls running, a page that becomes due has to wait for one of them anyway.
+            ended, _ = wait(running, timeout=pause if len(running) < in_flight else None, return_when=FIRST_COMPLETED)
+            for future in ended:
+                row, attempt = running.pop(future)
+                error = future.exception()
+                if error is None:
+                    yield row, future.result(), attempt, None
+                elif not isinstance(error, Exception):
+                    raise error
+                elif attempt == attempts:
+                    yield row, None, attempt, str(error)
+                else:
+                    due = time.monotonic() + (waits[min(attempt, len(waits)) - 1] if waits else 0.0)
+                    heapq.heappush(waiting, (due, next(numbers), row, attempt + 1))
+
+
 def detect_formats(pages: DataFrame, fn: PageFunction, attempts: int = 1) -> DataFrame:
     """One format per layout, from one call on the layout's best page; failures give the fallback format."""
     return formats_of(representative_pages(pages), fn, attempts)

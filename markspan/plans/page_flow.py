@@ -70,6 +70,7 @@ def extract(
     full_fn: infer.PageFunction,
     focused_fn: infer.PageFunction,
     concurrency: int | None = None,
+    in_flight: int = 1,
     waits=infer.WAITS,
 ) -> Extraction:
     """Answers and one record per page that is not blank.
@@ -95,8 +96,8 @@ def extract(
 
     measured = seen.join(routed.filter(~F.col("needs_model")).select("page"), "page", "left_semi")
     asked = pages.join(routed.filter("needs_model").select("page", "has_mcq"), "page")
-    full = written(infer.call_pages(asked, full_fn, waits=waits, concurrency=concurrency), "full-pass")
-    focused = infer.call_pages(asked.filter("has_mcq"), focused_fn, attempts=1, waits=(), concurrency=concurrency)
+    full = written(infer.call_pages(asked, full_fn, waits=waits, concurrency=concurrency, in_flight=in_flight), "full-pass")
+    focused = infer.call_pages(asked.filter("has_mcq"), focused_fn, attempts=1, waits=(), concurrency=concurrency, in_flight=in_flight)
     focused = written(focused, "focused-pass")
 
     def keyed(df: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def _(i):
 )
 def _(i):
     out = new_path(i.spark, "status")
-    jobs.run_batches(jobs.live_status(i.stream("v_log")), out, "update")
-    return jobs.newest_rows(i.spark, out, ["submission_id"], jobs.STATUS)
+    jobs.track_status(i.stream("v_log"), out)
+    return jobs.tracked_status(i.spark, out)
 
 
 @query(
@@ -71,9 +71,9 @@ def _(i):
     folder = staged(i, rows.repartition(3, F.coalesce("question", F.lit(0)) % 3), "sheets")
     schema = "candidate_id BIGINT, submission_id BIGINT, paper_type STRING, kind STRING, question BIGINT, value STRING"
     out = new_path(i.spark, "scores")
-    jobs.mark_new_sheets(jobs.read_new_files(i.spark, folder, schema, files_per_batch=1), keys(i), i.key, out, i.dkey)
+    jobs.mark_new_sheets(jobs.with_place(jobs.read_new_files(i.spark, folder, schema, files_per_batch=1)), keys(i), i.key, out, i.dkey)
     scored = "candidate_id BIGINT, submission_id BIGINT, key_id BIGINT, correct BIGINT, total BIGINT, percentage DOUBLE"
-    return jobs.newest_rows(i.spark, out, ["candidate_id"], scored)
+    return jobs.streamed_marks(i.spark, out, scored)
 
 
 @query(
@@ -84,5 +84,5 @@ def _(i):
 )
 def _(i):
     out = new_path(i.spark, "lifecycle")
-    jobs.run_batches(jobs.lifecycle(i.stream("v_log")), out, "update")
-    return jobs.newest_rows(i.spark, out, ["submission_id"], "submission_id BIGINT, status STRING")
+    jobs.track_lifecycle(i.stream("v_log"), out)
+    return jobs.tracked_lifecycle(i.spark, out)

@@ -1,23 +1,26 @@
 """Streaming forms of the intake, status, layout and marking work.
 
 Each job reads new files, works through everything available and stops, so that it can run on any schedule. Results of
-a micro-batch go to `<out>/batch_id=N`, written over when a batch is replayed; readers take the newest row of each key.
-State is one row per submission; layouts keep none; marking reads back the stored rows of the sheets that a batch touches.
+a micro-batch go to `<out>/batch_id=N`, written over when a batch is replayed. Status, lifecycle and arrived sheet rows merge: what
+a batch adds is summed up within the batch, and every few batches their folders become one snapshot, so that readers meet
+a bounded number of folders and no state is kept beside the results. Marking reads only the buckets of the sheets that a batch touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from markspan.functions import codes, modeljson
 from markspan.operators import infer, marking
 from markspan.operators.events import event_order, payload_fields
 from markspan.operators.layout import representative_pages
+from markspan.sources import stored
 
 BATCH = "batch_id"
 STATUS = (
@@ -70,6 +73,71 @@ def newest_rows(spark: SparkSession, out: str, keys: Sequence[str], schema: str)
     return newest.select(*keys, "v.*")
 
 
+# --- merged results ----------------------------------------------------------------------------------------------
+
+COMPACT_EVERY = 16  # batches that become a snapshot
+SNAPSHOT = "snapshot"
+Merge = Callable[[DataFrame], DataFrame]
+
+
+def _folders(spark: SparkSession, out: str) -> dict[str, list[int]]:
+    """Numbers of the complete snapshots and batches below a folder."""
+    found: dict[str, list[int]] = {SNAPSHOT: [], BATCH: []}
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(place):
+        for status in store.listStatus(place):
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in found and stored.exists(spark, f"{out}/{kind}={number}/_SUCCESS"):
+                found[kind].append(int(number))
+    return {kind: sorted(numbers) for kind, numbers in found.items()}
+
+
+def _current(spark: SparkSession, out: str, before: int | None = None) -> list[str]:
+    """The newest snapshot and the batches after it (up to `before`, exclusive)."""
+    found = _folders(spark, out)
+    limit = before if before is not None else 1 << 62
+    snapshots = [n for n in found[SNAPSHOT] if n < limit]
+    newest = snapshots[-1] if snapshots else -1
+    return [f"{out}/{SNAPSHOT}={newest}"] * bool(snapshots) + [_batch_path(out, n) for n in found[BATCH] if newest < n < limit]
+
+
+def merged_rows(spark: SparkSession, out: str, schema: str | StructType, merge: Merge, before: int | None = None) -> DataFrame:
+    """What all batches have added, merged; at most one snapshot and COMPACT_EVERY batches are read, give or take one."""
+    paths = _current(spark, out, before)
+    reader = spark.read.schema(schema)
+    rows = reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths]) if paths else spark.createDataFrame([], schema)
+    return merge(rows)
+
+
+def _compact(spark: SparkSession, out: str, schema: str | StructType, merge: Merge, batch_id: int, buckets: Sequence[str] = ()) -> None:
+    """Make the batches up to this one a snapshot. The last snapshot and its batches stay until the next time, for readers that have begun
+    with them."""
+    found = _folders(spark, out)
+    merged = merged_rows(spark, out, schema, merge, batch_id + 1)
+    writer = merged.hint("rebalance", *buckets).write.mode("overwrite")
+    (writer.partitionBy(*buckets) if buckets else writer).parquet(f"{out}/{SNAPSHOT}={batch_id}")
+    last = max([n for n in found[SNAPSHOT] if n < batch_id], default=-1)
+    for kind, numbers in found.items():
+        for n in numbers:
+            if n < last or (kind == BATCH and n <= last):
+                stored.remove(spark, f"{out}/{kind}={n}")
+
+
+def run_merged(stream: DataFrame, out: str, part: Merge, merge: Merge, schema: str, every: int = COMPACT_EVERY) -> None:
+    """Work through all available input: each batch is written as `part` sums it up, and every few batches become a snapshot.
+
+    `merge` must not mind rows that come twice, so that a replayed batch changes nothing."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if batch_id % every == every - 1:
+            _compact(spark, out, schema, merge, batch_id)
+
+    stream.writeStream.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
 # --- new result files ------------------------------------------------------------------------------------------
 
 
@@ -99,26 +167,67 @@ def process_new_responses(stream: DataFrame, id_col: str, out: str) -> None:
 # --- status ----------------------------------------------------------------------------------------------------
 
 
+STATUS_PARTS = """submission_id BIGINT, e STRUCT<at: TIMESTAMP_NTZ, num: BIGINT, id: BIGINT, action: STRING, message: STRING, created_at: TIMESTAMP_NTZ>,
+    p STRUCT<at: TIMESTAMP_NTZ, num: BIGINT, current_page: STRING, current_candidate: STRING>"""
+LIFECYCLE_PARTS = "submission_id BIGINT, s STRUCT<rank: INT, at: TIMESTAMP_NTZ, num: BIGINT, status: STRING>"
+
+
+def _status_parts(log: DataFrame) -> DataFrame:
+    order = [c.alias(n) for c, n in zip(event_order(), ("at", "num"), strict=True)]
+    page = F.struct(*order, F.col("page").alias("current_page"), F.col("label").alias("current_candidate"))
+    told = payload_fields(log).select("submission_id", F.struct(*order, "id", "action", "message", "created_at").alias("e"), F.when(F.col("action") == "page_progress", page).alias("p"))
+    return _newest_status(told)
+
+
+def _newest_status(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("submission_id").agg(F.max("e").alias("e"), F.max("p").alias("p"))
+
+
+def _shown_status(parts: DataFrame) -> DataFrame:
+    return parts.select("submission_id", "e.id", "e.action", "e.message", "e.created_at", "p.current_page", "p.current_candidate")
+
+
 def live_status(log: DataFrame) -> DataFrame:
     """The newest event of each submission, and the page and candidate of its newest page event.
 
-    Partial maxima are formed before the shuffle; state is one row per submission."""
-    order = F.struct(*event_order())
-    paged = F.when(F.col("action") == "page_progress", order)
-    newest = payload_fields(log).groupBy("submission_id").agg(
-        F.max_by(F.struct("id", "action", "message", "created_at"), order).alias("e"),
-        F.max_by(F.struct(F.col("page").alias("current_page"), F.col("label").alias("current_candidate")), paged).alias("p"),
-    )
-    return newest.select("submission_id", "e.*", "p.*")
+    Partial maxima are formed before the shuffle."""
+    return _shown_status(_status_parts(log))
 
 
-def lifecycle(log: DataFrame) -> DataFrame:
-    """pending, processing, completed or failed; a finished state stays, replays change nothing."""
+def track_status(stream: DataFrame, out: str, every: int = COMPACT_EVERY) -> None:
+    run_merged(stream, out, _status_parts, _newest_status, STATUS_PARTS, every)
+
+
+def tracked_status(spark: SparkSession, out: str) -> DataFrame:
+    """`live_status` of all events so far."""
+    return _shown_status(merged_rows(spark, out, STATUS_PARTS, _newest_status))
+
+
+def _lifecycle_parts(log: DataFrame) -> DataFrame:
     ranks = F.create_map(*[F.lit(x) for a, (r, _) in LIFECYCLE.items() for x in (a, r)])
     states = F.create_map(*[F.lit(x) for a, (_, s) in LIFECYCLE.items() for x in (a, s)])
+    at, num = event_order()
     known = log.filter(F.col("action").isin(*LIFECYCLE))
-    order = F.struct(ranks[F.col("action")].alias("rank"), *event_order())
-    return known.groupBy("submission_id").agg(F.max_by(states[F.col("action")], order).alias("status"))
+    told = F.struct(ranks[F.col("action")].alias("rank"), at.alias("at"), num.alias("num"), states[F.col("action")].alias("status"))
+    return _highest_state(known.select("submission_id", told.alias("s")))
+
+
+def _highest_state(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("submission_id").agg(F.max("s").alias("s"))
+
+
+def lifecycle(log: DataFrame) -> DataFrame:
+    """pending, processing, completed or failed; a finished state stays, replays change nothing."""
+    return _lifecycle_parts(log).select("submission_id", "s.status")
+
+
+def track_lifecycle(stream: DataFrame, out: str, every: int = COMPACT_EVERY) -> None:
+    run_merged(stream, out, _lifecycle_parts, _highest_state, LIFECYCLE_PARTS, every)
+
+
+def tracked_lifecycle(spark: SparkSession, out: str) -> DataFrame:
+    """`lifecycle` of all events so far."""
+    return merged_rows(spark, out, LIFECYCLE_PARTS, _highest_state).select("submission_id", "s.status")
 
 
 # --- layouts ---------------------------------------------------------------------------------------------------
@@ -147,31 +256,70 @@ def detect_new_layouts(stream: DataFrame, fn: infer.PageFunction, out: str) -> N
 # --- marking ---------------------------------------------------------------------------------------------------
 
 
+ROW_BUCKETS = 64
+BUCKET = "bucket"
+
+
+def with_place(stream: DataFrame) -> DataFrame:
+    """Rows of a file stream with `place`, which orders the rows of a batch: the file's time, its path, the row in it."""
+    return stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("place"))
+
+
 def mark_new_sheets(
     stream: DataFrame,
     keys: DataFrame,
     key_long: DataFrame,
     out: str,
     drawing_long: DataFrame | None = None,
+    every: int = COMPACT_EVERY,
+    buckets: int = ROW_BUCKETS,
 ) -> None:
     """Mark sheets as they arrive against the stored keys.
 
     The stream holds long rows (candidate_id, submission_id, paper_type, kind, question, value); kind is answer or drawing,
     and a sheet without answers has one row with no question. A sheet's rows may come in any files: each batch is stored
-    below `<out>-rows`, and the sheets it touches are marked again from all their rows so far, of which the newest of a
-    question counts. A replayed batch replaces its rows."""
+    below `<out>-rows` by bucket of the candidate, and the sheets it touches are marked again from their rows so far, read from
+    their buckets alone. Of a question the row of the newest batch counts, within a batch that of the greatest `place` (see `with_place`), or of
+    the greatest value where there is none. A replayed batch replaces its rows."""
     spark = stream.sparkSession
-    arrived, stored = f"{out}-rows", StructType([*stream.schema.fields, StructField(BATCH, LongType())])
-
-    def build(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch.write.mode("overwrite").parquet(_batch_path(arrived, batch_id))
-        every = spark.read.schema(stored).parquet(arrived)
-        touched = every.filter(F.col(BATCH) == batch_id).select("candidate_id").distinct()
-        seen = every.filter(F.col(BATCH) <= batch_id).join(touched, "candidate_id", "left_semi")
-        sheets = seen.groupBy("candidate_id").agg(F.max_by(F.struct("submission_id", "paper_type"), BATCH).alias("s")).select("candidate_id", "s.*")
-        rows = seen.filter(F.col("question").isNotNull()).groupBy("candidate_id", "kind", "question").agg(F.max_by("value", BATCH).alias("value"))
+    arrived = f"{out}-rows"
+    key = ["candidate_id", "kind", "question"]
+    values = [c for c in stream.columns if c not in (*key, "place")]
+    place = [F.col("place")] if "place" in stream.columns else []
+    told = F.struct(F.lit(0).cast("bigint").alias(BATCH), *place, *[F.col(c) for c in values]).alias("v")
+    bucket = F.pmod(F.xxhash64("candidate_id"), F.lit(buckets)).cast("int").alias(BUCKET)
+    schema = StructType([*stream.select(*key, told).schema.fields, *stream.select(bucket).schema.fields])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key, BUCKET).agg(F.max("v").alias("v"))
+
+    def build(batch: DataFrame, batch_id: int) -> None:
+        mine = newest(batch.select(*key, F.struct(F.lit(batch_id).cast("bigint").alias(BATCH), *place, *values).alias("v"), bucket))
+        mine.write.mode("overwrite").partitionBy(BUCKET).parquet(_batch_path(arrived, batch_id))
+        mine = spark.read.schema(schema).parquet(_batch_path(arrived, batch_id))
+        touched = [r[0] for r in mine.select(BUCKET).distinct().collect()]  # at most `buckets`
+        hit = F.col(BUCKET).isin(touched)
+        seen = merged_rows(spark, arrived, schema, lambda rows: newest(rows.filter(hit)), batch_id + 1)
+        seen = seen.join(mine.select("candidate_id").distinct(), "candidate_id", "left_semi")
+        sheets = seen.groupBy("candidate_id").agg(F.max("v").alias("v")).select("candidate_id", "v.submission_id", "v.paper_type")
+        rows = seen.filter(F.col("question").isNotNull()).select(*key, "v.value")
         answers = rows.filter("kind = 'answer'").select("candidate_id", "question", F.col("value").alias("answer"))
         drawings = rows.filter("kind = 'drawing'").select("candidate_id", "question", F.col("value").alias("response"))
-        return marking.marked_candidates(sheets, keys, key_long, answers, drawing_long, drawings)
+        marked = marking.marked_candidates(sheets, keys, key_long, answers, drawing_long, drawings)
+        marked.withColumn(BATCH, F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if batch_id % every == every - 1:
+            _compact(spark, arrived, schema, newest, batch_id, [BUCKET])
+            _compact(spark, out, marked.withColumn(BATCH, F.lit(0).cast("bigint")).schema, _newest_marks, batch_id)
 
-    run_batches(stream, out, "append", build)
+    stream.writeStream.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).foreachBatch(build).start().awaitTermination()
+
+
+def _newest_marks(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c not in ("candidate_id", BATCH)]
+    newest = rows.groupBy("candidate_id").agg(F.max_by(F.struct(*columns, BATCH), BATCH).alias("v"))
+    return newest.select("candidate_id", "v.*").select(*rows.columns)
+
+
+def streamed_marks(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The newest marks of each sheet; `schema` names the wanted columns, candidate_id among them."""
+    return merged_rows(spark, out, f"{schema}, {BATCH} BIGINT", _newest_marks).drop(BATCH)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def test_pixel_measures(spark):
     assert df.select(F.size(pixels.top_rows(F.col("pixels"), F.col("width"), F.col("height")))).first()[0] == 4
 
 
+def test_laplacian_of_pages_of_many_sizes(spark):
+    rng = np.random.default_rng(2)
+    pages = [(k, [int(v) for v in rng.integers(0, 256, h * w)], w) for k, (h, w) in enumerate([(3, 4), (4, 3), (6, 2), (3, 4), (2, 6), (12, 1)] * 5)]
+    df = spark.createDataFrame(pages, "page bigint, pixels array<int>, width int").repartition(3)
+    got = {r.page: r.v for r in df.select("page", pixels.laplacian_variance("pixels", "width").alias("v")).collect()}
+    for page, px, w in pages:
+        grid = np.pad(np.array(px).reshape(-1, w), 1, mode="reflect")
+        lap = grid[:-2, 1:-1] + grid[2:, 1:-1] + grid[1:-1, :-2] + grid[1:-1, 2:] - 4 * grid[1:-1, 1:-1]
+        assert abs(got[page] - lap.var()) < 1e-6
+
+
 def test_blank_needs_all_three_and_unmeasured_is_kept(spark):
     rows = [(1, 9.0, 0.001, 0.0005), (2, 9.0, 0.002, 0.0005), (3, 10.0, 0.0, 0.0), (4, None, 0.0, 0.0), (5, 9.0, 0.0, None)]
     df = spark.createDataFrame(rows, "page_id int, s double, i double, e double")
@@ -87,6 +99,53 @@ def test_retries_and_error_rows(spark, tmp_path):
     assert len(got) == 6 and got[0].attempts == 1
 
 
+def test_calls_in_flight(spark):
+    """40 slow pages on 2 tasks with 4 calls in flight take about an eighth of the time one after another, with the same rows."""
+    def slow(row):
+        time.sleep(0.3)
+        return f"page {row['page']}"
+
+    pages = spark.range(40).withColumnRenamed("id", "page")
+    spark.range(8).mapInPandas(lambda b: b, "id bigint").count()  # workers are there
+
+    def timed(**kwargs):
+        begin = time.monotonic()
+        got = sorted(map(tuple, infer.call_pages(pages, slow, waits=(), **kwargs).collect()))
+        return got, time.monotonic() - begin
+
+    together, quick = timed(concurrency=2, in_flight=4)
+    alone, long = timed(concurrency=1)
+    assert together == alone == [(k, f"page {k}", 1, None) for k in range(40)]
+    assert long >= 12 and quick < long / 4
+
+
+def test_a_page_that_waits_holds_no_call_back():
+    begun, running, most = {}, 0, 0
+
+    def flaky(row):
+        nonlocal running, most
+        running += 1
+        most = max(most, running)
+        try:
+            time.sleep(0.02)
+            begun.setdefault(row["page"], []).append(time.monotonic())
+            if row["page"] < 3 and len(begun[row["page"]]) < 3:
+                raise ValueError("again")
+            if row["page"] == 9:
+                raise KeyError("gone")
+            return "x"
+        finally:
+            running -= 1
+
+    start = time.monotonic()
+    got = {row["page"]: rest for row, *rest in infer._calls(iter([{"page": k} for k in range(30)]), flaky, 3, (0.3, 0.6), 2)}
+    took = time.monotonic() - start
+    assert len(got) == 30 and got[0] == ["x", 3, None] and got[9] == [None, 3, "'gone'"] and got[20] == ["x", 1, None]
+    assert most == 2 and took < 3  # one after another the waits alone take 3.6 s
+    assert begun[20][0] < begun[0][1] + 0.3
+    assert list(infer._calls(iter([]), flaky, 3, (), 4)) == []
+
+
 def test_only_needed_pages_reach_the_model(spark, tmp_path):
     calls = str(tmp_path)
     pages = spark.createDataFrame(

@@ -14,6 +14,10 @@ from markspan.streaming import jobs
 LOG = "id BIGINT, submission_id BIGINT, action STRING, message STRING, extra_data STRING, created_at TIMESTAMP_NTZ"
 
 
+MARKS = "candidate_id BIGINT, key_id BIGINT, correct BIGINT, total BIGINT, percentage DOUBLE"
+SHEETS = "candidate_id BIGINT, submission_id BIGINT, paper_type STRING, kind STRING, question BIGINT, value STRING"
+
+
 def files(df, spark, name, n=3):
     path = new_path(spark, name)
     df.repartition(n).write.parquet(path)
@@ -25,19 +29,36 @@ def rows(df):
 
 
 def test_status_and_lifecycle_over_batches(spark, folder):
+    """Many batches: few folders are read, and neither a second run nor a replayed batch changes anything."""
     log = Inputs(spark, folder).log.select("id", "submission_id", "action", "message", "extra_data", "created_at")
-    path = files(log, spark, "log")
-    for build, schema in (
-        (jobs.live_status, jobs.STATUS),
-        (jobs.lifecycle, "submission_id BIGINT, status STRING"),
+    path = files(log, spark, "log", 11)
+    for track, tracked, build in (
+        (jobs.track_status, jobs.tracked_status, jobs.live_status),
+        (jobs.track_lifecycle, jobs.tracked_lifecycle, jobs.lifecycle),
     ):
         out = new_path(spark, "out")
-        stream = jobs.read_new_files(spark, path, LOG, files_per_batch=1)
-        jobs.run_batches(build(stream), out, "update")
-        got = jobs.newest_rows(spark, out, ["submission_id"], schema)
-        assert rows(got) == rows(build(log).select(*got.columns))
-        jobs.run_batches(build(jobs.read_new_files(spark, path, LOG, 1)), out, "update")
-        assert rows(jobs.newest_rows(spark, out, ["submission_id"], schema)) == rows(build(log).select(*got.columns))
+        track(jobs.read_new_files(spark, path, LOG, files_per_batch=1), out, 3)
+        got = tracked(spark, out)
+        want = rows(build(log).select(*got.columns))
+        assert rows(got) == want
+        assert len(jobs._current(spark, out)) <= 1 + 3
+        found = jobs._folders(spark, out)
+        assert len(found[jobs.SNAPSHOT]) <= 2 and len(found[jobs.BATCH]) <= 2 * 3
+        track(jobs.read_new_files(spark, path, LOG, 1), out, 3)
+        log.filter("id % 2 = 0").limit(50).createOrReplaceTempView("again")
+        part = jobs._status_parts if track is jobs.track_status else jobs._lifecycle_parts
+        part(spark.table("again")).write.parquet(jobs._batch_path(out, 11))  # events that have come before
+        assert rows(tracked(spark, out)) == want
+
+
+def test_a_compaction_that_stopped_is_not_read(spark):
+    out = new_path(spark, "out")
+    log = spark.createDataFrame([(1, 1, "upload", None, None, None)], LOG)
+    jobs._lifecycle_parts(log).write.parquet(jobs._batch_path(out, 0))
+    spark.range(5).write.parquet(f"{out}/{jobs.SNAPSHOT}=0")
+    jobs.stored.remove(spark, f"{out}/{jobs.SNAPSHOT}=0/_SUCCESS")
+    assert [tuple(r) for r in jobs.tracked_lifecycle(spark, out).collect()] == [(1, "pending")]
+    assert jobs.tracked_lifecycle(spark, new_path(spark, "none")).collect() == []
 
 
 def test_a_finished_state_stays(spark):
@@ -72,11 +93,39 @@ def test_marks_over_batches(spark, folder):
     schema = "candidate_id BIGINT, submission_id BIGINT, paper_type STRING, kind STRING, question BIGINT, value STRING"
     out = new_path(spark, "scores")
     jobs.mark_new_sheets(jobs.read_new_files(spark, path, schema, files_per_batch=1), keys, i.key, out)
-    got = jobs.newest_rows(spark, out, ["candidate_id"], "candidate_id BIGINT, key_id BIGINT, correct BIGINT, total BIGINT, percentage DOUBLE")
+    got = jobs.streamed_marks(spark, out, MARKS)
     want = marking.marked_candidates(i.sheet, keys, i.key, i.ans).select(*got.columns)
     assert rows(got) == rows(want)
 
 
+def test_marks_read_touched_buckets_and_decide_ties(spark, monkeypatch):
+    keys = spark.createDataFrame([(1, "P")], "key_id bigint, paper_type string")
+    key = spark.createDataFrame([(1, 1, "A"), (1, 2, "B")], "key_id bigint, question bigint, correct string")
+    path, out = new_path(spark, "sheets"), new_path(spark, "scores")
+    plans = []
+    merged = jobs.merged_rows
+
+    def spy(*args):
+        got = merged(*args)
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        return got
+
+    monkeypatch.setattr(jobs, "merged_rows", spy)
+    batches = [
+        [(c, 9, "P", "answer", 1, "A") for c in range(40)],
+        # Two answers of one question in one batch: the later row counts.
+        [(7, 9, "P", "answer", 1, "C"), (7, 9, "P", "answer", 1, "A"), (7, 9, "P", "answer", 2, "B"), (8, 9, "P", "answer", 1, "A"), (8, 9, "P", "answer", 1, "C")],
+        [(9, 9, "x", None, None, None)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, SHEETS).coalesce(1).write.mode("append").parquet(path)
+        jobs.mark_new_sheets(jobs.with_place(jobs.read_new_files(spark, path, SHEETS)), keys, key, out, every=2, buckets=16)
+    assert any("PartitionFilters: [isnotnull(bucket" in p or "PartitionFilters: [bucket" in p for p in plans)
+    marks = {r.candidate_id: (r.key_id, r.correct) for r in jobs.streamed_marks(spark, out, MARKS).collect()}
+    assert len(marks) == 40 and marks[7] == (1, 2) and marks[8] == (1, 0) and marks[9] == (None, None) and marks[0] == (1, 1)
+    assert len(jobs._current(spark, f"{out}-rows")) == 2
+
+
 def test_new_responses_are_read_once(spark):
     path, out = new_path(spark, "responses"), new_path(spark, "answers")
     schema = "candidate_id BIGINT, response STRING"
