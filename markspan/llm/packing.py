@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from markspan.llm.bpe import Merges
 from markspan.llm.wordcache import WordCache
 
 
@@ -84,7 +85,7 @@ class WordIds:
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.cache = WordCache(lambda text: text.replace("\n", " ").split(" "), self._encode)
+        self.cache = WordCache(lambda text: text.replace("\n", " ").split(" "), Merges(tokenizer, self._encode).encode)
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         """The library takes words by the list, which costs it less than one by one."""

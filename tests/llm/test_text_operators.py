@@ -309,3 +309,29 @@ def test_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.window_digests(chat.format_windows(turns, TOKENIZER)).count() == 0
     assert warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_merges_side_by_side_equal_the_library():
+    """Words of many kinds, those taken apart here and those left to the library, give the library's ids."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from markspan.llm import bpe, packing
+
+    text = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    whole = packing.WordIds(text)._encode
+    merges = bpe.Merges(text, whole)
+    assert merges.known
+    r = random.Random(1)
+    signs = "abcdeghnorstABCXyzéÉßÿ×÷'`’.,!?0123456789²ªµ-_<|>́ İſK"
+    words = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    words += ["'s", "!!'s", "it's", "I'LL", "<|endoftext|>", "a<|startoftext|>b", "x" * 32, "x" * 33, "x" * 400, "é" * 32]
+    library = Tokenizer.from_str(text)
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)]
+    assert list(merges.encode(words)) == want
+    assert list(merges.encode([])) == []
+    # Another normaliser or pattern is the library's from the start.
+    other = text.replace('"Lowercase"', '"NFD"', 1)
+    assert not bpe.Merges(other, whole).known
