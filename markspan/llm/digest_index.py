@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspan.session import new_path, written
+from markspan.sources.stored import exists
 
 BUCKETS = 64
 
@@ -31,9 +32,17 @@ class DigestIndex:
     """Digests seen so far with the id that stays for each: (digest binary, keep_id long), bucketed and sorted by digest.
 
     `path` is a folder that all executors reach; opening it again continues the index. `buckets` is fixed when the index is
-    created; take about one bucket for each 200 MB that the index is expected to reach (40 bytes a digest)."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    created and stored with it; take about one bucket for each 200 MB that the index is expected to reach (40 bytes a digest).
+    Another number at a later opening is an error, since rows dealt to other buckets would not be found."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        layout = f"{path}/_layout"
+        stored = spark.read.parquet(layout).first()[0] if exists(spark, f"{layout}/_SUCCESS") else None
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index has {stored} buckets, not {buckets}")
+        buckets = stored or buckets or BUCKETS
+        if not stored:
+            spark.range(1).select(F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(layout)
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
         place = path.replace("\\", "\\\\").replace("'", "\\'")

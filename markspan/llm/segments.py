@@ -78,15 +78,9 @@ def _long(v: float) -> int:
 
 
 def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scaled vectors, an id once with its smallest vector."""
-    vectors = part.column("v").combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    x, ids = flat.reshape(part.num_rows, -1), part.column("vec_id").to_numpy()
-    order = np.lexsort([*reversed(x.T), ids])
-    ids, x = ids[order], x[order]
-    once = np.ones(len(ids), dtype=bool)
-    once[1:] = ids[1:] != ids[:-1]
-    return ids[once], scaled(x[once])
+    """Ids and scaled vectors."""
+    flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return part.column("vec_id").to_numpy(), scaled(flat.reshape(part.num_rows, -1))
 
 
 def _meet(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -105,8 +99,8 @@ def top_scores(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, the k highest integer
     inner products with the other rows of as many components; fewer if there are fewer.
 
-    Rows without id, without vector, or with null or non-finite components take no part. An id that repeats counts once,
-    with its smallest vector. Scores beyond a long are cut to its range. Empty input gives no rows.
+    Rows without id, without vector, or with null or non-finite components take no part. Rows that repeat an id are candidates each;
+    as queries they share one list, the best of all their scores. Scores beyond a long are cut to its range. Empty input gives no rows.
 
     Ids are hashed into blocks of bounded size; every pair of a query block and a block of rows is one group, so that no
     id or value can crowd a task, and each group returns k rows per query."""

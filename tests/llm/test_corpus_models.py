@@ -200,17 +200,21 @@ def test_copies_whose_first_run_is_a_stranger(spark, prose):
 
 
 def brute_scores(rows, k=20):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[i] = min(vectors.get(i, v), v)
-    ints = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in vectors.items()}
-    out = []
-    for q, a in ints.items():
+    """Every row with an id and a sound vector takes part; query rows of one id share a list."""
+    sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ints = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in sound]
+    scores = defaultdict(list)
+    for q, a in ints:
         if q % 20 == 0:
-            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in ints.items() if i != q and len(a) == len(b))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
-    return sorted(out)
+            scores[q] += [(-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in ints if i != q and len(a) == len(b)]
+    return sorted((q, n + 1, i, -s) for q, found in scores.items() for n, (s, i) in enumerate(sorted(found)[:k]))
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.5]), (20, [1.0, 0.0]), (20, [0.0, 3.0])]
+    got = sorted(map(tuple, segments.top_scores(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == brute_scores(rows)
+    assert [r[2:] for r in got if r[0] == 0] == [(20, 12288), (1, 8192), (1, 4096), (2, 4096), (20, 4096)]
 
 
 def test_top_scores(spark, monkeypatch):

@@ -18,7 +18,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from markspan.llm import chat, digest_index, packing, pieces, pii, queries, warc
+from markspan.llm import bpe, chat, digest_index, packing, pieces, pii, queries, warc
 from markspan.session import new_path
 
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
@@ -79,7 +79,12 @@ def test_index_is_continued(spark):
         assert got == {1: (5, False), 2: (2, True), 3: (2, False)}
         assert index.rows().count() == 3
     index.drop_name()
-    again = digest_index.DigestIndex(spark, path, 4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        digest_index.DigestIndex(spark, path, 8)
+    again = digest_index.DigestIndex(spark, path)
+    assert again.buckets == 4
+    again.add(digest_index.digests(second))
+    assert again.rows().count() == 3
     assert {r.keep_id for r in again.rows().collect()} == {5, 7, 2}
     assert "Exchange" not in again.rows().hint("merge")._jdf.queryExecution().executedPlan().toString()
 
@@ -313,13 +318,6 @@ def test_empty_tables(spark):
 
 def test_merges_side_by_side_equal_the_library():
     """Words of many kinds, those taken apart here and those left to the library, give the library's ids."""
-    import random
-
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    from markspan.llm import bpe, packing
-
     text = open(public_tokenizers.path("word_bpe_49k.json")).read()
     whole = packing.WordIds(text)._encode
     merges = bpe.Merges(text, whole)
