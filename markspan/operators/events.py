@@ -156,6 +156,7 @@ def page_progress_events(pages: DataFrame) -> DataFrame:
     `pages` is (submission_id, page_number, label, answers_count, drawing_count), a page number once per submission."""
     rows = ordered.number_rows(pages, ["submission_id"], [F.col("page_number")], "current", "total")
     share = F.bround(F.col("current") / F.greatest(F.col("total"), F.lit(1)), 4)
+    # Fixed value: the message's wording.
     message = F.format_string(
         "Page %d: %d answers, %d drawing (%d/%d)", "page_number", "answers_count", "drawing_count", "current", "total"
     )

@@ -98,6 +98,7 @@ def completion_events(submissions: DataFrame, counts: DataFrame, seconds: dict[s
         "pages_with_data",
         *[F.bround(c, 2).alias(name) for name, c in seconds.items()],
     )
+    # Fixed value: the message's wording.
     message = F.concat(
         F.lit("Extracted "), F.col("candidates_count").cast("string"), F.lit(" candidates in "), F.format_string("%.1fs", seconds["total_seconds"])
     )
@@ -138,6 +139,7 @@ def quality_gauge(answers: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _warning(page: str, answer: Column, question: str) -> Column:
+    # Fixed value: the warning's wording.
     return F.concat(
         F.lit("Page "), F.col(page).cast("string"), F.lit(": Unexpected answer '"), F.coalesce(answer, F.lit("None")),
         F.lit("' for Q"), F.col(question).cast("string"),
@@ -236,6 +238,7 @@ def report_text(sheets: DataFrame, columns: Sequence[str]) -> DataFrame:
 def report_heads(submissions: DataFrame, counts: DataFrame, timestamp: str) -> DataFrame:
     """The opening lines of each file's report."""
     totals = submission_summary(submissions, counts)
+    # The opening lines.
     lines = [
         F.concat(F.lit("=== Exam Answer Sheet: "), F.coalesce("filename", F.lit("Unknown")), F.lit(" ===")),
         F.lit(f"Extracted at: {timestamp}"),
@@ -295,6 +298,7 @@ def envelopes(
     failed = errors.select("submission_id").distinct().withColumn("failed", F.lit(True))
     files = submissions.join(totals, "submission_id", "left").join(bad, "submission_id", "left").join(failed, "submission_id", "left")
     numbers = {c: F.coalesce(c, _zero()) for c in ("candidates_count", "answers_count", "listed_drawings", "pages_with_data", "bad")}
+    # The member names of a document.
     info = _members(
         ("filename", _json(F.col("filename"))), ("extraction_timestamp", _json(F.lit(timestamp))), ("total_candidates", numbers["candidates_count"].cast("string")),
         ("pages_processed", _json(F.col("pages_count"))), ("pages_with_data", numbers["pages_with_data"].cast("string")),
