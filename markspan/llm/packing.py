@@ -79,13 +79,16 @@ def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
+ROOM = 600_000  # new words until those not used since are forgotten
+
+
 class WordIds:
     """Ids of texts by a tokenizer whose words end at blanks and line ends, with earlier words remembered within bounds."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.cache = WordCache(lambda text: text.replace("\n", " ").split(" "), Merges(tokenizer, self._encode).encode)
+        self.cache = WordCache(lambda text: text.replace("\n", " ").split(" "), Merges(tokenizer, self._encode).encode, room=ROOM)
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         """The library takes words by the list, which costs it less than one by one."""
