@@ -99,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_personal_data": sql.PII,
         "op10_warc": sql.WARC,
         "op12_phrases": sql.COLLOCATIONS,
+        "op13_dialogue": sql.DIALOGUE,
     }

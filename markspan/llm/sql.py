@@ -130,3 +130,49 @@ best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
+
+# crc32 of a short text, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({s}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: "
+    "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT))"
+)
+_DAMAGE = _CRC.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + " % 20"
+_AFTER = "CASE {s} WHEN 2 THEN 3 ELSE 2 END"  # the state after one more turn of the role that is due
+_ROLE = "CASE {s} WHEN 3 THEN 'assistant' ELSE 'user' END"
+
+DIALOGUE = rf"""
+WITH RECURSIVE kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_DAMAGE} AS kind FROM conversations),
+damaged AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS before_, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before_ IS NOT NULL AND before_ || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv),
+convs AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv FROM kinds),
+ways AS (
+  SELECT conv, CAST(0 AS BIGINT) AS i, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'made': CAST(NULL AS VARCHAR)}} AS best FROM convs
+  UNION ALL
+  SELECT conv, i, target, min({{'cost': cost, 'audit': audit, 'made': made}}) FROM (
+    SELECT conv, i, CASE e WHEN 'D' THEN state WHEN 'R' THEN {_AFTER.format(s='state')} WHEN 'K' THEN CASE WHEN state = 0 AND initial = 's' THEN 1 WHEN state <> 2 AND initial = 'u' THEN 2 WHEN state = 2 AND initial = 'a' THEN 3 END END AS target,
+      cost + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost, audit || e AS audit,
+      nullif(concat_ws(chr(10), made, CASE e WHEN 'K' THEN role || ':' || text WHEN 'R' THEN {_ROLE.format(s=_AFTER.format(s='state'))} || ':' || text END), '') AS made
+    FROM (
+      SELECT w.conv, r.i, r.initial, r.role, r.text, r.fault, CASE m WHEN 0 THEN w.state WHEN 1 THEN {_AFTER.format(s='w.state')} ELSE CASE w.state WHEN 2 THEN 2 ELSE 3 END END AS state,
+        w.best.cost + 3 * m AS cost, w.best.audit || repeat('I', m) AS audit,
+        nullif(concat_ws(chr(10), w.best.made, CASE WHEN m > 0 THEN {_ROLE.format(s=_AFTER.format(s='w.state'))} || ':' END, CASE WHEN m > 1 THEN CASE w.state WHEN 2 THEN 'user' ELSE 'assistant' END || ':' END), '') AS made
+      FROM ways w JOIN faults r ON r.conv = w.conv AND r.i = w.i + 1, unnest([0, 1, 2]) AS u(m)) AS inserted, unnest(['D', 'K', 'R']) AS v(e)
+    WHERE e = 'D' OR fault IS NULL OR fault = 'truncated') AS options
+  WHERE target IS NOT NULL GROUP BY conv, i, target),
+ends AS (
+  SELECT w.conv, min({{'cost': w.best.cost + 3 * m, 'audit': w.best.audit || repeat('I', m),
+    'made': concat_ws(chr(10), w.best.made, CASE WHEN m = 2 THEN 'user:' END, CASE WHEN m > 0 THEN 'assistant:' END)}}) AS best
+  FROM (SELECT *, CASE state WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS m FROM ways) w LEFT JOIN counted c ON c.conv = w.conv WHERE w.i = coalesce(c.n, 0) GROUP BY w.conv)
+SELECT v.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(coalesce(e.best.made, '')) AS repaired_sha256
+FROM convs v JOIN ends e ON e.conv = v.conv LEFT JOIN counted c ON c.conv = v.conv
+"""
